@@ -75,28 +75,42 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float
     return out
 
 
+def positions(
+    df: DataFrame,
+    groups: list[str],
+    buckets: list[str],
+    order: list[str],
+    name: str = "pos",
+    size: str | None = None,
+) -> DataFrame:
+    """0-based position of each row inside its group, in the order (buckets, order).
+
+    Rows are numbered per (group, bucket); bucket counts give the offsets. Only the table of
+    bucket counts is ordered per group, so one hot group is still numbered by many tasks.
+    """
+    keys = [*groups, *buckets]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = part.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *keys,
+        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"),
+        F.sum("__c").over(part).alias("__n"),
+    )
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    out = df.withColumn("__r", local).join(offsets, keys)
+    out = out.withColumn(name, (F.col("__r") + F.col("__o")).cast("long"))
+    if size:
+        out = out.withColumn(size, F.col("__n"))
+    return out.drop("__r", "__o", "__n")
+
+
 def hashed_index(df: DataFrame, unit: str, name: str = "idx") -> DataFrame:
-    """Gap-free index 0..n-1 in the order of md5(unit), ranked in 256 independent buckets."""
+    """Gap-free index 0..n-1 in the order of md5(unit), numbered in 256 independent buckets."""
     keyed = df.withColumn("__h", F.md5(F.col(unit).cast("string"))).withColumn(
         "__p", F.substring("__h", 1, 2)
     )
-    sizes = keyed.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = sizes.select(
-        "__p",
-        F.coalesce(
-            F.sum("__c").over(
-                Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__o"),
-    )
-    local = F.row_number().over(Window.partitionBy("__p").orderBy("__h")) - 1
-    return (
-        keyed.withColumn("__r", local)
-        .join(F.broadcast(offsets), "__p")  # at most 256 rows: two hex digits
-        .withColumn(name, (F.col("__r") + F.col("__o")).cast("long"))
-        .drop("__h", "__p", "__r", "__o")
-    )
+    return positions(keyed, [], ["__p"], ["__h"], name).drop("__h", "__p")
 
 
 def running_totals(

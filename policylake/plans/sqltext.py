@@ -136,3 +136,41 @@ def with_(*ctes: str, body: str) -> str:
 
 def r9(expr: str, name: str) -> str:
     return f"round({expr}, 9) AS {name}"
+
+
+def energy_sql() -> str:
+    g = "greatest(next_granted_prbs, 0.0::DOUBLE)"
+    load = clip_sql(f"{g} / greatest(next_requested_prbs, 1.0::DOUBLE)", 0.0, 1.5)
+    pressure = clip_sql(f"{g} / greatest(next_slice_prb, 1.0::DOUBLE)", 0.0, 2.0)
+    return (f"greatest(next_power_multiplier, 0.0::DOUBLE) * (0.30::DOUBLE + 0.45::DOUBLE * {load} "
+            f"+ 0.25::DOUBLE * least({pressure}, 1.0::DOUBLE))")
+
+
+def targets_cte(multi_ue: bool = False) -> str:
+    dl, err = "greatest(next_dl_bitrate_mbps, 0.0::DOUBLE)", clip_sql("next_dl_errors_pct / 100", 0.0, 1.0)
+    g = clip_sql("next_grant_ratio", 0.0, 1.0)
+    q = "greatest(next_dl_buffer_bytes, 0.0::DOUBLE)"
+    sla = f"""CASE slice_type
+      WHEN 'eMBB' THEN 0.75::DOUBLE * (1 - {clip_sql(dl, 0.0, 1.0)}) + 0.25::DOUBLE * {err}
+      WHEN 'mMTC' THEN 0.70::DOUBLE * (1 - {clip_sql(dl + ' / 0.03::DOUBLE', 0.0, 1.0)}) + 0.20::DOUBLE * (1 - {g}) + 0.10::DOUBLE * {err}
+      ELSE 0.65::DOUBLE * (1 - {g}) + 0.20::DOUBLE * {err} + 0.15::DOUBLE * ({q} / ({q} + 1000)) END"""
+    cur = action_sql("scheduler_code", "slice_prb")
+
+    def moved(c: str, floor: float) -> str:
+        return clip_sql(f"abs(next_{c} - {c}) / (abs({c}) + {floor}::DOUBLE)", 0.0, 1.0)
+
+    stab = clip_sql(
+        f"0.60::DOUBLE * (CASE WHEN {cur} <> action THEN 1 ELSE 0 END) "
+        f"+ 0.20::DOUBLE * {clip_sql('abs(next_grant_ratio - grant_ratio)', 0.0, 1.0)} "
+        f"+ 0.10::DOUBLE * {moved('dl_bitrate_mbps', 0.10)} + 0.10::DOUBLE * {moved('dl_buffer_bytes', 100.0)}",
+        0.0, 1.0,
+    )
+    return f"""{transitions_cte(multi_ue)},
+scale AS (SELECT lo, CASE WHEN hi - lo < 1e-9 THEN lo + 1 ELSE hi END AS hi FROM (
+  SELECT quantile_cont({energy_sql()}, 0.02) AS lo, quantile_cont({energy_sql()}, 0.98) AS hi
+  FROM trans WHERE publication_split = 'train')),
+targets0 AS (SELECT trans.*, {clip_sql(sla, 0.0, 1.0)} AS sla_cost,
+  {clip_sql(f'({energy_sql()} - lo) / greatest(hi - lo, 1e-9::DOUBLE)', 0.0, 1.0)} AS energy_cost,
+  {stab} AS stability_cost, {cur} AS current_action FROM trans, scale),
+targets AS (SELECT *, 1 - (0.50::DOUBLE * sla_cost + 0.20::DOUBLE * energy_cost + 0.15::DOUBLE * stability_cost)
+  / (0.50::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE) AS utility FROM targets0)"""
