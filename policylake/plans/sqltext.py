@@ -174,3 +174,152 @@ targets0 AS (SELECT trans.*, {clip_sql(sla, 0.0, 1.0)} AS sla_cost,
   {stab} AS stability_cost, {cur} AS current_action FROM trans, scale),
 targets AS (SELECT *, 1 - (0.50::DOUBLE * sla_cost + 0.20::DOUBLE * energy_cost + 0.15::DOUBLE * stability_cost)
   / (0.50::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE) AS utility FROM targets0)"""
+
+
+def policies_cte() -> str:
+    from policylake.constants import POLICIES, POLICY_FIELDS
+
+    rows = ", ".join(
+        f"({i}, '{n}', '{v[0]}', " + ", ".join(f"{x}::DOUBLE" for x in v[1:]) + ")"
+        for i, (n, v) in enumerate(POLICIES.items())
+    )
+    return f"pol(idx, policy, {', '.join(POLICY_FIELDS)}) AS (VALUES {rows})"
+
+
+def intents_cte() -> str:
+    from policylake.constants import INTENTS
+
+    rows = ", ".join(
+        f"('{n}', " + ", ".join(f"{x}::DOUBLE" for x in w) + f", {r}::DOUBLE, {'NULL' if b is None else b}::DOUBLE)"
+        for n, (w, r, b, _) in INTENTS.items()
+    )
+    return f"intents(intent, w_latency, w_loss, w_throughput, w_stability, w_energy, risk_tolerance, energy_budget) AS (VALUES {rows})"
+
+
+def up4(x: str) -> str:
+    return f"floor(({x}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+
+
+def penalty_list_sql() -> list[str]:
+    from policylake.constants import OOD_ENVELOPE
+
+    parts = []
+    for c, (lo, hi) in OOD_ENVELOPE.items():
+        span = hi - lo
+        parts.append(
+            f"(CASE WHEN {c} < {lo} THEN least(1.0::DOUBLE, ({lo}::DOUBLE - {c}) / {span!r}::DOUBLE * 5.0::DOUBLE + 0.35::DOUBLE) "
+            f"WHEN {c} > {hi} THEN least(1.0::DOUBLE, ({c} - {hi}::DOUBLE) / {span!r}::DOUBLE * 5.0::DOUBLE + 0.35::DOUBLE) "
+            f"ELSE greatest(0.0::DOUBLE, 0.12::DOUBLE - least({c} - {lo}::DOUBLE, {hi}::DOUBLE - {c}) / {span!r}::DOUBLE) * 0.6::DOUBLE END)"
+        )
+    return parts
+
+
+def ood_sql() -> str:
+    p = penalty_list_sql()
+    return up4(f"least(1.0::DOUBLE, greatest({', '.join(p)}) * 0.7::DOUBLE + ({' + '.join(p)}) / 12 * 0.3::DOUBLE)")
+
+
+LABEL_SQL = """CASE WHEN rsrp_dbm < -112 OR sinr_db < 1.5 OR handover_failure_pct > 5.0 THEN 'coverage_recovery'
+  WHEN slice_type = 'URLLC' AND (latency_ms > 12.0 OR packet_loss_pct > 0.35::DOUBLE OR prb_utilization > 0.88::DOUBLE) THEN 'latency_guard'
+  WHEN prb_utilization > 0.93::DOUBLE OR packet_loss_pct > 2.2::DOUBLE
+    OR throughput_demand_mbps / greatest(downlink_mbps, 1.0::DOUBLE) > 1.48::DOUBLE THEN 'congestion_relief'
+  WHEN slice_type = 'mMTC' AND (active_users > 700 OR packet_loss_pct > 1.1::DOUBLE) THEN 'massive_iot_access'
+  WHEN slice_type = 'eMBB' AND (throughput_demand_mbps / greatest(downlink_mbps, 1.0::DOUBLE) > 1.15::DOUBLE
+    OR throughput_demand_mbps > 180) THEN 'throughput_boost'
+  WHEN prb_utilization < 0.38::DOUBLE AND energy_load < 0.48::DOUBLE
+    AND throughput_demand_mbps / greatest(downlink_mbps, 1.0::DOUBLE) < 0.90::DOUBLE THEN 'energy_saver'
+  ELSE 'balanced' END"""
+HEURISTIC_SQL = """CASE WHEN rsrp_dbm < -112 OR sinr_db < 1.5 OR handover_failure_pct > 5.0 THEN 'coverage_recovery'
+  WHEN slice_type = 'URLLC' AND (latency_ms > 12.0 OR packet_loss_pct > 0.35::DOUBLE) THEN 'latency_guard'
+  WHEN prb_utilization > 0.93::DOUBLE OR packet_loss_pct > 2.2::DOUBLE THEN 'congestion_relief'
+  WHEN slice_type = 'mMTC' AND active_users > 700 THEN 'massive_iot_access'
+  WHEN slice_type = 'eMBB' AND throughput_demand_mbps > downlink_mbps * 1.15::DOUBLE THEN 'throughput_boost'
+  WHEN prb_utilization < 0.38::DOUBLE AND energy_load < 0.48::DOUBLE THEN 'energy_saver' ELSE 'balanced' END"""
+LEVEL_SQL = "CASE WHEN combined < 0.30::DOUBLE THEN 'low' WHEN combined < 0.55::DOUBLE THEN 'moderate' WHEN combined < 0.78::DOUBLE THEN 'high' ELSE 'critical' END"
+INTENT_SQL = """CASE k % 10 WHEN 0 THEN 'green-ran' WHEN 1 THEN 'balanced' ELSE
+  CASE slice_type WHEN 'URLLC' THEN 'urllc-strict' WHEN 'mMTC' THEN 'mmtc-reliability' ELSE 'embb-capacity' END END"""
+
+
+def proposals_cte(source: str = "obs", key: str = "event_id") -> str:
+    """Long proposal table with rank; `prob` is 0.01 outside the top 4."""
+    return f"""prop0 AS (SELECT {key} AS pk, idx, policy, {u("'proposal'", key, "policy")} AS pu FROM {source}, pol),
+prop1 AS (SELECT *, pu / sum(pu) OVER (PARTITION BY pk) AS pp FROM prop0),
+prop AS (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY pp DESC, idx) AS rk FROM prop1),
+ent AS (SELECT pk, least(1.0::DOUBLE, -sum(q * ln(q)) / ln(4.0::DOUBLE)) AS entropy,
+   arg_min(idx, rk) AS top_idx FROM (SELECT pk, idx, rk, pp / sum(pp) OVER (PARTITION BY pk) AS q FROM prop WHERE rk <= 4) GROUP BY pk)"""
+
+
+def project_ctes(source: str, prefix: str = "st", horizon: int = 3) -> str:
+    """Unrolled projection: `<prefix>0` takes the KPI columns of `source` (which has the policy columns)."""
+    out = [f"""{prefix}0 AS (SELECT *, latency_ms AS s_lat, packet_loss_pct AS s_loss, downlink_mbps AS s_dl,
+  energy_load AS s_en, handover_failure_pct AS s_ho, sinr_db AS s_sinr, prb_utilization AS s_prb FROM {source})"""]
+    for k in range(horizon):
+        g = f"{1.0 / (1.0 + 0.55 * k)!r}::DOUBLE"
+
+        def f(s: str, factor: str) -> str:
+            return f"{s} * (1 + ({factor} - 1) * {g})"
+
+        out.append(f"""{prefix}{k + 1} AS (SELECT * EXCLUDE (s_lat, s_loss, s_dl, s_en, s_ho, s_sinr, s_prb),
+  greatest(0.2::DOUBLE, {f('s_lat', 'latency_factor')}) AS s_lat, greatest(0.0::DOUBLE, {f('s_loss', 'loss_factor')}) AS s_loss,
+  greatest(0.0::DOUBLE, {f('s_dl', 'throughput_factor')}) AS s_dl, {clip_sql(f('s_en', 'energy_factor'), 0.0, 1.5)} AS s_en,
+  greatest(0.0::DOUBLE, {f('s_ho', 'handover_factor')}) AS s_ho, s_sinr + sinr_delta * {g} AS s_sinr,
+  {clip_sql(f's_prb + prb_share_delta * {g}', 0.0, 1.5)} AS s_prb FROM {prefix}{k})""")
+    return ",\n".join(out)
+
+
+def decide_ctes(source: str = "obs", key: str = "event_id") -> str:
+    """CTE chain of the governed decision; ends in `decided` (one row per source row)."""
+    lat_t = "(CASE slice_type WHEN 'URLLC' THEN 10.0 WHEN 'eMBB' THEN 40.0 ELSE 110.0 END)::DOUBLE"
+    loss_t = "(CASE slice_type WHEN 'URLLC' THEN 0.10 WHEN 'eMBB' THEN 0.80 ELSE 1.20 END)::DOUBLE"
+    raw = f"""(w_latency * exp(-greatest(0.0::DOUBLE, f_lat - {lat_t}) / greatest({lat_t}, 1.0::DOUBLE))
+      + w_loss * exp(-greatest(0.0::DOUBLE, f_loss - {loss_t}) / greatest({loss_t}, 0.1::DOUBLE))
+      + w_throughput * least(1.0::DOUBLE, f_dl / greatest(throughput_demand_mbps, 1.0::DOUBLE))
+      + w_stability * exp(-f_ho / 4) + w_energy * {clip_sql('1.15::DOUBLE - f_en', 0.0, 1.0)})
+      / (w_latency + w_loss + w_throughput + w_stability + w_energy)"""
+    return f"""{proposals_cte(source, key)},
+ooded AS (SELECT *, {ood_sql()} AS ood, {HEURISTIC_SQL} AS heuristic, {INTENT_SQL} AS intent,
+  least(1.0::DOUBLE, 0.6::DOUBLE * least(1.0::DOUBLE, telemetry_age_ms / 5000) + 0.4::DOUBLE * (1 - telemetry_completeness)) AS telemetry
+  FROM {source}),
+unc0 AS (SELECT ooded.*, entropy, top_idx, w_latency, w_loss, w_throughput, w_stability, w_energy, risk_tolerance, energy_budget,
+  least(1.0::DOUBLE, 0.32::DOUBLE * entropy + 0.30::DOUBLE * ood + 0.20::DOUBLE * telemetry + 0.18::DOUBLE * 0.2::DOUBLE) AS combined
+  FROM ooded JOIN ent ON pk = {key} JOIN intents USING (intent)),
+unc AS (SELECT *, {LEVEL_SQL} AS level, {up4('combined')} AS uncertainty FROM unc0),
+cand0 AS (SELECT unc.*, pol.*, CASE WHEN rk <= 4 THEN pp ELSE 0.01::DOUBLE END AS prob
+  FROM unc JOIN prop ON pk = {key} JOIN pol USING (idx)
+  WHERE rk <= 4 OR pol.policy = 'balanced' OR pol.policy = heuristic),
+{project_ctes('cand0')},
+fin AS (SELECT *, round(s_lat, 6) AS f_lat, round(s_loss, 6) AS f_loss, round(s_dl, 6) AS f_dl, round(s_en, 6) AS f_en,
+  round(s_ho, 6) AS f_ho, round(s_sinr, 6) AS f_sinr, round(s_prb, 6) AS f_prb FROM st3),
+crit AS (SELECT *,
+  list_filter([
+   CASE WHEN abs(tx_power_db_delta) > 3 THEN 'transmit power change exceeds 3 dB' END,
+   CASE WHEN policy = 'energy_saver' AND slice_type = 'URLLC' AND (latency_ms > 8 OR packet_loss_pct > 0.1::DOUBLE) THEN 'energy saving blocked near the URLLC targets' END,
+   CASE WHEN f_prb > 1.18::DOUBLE THEN 'PRB pressure above the operating envelope' END,
+   CASE WHEN f_loss > greatest(8.0::DOUBLE, packet_loss_pct * 1.15::DOUBLE + 0.2::DOUBLE) THEN 'packet loss degrades beyond the margin' END,
+   CASE WHEN f_sinr < -6 THEN 'SINR below the service minimum' END,
+   CASE WHEN policy = 'throughput_boost' AND prb_utilization > 0.96::DOUBLE THEN 'throughput boost in critical congestion' END,
+   CASE WHEN policy = 'energy_saver' AND rsrp_dbm < -110 THEN 'power reduction in weak coverage' END,
+   CASE WHEN abs(prb_share_delta) > 0.2::DOUBLE THEN 'PRB share change exceeds the action envelope' END,
+   CASE WHEN ood > 0.72::DOUBLE AND policy NOT IN ('balanced', 'coverage_recovery') THEN 'aggressive policy blocked far out of distribution' END,
+   CASE WHEN intent = 'urllc-strict' AND f_lat > 10 THEN 'intent latency_ms <=' END,
+   CASE WHEN intent = 'urllc-strict' AND f_loss > 0.1::DOUBLE THEN 'intent packet_loss_pct <=' END,
+   CASE WHEN f_en > energy_budget THEN 'energy load exceeds the intent budget' END,
+   CASE WHEN level = 'critical' THEN 'combined uncertainty is critical' END], lambda x: x IS NOT NULL) AS reasons,
+  CASE WHEN coalesce(f_en > energy_budget, false) THEN 'reject' WHEN f_en > energy_load * 1.20::DOUBLE + 0.03::DOUBLE THEN 'warning' ELSE 'pass' END AS critic_energy,
+  {up4(clip_sql(f'({raw}) * 100 - greatest(0.0::DOUBLE, f_prb - 1) * 22', 0.0, 100.0))} AS raw_score FROM fin),
+scored AS (SELECT *, len(reasons) = 0 AS safe,
+  CASE WHEN len(reasons) > 0 THEN greatest(0.0::DOUBLE, raw_score - least(65.0::DOUBLE, 14.0::DOUBLE * len(reasons))) ELSE raw_score END AS score FROM crit),
+flags AS (SELECT {key} AS fk, bool_or(safe) AS any_safe, count_if(NOT safe) AS unsafe_candidates,
+  bool_or(idx = top_idx AND NOT safe) AS top_refused FROM scored GROUP BY 1),
+pool AS (SELECT scored.*, any_safe, unsafe_candidates, top_refused FROM scored JOIN flags ON fk = {key}
+  WHERE CASE WHEN any_safe THEN safe ELSE policy = 'balanced' END),
+pranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(score + 8 * prob, 9) DESC, idx) AS sel_rank,
+  nth_value(score, 2) OVER (PARTITION BY {key} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+  FROM pool),
+decided0 AS (SELECT *, idx <> top_idx AND top_refused AS safety_override,
+  {up4(clip_sql('''(0.48::DOUBLE + 0.34::DOUBLE * prob + least(0.18::DOUBLE, greatest(0.0::DOUBLE, (score - coalesce(second, 0)) / 100)))
+    * (1 - least(0.45::DOUBLE, uncertainty * 0.45::DOUBLE))''', 0.0, 0.99))} AS confidence
+  FROM pranked WHERE sel_rank = 1),
+decided AS (SELECT *, policy AS selected_policy, score AS utility_score,
+  safe AND level NOT IN ('high', 'critical') AND ood <= greatest(0.50::DOUBLE, 0.78::DOUBLE - risk_tolerance * 0.3::DOUBLE)
+  AND confidence >= 0.55::DOUBLE AS approved FROM decided0)"""
