@@ -46,14 +46,13 @@ def previous_value(
     local = F.last("__value", ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, -1)
     )
-    edges = (
-        base.filter(F.col("__value").isNotNull())
-        .groupBy(*keys, BUCKET)
-        .agg(pick("__value", _edge_key(order)).alias("__edge"))
+    # rows without a value have a null sort key, which min_by / max_by skip; no filter on the
+    # value, which the optimizer would push below (and copy into) whatever computes it
+    edges = base.groupBy(*keys, BUCKET).agg(
+        pick("__value", F.when(F.col("__value").isNotNull(), _edge_key(order))).alias("__edge")
     )
-    buckets = base.select(*keys, BUCKET).distinct().join(edges, [*keys, BUCKET], "left")
     across = Window.partitionBy(*keys).orderBy(*_ordering([BUCKET], following))
-    carry = buckets.select(
+    carry = edges.select(
         *keys,
         BUCKET,
         F.last("__edge", ignorenulls=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 100_000
+SMALL_COLUMN = 200_000  # up to this many values one task ranks them without a bracket
 
 
 def _brackets(df: DataFrame, value: str, probs: list[float]) -> tuple[int, list[tuple]]:
@@ -26,6 +27,9 @@ def _brackets(df: DataFrame, value: str, probs: list[float]) -> tuple[int, list[
         return 0, []
     pairs = []
     for i, p in enumerate(probs):
+        if row["n"] <= SMALL_COLUMN:
+            pairs.append((row["low"], row["high"]))
+            continue
         low, high = row["q"][2 * i], row["q"][2 * i + 1]
         pairs.append((row["low"] if p - slack <= 0 else low, row["high"] if p + slack >= 1 else high))
     return row["n"], pairs

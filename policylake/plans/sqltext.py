@@ -323,3 +323,49 @@ decided0 AS (SELECT *, idx <> top_idx AND top_refused AS safety_override,
 decided AS (SELECT *, policy AS selected_policy, score AS utility_score,
   safe AND level NOT IN ('high', 'critical') AND ood <= greatest(0.50::DOUBLE, 0.78::DOUBLE - risk_tolerance * 0.3::DOUBLE)
   AND confidence >= 0.55::DOUBLE AS approved FROM decided0)"""
+
+
+def cells_cte(multi_ue: bool = False) -> str:
+    return f"""{targets_cte(multi_ue)},
+pcells AS (SELECT slice_type, action, count(*) AS support, avg(sla_cost) AS m_sla, avg(energy_cost) AS m_energy,
+  avg(stability_cost) AS m_stability, avg(utility) AS m_value FROM targets
+  WHERE publication_split = 'train' AND experiment = 'exp1' GROUP BY ALL),
+ecells AS (SELECT slice_type, action, avg(sla_cost) AS m_e_sla, avg(energy_cost) AS m_e_energy, avg(stability_cost) AS m_e_stability
+  FROM targets WHERE publication_split = 'train' AND experiment = 'exp2' GROUP BY ALL),
+cells AS (SELECT *, dense_rank() OVER (ORDER BY action) - 1 AS idx FROM pcells JOIN ecells USING (slice_type, action)),
+fallbacks AS (SELECT slice_type, arg_min(action, rk) AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY slice_type
+  ORDER BY round(0.70::DOUBLE * m_sla + 0.20::DOUBLE * m_energy + 0.10::DOUBLE * m_stability, 12), support DESC, action) AS rk FROM cells) GROUP BY 1)"""
+
+
+def candidates_cte(multi_ue: bool = False) -> str:
+    """Long candidates `cand` (one row per row and supported action) with every field, and `rws`."""
+    def obj(n: str) -> str:
+        return clip_sql(f"m_{n} + 0.1::DOUBLE * ({u(chr(39) + n + chr(39), 'row_id', 'c.action')} - 0.5::DOUBLE)", 0.0, 1.0) + f" AS {n}"
+
+    objs = ",\n  ".join(obj(n) for n in ("sla", "energy", "stability", "e_sla", "e_energy", "e_stability"))
+    return f"""{cells_cte(multi_ue)},
+rws AS (SELECT t.*, f.fallback, {u("'ood'", 'row_id')} AS ood, cc.idx AS inc
+  FROM targets t JOIN fallbacks f USING (slice_type) LEFT JOIN cells cc ON cc.slice_type = t.slice_type AND cc.action = t.current_action),
+cand0 AS (SELECT row_id, t.slice_type, c.action AS a, c.idx, t.ood, t.inc, t.fallback, t.publication_split, t.episode_id, t.timestamp_s,
+  t.current_action, t.action AS logged, t.scenario, t.training_config, t.experiment, t.base_station, t.utility, t.sla_cost, t.energy_cost, t.stability_cost,
+  {objs}, {u("'unc'", 'row_id', 'c.action')} * 0.8::DOUBLE AS unc,
+  m_value + 0.05::DOUBLE * {u("'q'", 'row_id', 'c.action')} AS q, {u("'prior'", 'row_id', 'c.action')} AS w,
+  {u("'support'", 'row_id', 'c.action')} > 0.15::DOUBLE AS sup
+  FROM rws t JOIN cells c ON c.slice_type = t.slice_type),
+cand AS MATERIALIZED (SELECT *, CASE WHEN qh - ql > 1e-9 THEN (q - ql) / (qh - ql) ELSE 0.5::DOUBLE END AS qn, w / ws AS prior FROM (
+  SELECT *, min(q) OVER p AS ql, max(q) OVER p AS qh, sum(w) OVER p AS ws FROM cand0 WINDOW p AS (PARTITION BY row_id)))"""
+
+
+def score_sql(sla_w=0.50, en_w=0.20, st_w=0.15, unc_w=0.10, plan_w=0.05) -> str:
+    return (f"(1 - ({sla_w}::DOUBLE * sla + {en_w}::DOUBLE * energy + {st_w}::DOUBLE * stability + {unc_w}::DOUBLE * unc) "
+            f"/ {sla_w + en_w + st_w + unc_w!r}::DOUBLE + {plan_w}::DOUBLE * qn)")
+
+
+def utility_sql(p: str = "") -> str:
+    return f"(1 - (0.50::DOUBLE * {p}sla + 0.20::DOUBLE * {p}energy + 0.15::DOUBLE * {p}stability) / (0.50::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE))"
+
+
+def ranked_cte(name: str, source: str, where: str, value: str) -> str:
+    """CTE with the best row per row_id under a filter."""
+    return (f"{name} AS (SELECT * FROM (SELECT *, {value} AS val, row_number() OVER (PARTITION BY row_id ORDER BY round({value}, 12) DESC, idx) AS rk "
+            f"FROM {source} WHERE {where}) WHERE rk = 1)")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
-from policylake.operators import outcomes
+from policylake.config import CalibrationConfig, StudyConfig
+from policylake.functions.core import cond_rate
+from policylake.operators import candidates, outcomes
+from policylake.operators.order_stats import exact_quantiles
 from policylake.sources import adapters
 
 
@@ -13,6 +16,43 @@ def targets(
     spark: SparkSession, sf: str, multi_ue: bool = False, cfg: StudyConfig | None = None
 ) -> tuple[DataFrame, tuple[float, float]]:
     """Transitions with outcome costs; the energy scale is fitted on the training split."""
-    t = adapters.transitions(spark, sf, multi_ue)
+    t = adapters.prepared(spark, sf, multi_ue)
     scale = outcomes.fit_energy_scale(t.filter("publication_split = 'train'"))
     return outcomes.derive_targets(t, scale, cfg), scale
+
+
+def policy_rows(t: DataFrame) -> DataFrame:
+    return t.filter("publication_split = 'train' AND experiment = 'exp1'")
+
+
+def evaluator_rows(t: DataFrame) -> DataFrame:
+    return t.filter("publication_split = 'train' AND experiment = 'exp2'")
+
+
+ROW_COLUMNS = [
+    "row_id", "episode_id", "timestamp_s", "scenario", "training_config", "experiment", "base_station",
+    "imsi_file", "slice_type", "action", "current_action", "publication_split", "sla_cost", "energy_cost",
+    "stability_cost", "utility",
+]
+POLICY_FIELDS = ["sla", "energy", "stability", "unc", "q"]
+EVALUATOR_FIELDS = ["e_sla", "e_energy", "e_stability"]
+
+
+def candidate_rows(
+    spark: SparkSession, sf: str, fields: list[str] | None = None, multi_ue: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with candidate arrays, and the fitted cells."""
+    t, _ = targets(spark, sf, multi_ue)
+    cells = candidates.fit_cells(policy_rows(t), evaluator_rows(t))
+    rows = t.select(*ROW_COLUMNS)
+    return candidates.with_candidates(rows, cells, fields or POLICY_FIELDS), cells
+
+
+def calibration_inputs(spark: SparkSession, sf: str):
+    """Validation rows with candidates, frozen thresholds and the observed violation rate."""
+    cfg, science = StudyConfig(), CalibrationConfig()
+    rows, _ = candidate_rows(spark, sf, POLICY_FIELDS + EVALUATOR_FIELDS)
+    v = rows.filter("publication_split = 'validation'")
+    limit = exact_quantiles(v.select("ood"), "ood", [1.0 - science.ood_fpr])[0]
+    observed = v.agg(cond_rate(F.col("sla_cost") > science.reference_sla_threshold)).first()[0]
+    return v, cfg, science, min(max(limit, 0.0), 1.0), observed

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylake.functions.core import decision_list, lookup
+from policylake.sources.sinks import staged
 from policylake.sources.trace import clean_trace, to_seconds, to_transitions, with_publication_split
 
 SCENARIOS = ["rome_static_close", "rome_static_medium", "rome_static_far", "rome_slow_close"]
@@ -56,6 +57,22 @@ def seconds(spark: SparkSession, folder: str, multi_ue: bool = False) -> DataFra
     return to_seconds(clean_trace(slice_trace(spark, folder, multi_ue)))
 
 
+_PREPARED: dict[tuple, DataFrame] = {}
+
+
+def prepared(spark: SparkSession, folder: str, multi_ue: bool = False) -> DataFrame:
+    """The transition table, written to the shared folder once per application and input.
+
+    Studies fit and score several times over the same transitions; they read this prepared
+    table, as separate prepare and evaluate jobs would.
+    """
+    files = tuple(sorted(table(spark, folder, "lineitem").inputFiles()))
+    key = (spark.sparkContext.applicationId, files, multi_ue)
+    if key not in _PREPARED:
+        _PREPARED[key] = staged(transitions(spark, folder, multi_ue), "transitions")
+    return _PREPARED[key]
+
+
 def transitions(spark: SparkSession, folder: str, multi_ue: bool = False) -> DataFrame:
     """Transition rows with the publication split and a stable row id."""
     out = with_publication_split(to_transitions(seconds(spark, folder, multi_ue)))
