@@ -105,3 +105,8 @@ def uniform(*key: Column | str) -> Column:
     digest = F.md5(F.concat_ws("|", *parts))
     n = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
     return (n + 0.5) / float(2**52)
+
+
+def first_of(array: Column) -> Column:
+    """First element, null for an empty array (also under ANSI rules)."""
+    return F.get(array, F.lit(0))

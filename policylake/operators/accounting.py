@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.config import StudyConfig
-from policylake.functions.core import cond_rate, rounded
+from policylake.functions.core import cond_rate, first_of, rounded
 from policylake.functions.dims import constant
 from policylake.operators.order_stats import exact_quantiles
 from policylake.operators.selection import feasible, gated_selection, incumbent_idx, outcome_utility
@@ -115,8 +115,8 @@ def logged_summary(targets: DataFrame, groups: list[str], cfg: StudyConfig) -> D
 
 def decision_values(reranked: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The seven aligned columns of cluster accounting from an abstaining re-rank."""
-    reference = F.filter("cand", lambda c: c["action"] == F.col("fallback"))[0]
-    own = F.filter("cand", lambda c: c["idx"] == incumbent_idx())[0]
+    reference = first_of(F.filter("cand", lambda c: c["action"] == F.col("fallback")))
+    own = first_of(F.filter("cand", lambda c: c["idx"] == incumbent_idx()))
     return reranked.withColumns({"ref": reference, "own": own}).select(
         "row_id", "scenario", "training_config", "experiment", "base_station", "slice_type",
         (~F.col("abstain")).alias("accepted"),
@@ -148,7 +148,7 @@ def gate_funnel(
 
 def profile_statistics(h: DataFrame, cfg: StudyConfig, abstention: float = -0.12) -> DataFrame:
     """Coverage, unconditional score, conditional risk and switch rate per profile."""
-    c = F.filter("cand", lambda x: x["idx"] == F.col("chosen_idx"))[0]
+    c = first_of(F.filter("cand", lambda x: x["idx"] == F.col("chosen_idx")))
     s = h.withColumn("c", c)
     acts = ~F.col("abstain")
     return s.groupBy("profile").agg(

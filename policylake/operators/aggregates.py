@@ -63,7 +63,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: list[str])
         F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma")
     )
     cur = long_metrics(current, [], features).groupBy("metric").agg(F.avg("value").alias("now"))
-    shift = F.abs(F.col("now") - F.col("mu")) / (4 * F.greatest(F.col("sigma"), F.lit(1e-9)))
+    shift = F.abs(F.col("now") - F.col("mu")) / (4 * F.greatest(F.col("sigma"), F.lit(1e-6)))
     return ref.join(cur, "metric").select("metric", F.least(F.lit(1.0), shift).alias("drift"))
 
 

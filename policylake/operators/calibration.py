@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.config import CalibrationConfig, StudyConfig
-from policylake.functions.core import cond_rate, rounded
-from policylake.functions.dims import constant
+from policylake.functions.core import cond_rate, first_of, rounded
+from policylake.functions.dims import constant, freeze
 from policylake.operators.candidates import normalise_q, q_norm
 from policylake.operators.history import previous_value, time_bucket
 from policylake.operators.selection import outcome_utility
@@ -52,7 +52,7 @@ def calibration_table(
             ),
             "own_idx": F.coalesce("cur.idx", F.lit(-1)),
             "hold_idx": F.coalesce(
-                "cur.idx", F.filter("cand", lambda c: c["action"] == F.col("fallback"))[0]["idx"]
+                "cur.idx", first_of(F.filter("cand", lambda c: c["action"] == F.col("fallback")))["idx"]
             ),
             "far": F.col("ood") > ood_limit,
         }
@@ -73,7 +73,7 @@ def calibration_table(
     triples = list(dict.fromkeys((a, b, p) for a, b, p, _ in points))
     r = r.withColumn("bests", F.array(*[ranked(*t) for t in triples]))
     r = r.withColumn(
-        "own_c", F.filter("cand", lambda c: c["idx"] == F.col("own_idx"))[0]
+        "own_c", first_of(F.filter("cand", lambda c: c["idx"] == F.col("own_idx")))
     )
 
     grid = F.array(
@@ -138,6 +138,7 @@ def calibration_table(
 
 def choose(table: DataFrame) -> DataFrame:
     """Best feasible point, or the best of all with the flag lowered when none is feasible."""
+    table = freeze(table, 4096)
     any_ok = table.agg(F.max("feasible").alias("ok")).scalar()
     pool = table.withColumn("constraint_feasible", any_ok).filter(
         F.col("feasible") | ~F.col("constraint_feasible")
@@ -154,6 +155,7 @@ def choose_profile(
     max_regression: float = 0.0025, min_gain: float = 0.00025,
 ) -> DataFrame:
     """Best profile that beats the anchor on validation, else the anchor."""
+    stats = freeze(stats, 4096)
     a = stats.filter(F.col("profile") == anchor)
     limits = {n: a.select(n).scalar() for n in ("coverage", "risk", "score")}
     ok = (

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylake.config import StudyConfig
-from policylake.functions.core import clip, uniform
+from policylake.functions.core import clip, first_of, uniform
 from policylake.functions.dims import freeze
 
 FALLBACK_WEIGHTS = (0.70, 0.20, 0.10)
@@ -112,7 +112,7 @@ def with_candidates(rows: DataFrame, cells: DataFrame, fields: list[str]) -> Dat
     return out.withColumns(
         {
             "ood": uniform("ood", F.col("row_id")),
-            "cur": F.filter("cand", lambda c: c["action"] == F.col("current_action"))[0],
+            "cur": first_of(F.filter("cand", lambda c: c["action"] == F.col("current_action"))),
         }
     )
 
@@ -148,7 +148,7 @@ def with_scores(df: DataFrame, cfg: StudyConfig, **flags: bool) -> DataFrame:
     """Add field `score` to every candidate."""
     return normalise_q(df).withColumn(
         "cand", F.transform("cand", lambda c: c.withField("score", score(c, cfg, **flags)))
-    ).withColumn("cur", F.filter("cand", lambda c: c["action"] == F.col("current_action"))[0])
+    ).withColumn("cur", first_of(F.filter("cand", lambda c: c["action"] == F.col("current_action"))))
 
 
 def best(candidates: Column, value: Callable[[Column], Column]) -> Column:

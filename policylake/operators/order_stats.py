@@ -136,10 +136,10 @@ def running_totals(
     bounds = df.agg(
         F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000).alias("b")
     )
-    keyed = df.withColumn(
-        "__bin",
-        F.size(F.filter(bounds.scalar(), lambda b: b < F.col(value))).cast("long"),
-    )
+    keyed = df.withColumn("__bounds", bounds.scalar())
+    keyed = keyed.withColumn(
+        "__bin", F.size(F.filter("__bounds", lambda b: b < F.col(value))).cast("long")
+    ).drop("__bounds")
     arrange: Column = F.col(value).desc() if descending else F.col(value).asc()
     outer: Column = F.col("__bin").desc() if descending else F.col("__bin").asc()
     totals = keyed.groupBy(*groups, "__bin").agg(*[F.sum(a).alias(f"__t_{a}") for a in amounts])

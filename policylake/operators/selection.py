@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.config import StudyConfig
-from policylake.functions.core import clip, decision_list, uniform
+from policylake.functions.core import clip, decision_list, first_of, uniform
 from policylake.operators.candidates import best, prior, with_scores
 
 
@@ -20,7 +20,7 @@ def gated_selection(
     safe = F.filter(
         "cand", lambda c: (c["sla"] <= cfg.sla_threshold) & (c["unc"] <= cfg.uncertainty_threshold)
     ) if safety_gate else F.col("cand")
-    default = F.filter("cand", lambda c: c["action"] == F.col("fallback"))[0]
+    default = first_of(F.filter("cand", lambda c: c["action"] == F.col("fallback")))
     out = out.withColumns(
         {
             "free": best(F.col("cand"), lambda c: c["score"]),
@@ -74,7 +74,7 @@ def hysteresis_selection(
     if proposal is not None:
         wanted = proposal
         pool = F.filter(pool, lambda c: c["action"] == wanted)
-    default = F.filter("cand", lambda c: c["action"] == F.col("fallback"))[0]
+    default = first_of(F.filter("cand", lambda c: c["action"] == F.col("fallback")))
     out = out.withColumns({"gated": best(pool, lambda c: c["score"]), "hold": F.coalesce("cur", default)})
     far = (F.col("ood") > cfg.ood_threshold) if ood else F.lit(False)
     out = out.withColumn("rollback", far | F.col("gated").isNull())
@@ -172,7 +172,7 @@ def behaviour_selection(
         chosen = F.col("chosen.idx")
     else:
         out = out.withColumn("valid", F.filter("valid", lambda c: prior(c) >= min_prob))
-        own = F.filter("valid", lambda c: c["idx"] == incumbent_idx())[0]
+        own = first_of(F.filter("valid", lambda c: c["idx"] == incumbent_idx()))
         out = out.withColumns({"chosen": best(F.col("valid"), adj), "own": own})
         hold = F.coalesce(
             F.round(F.col("own.score"), 12) >= F.round(adj(F.col("chosen")) - hold_margin, 12), F.lit(False)
@@ -347,4 +347,4 @@ def hybrid_selection(
 
 def picked(idx: str = "chosen_idx") -> Column:
     """The candidate struct of the chosen index, null when abstaining."""
-    return F.filter("cand", lambda c: c["idx"] == F.col(idx))[0]
+    return first_of(F.filter("cand", lambda c: c["idx"] == F.col(idx)))

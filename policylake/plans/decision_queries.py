@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from policylake.config import StudyConfig
 from policylake.constants import CLUSTER_COLUMNS
-from policylake.functions.core import cond_rate, rounded, uniform
+from policylake.functions.core import cond_rate, first_of, rounded, uniform
 from policylake.functions.dims import freeze
 from policylake.operators import accounting, aggregates, calibration, candidates, joins, selection, windows
 from policylake.plans import studies
@@ -503,7 +503,7 @@ obs_sla AS (SELECT avg((sla_cost > 0.45)::INT) AS observed FROM rws WHERE public
 gs AS (SELECT v.*, gid, g_sla, g_unc, g_margin, {_GS} AS s FROM vcand v, grid),
 gsafe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gid, row_id ORDER BY round(s, 12) DESC, idx) AS rk FROM gs WHERE sla <= g_sla AND unc <= g_unc) WHERE rk = 1),
 gcur AS (SELECT gid, row_id, s AS cs FROM gs WHERE idx = inc),
-g0 AS (SELECT r.row_id, r.episode_id, r.timestamp_s, r.inc, r.fallback, r.slice_type, g.gid, g.g_margin, s.idx AS sidx, s.s AS ss, cs, ood > ood_limit OR s.idx IS NULL AS rollback
+g0 AS (SELECT r.row_id, r.episode_id, r.timestamp_s, r.inc, r.fallback, r.slice_type, g.gid, g.g_margin, s.idx AS sidx, s.s AS ss, cs, r.ood > ood_limit OR s.idx IS NULL AS rollback
   FROM (SELECT * FROM rws WHERE publication_split = 'validation') r CROSS JOIN grid g CROSS JOIN lim LEFT JOIN gsafe s ON s.gid = g.gid AND s.row_id = r.row_id LEFT JOIN gcur c ON c.gid = g.gid AND c.row_id = r.row_id),
 g1 AS (SELECT g0.*, CASE WHEN rollback THEN coalesce(inc, fc.idx) WHEN inc IS NOT NULL AND sidx <> inc AND round(ss - cs, 12) < g_margin THEN inc ELSE sidx END AS sel
   FROM g0 JOIN cells fc ON fc.slice_type = g0.slice_type AND fc.action = g0.fallback),
@@ -809,7 +809,7 @@ def funnel(spark, sf):
 )
 def episode_calibration(spark, sf):
     rows, _ = studies.candidate_rows(spark, sf, ["sla"])
-    logged = F.filter("cand", lambda c: c["action"] == F.col("action"))[0]
+    logged = first_of(F.filter("cand", lambda c: c["action"] == F.col("action")))
     v = rows.filter("publication_split = 'validation'").withColumn("residual", F.col("sla_cost") - logged["sla"])
     c = aggregates.episode_calibration(v, "residual", 0.9, 19, ["slice_type"])
     return c.withColumns({"margin": rounded("margin"), "worst_margin": rounded("worst_margin")})
@@ -826,7 +826,7 @@ def episode_calibration(spark, sf):
 )
 def regression(spark, sf):
     rows, _ = studies.candidate_rows(spark, sf, ["sla"])
-    p = rows.withColumn("pred", F.filter("cand", lambda c: c["action"] == F.col("action"))[0]["sla"])
+    p = rows.withColumn("pred", first_of(F.filter("cand", lambda c: c["action"] == F.col("action")))["sla"])
     m = aggregates.regression_metrics(p, "sla_cost", "pred", ["publication_split"])
     return m.withColumns({c: rounded(c) for c in ("mae", "rmse", "r2")})
 
@@ -851,7 +851,7 @@ def classification(spark, sf):
     "a16_classification_summary",
     with_(
         candidates_cte(), ranked_cte("b", "cand", "true", "q"),
-        f"lp AS (SELECT b.row_id, logged, b.a, c.prior FROM b JOIN cand c ON c.row_id = b.row_id AND c.a = b.logged)",
+        f"lp AS (SELECT b.row_id, logged, b.a, c.prior FROM b JOIN cand c ON c.row_id = b.row_id AND c.a = b.logged)".replace("logged, b.a", "b.logged, b.a"),
         """cl AS (SELECT cls, (SELECT count(*) FROM lp WHERE logged = cls) AS sup, (SELECT count(*) FROM lp WHERE a = cls) AS cal,
         (SELECT count(*) FROM lp WHERE a = cls AND logged = cls) AS hit FROM (SELECT DISTINCT a AS cls FROM lp UNION SELECT DISTINCT logged FROM lp))""",
         body=f"""SELECT (SELECT count(*) FROM lp) AS rows, {r9('sum(hit) / sum(sup)', 'accuracy')}, {r9('avg(2 * hit / (sup + cal))', 'macro_f1')},
@@ -861,7 +861,7 @@ def classification(spark, sf):
 def classification_summary(spark, sf):
     rows, _ = studies.candidate_rows(spark, sf, ["q", "w"])
     rows = candidates.with_prior_sum(rows)
-    own = F.filter("cand", lambda c: c["action"] == F.col("action"))[0]
+    own = first_of(F.filter("cand", lambda c: c["action"] == F.col("action")))
     p = rows.select(
         "action", candidates.best(F.col("cand"), lambda c: c["q"])["action"].alias("pred"),
         F.greatest(candidates.prior(own), F.lit(1e-15)).alias("p"),
