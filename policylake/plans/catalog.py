@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from policylake.plans import decision_queries, inference_queries, kpi_queries, trace_queries  # noqa: F401
+from policylake.plans import decision_queries, inference_queries, kpi_queries, telemetry_queries, trace_queries  # noqa: F401
 from policylake.plans.registry import QUERIES, SQL  # noqa: F401
