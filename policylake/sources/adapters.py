@@ -81,7 +81,11 @@ def transitions(spark: SparkSession, folder: str, multi_ue: bool = False) -> Dat
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """KPI snapshots derived from events."""
-    ev = table(spark, folder, "events")
+    return observations_of(table(spark, folder, "events"))
+
+
+def observations_of(ev: DataFrame) -> DataFrame:
+    """The same projection for a batch or a streaming table of events."""
     k = F.get_json_object("props", "$.k").cast("int")
     base = ev.select(
         "event_id", "event_type", "user_id",
