@@ -245,11 +245,6 @@ def conformal_grid(spark, sf):
     return long.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), cond_rate(ok).alias("coverage"), (cond_rate(ok) >= 0.05).alias("feasible"))
 
 
-@query("d23_baseline_comparison")
-def baselines(spark, sf):
-    return shortcut(spark, sf).select(F.col("features").alias("baseline"), "n", "agreement")
-
-
 @query("d28_masked_controllers")
 def masked_controllers(spark, sf):
     a = _linear(spark, sf, alpha=0.15).select("row_id", F.col("greedy_action").alias("cql"), "action")
