@@ -81,7 +81,16 @@ def transitions(spark: SparkSession, folder: str, multi_ue: bool = False) -> Dat
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """KPI snapshots derived from events."""
-    return observations_of(table(spark, folder, "events"))
+    return observations_of(spread(table(spark, folder, "events")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer files than cores; larger inputs are left as read.
+
+    Decisions over snapshots are narrow, so without this a single small file is a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def observations_of(ev: DataFrame) -> DataFrame:
