@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import token_counts
+from policylake.llm import jaccard_join, language_id, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
+def op2_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 3) == 1
+    model = language_id.learned(documents.where(~held_out))
+    return language_id.identify(documents, model, ["doc_id", held_out.alias("held_out")])
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op2_packed_token_ids": op2_packed_token_ids,
+    "op3_language_id": op3_language_id,
     "op7_token_counts": op7_token_counts,
 }
 
