@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import jaccard_join, language_id, packing, token_counts
+from policylake.llm import decontaminate, jaccard_join, language_id, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_documents(spark, sf_dir))
 
 
+def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
+    "op5_benchmark_hits": op5_benchmark_hits,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op2_packed_token_ids": op2_packed_token_ids,
     "op3_language_id": op3_language_id,
