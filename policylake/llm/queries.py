@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import decontaminate, jaccard_join, language_id, packing, token_counts
+from policylake.llm import decontaminate, jaccard_join, language_id, mixing, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,12 @@ def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op5_benchmark_hits": op5_benchmark_hits,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op2_packed_token_ids": op2_packed_token_ids,
