@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import decontaminate, jaccard_join, language_id, mixing, packing, token_counts
+from policylake.llm import decontaminate, jaccard_join, language_id, mixing, packing, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,15 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_documents(spark, sf_dir)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 5) == 0
+    model = toxicity.learned(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return toxicity.score(documents, model, ["doc_id", held_out.alias("held_out")])
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op1_source_mixing": op1_source_mixing,
     "op5_benchmark_hits": op5_benchmark_hits,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
