@@ -6,7 +6,7 @@ bytes. For each class c an expression e has the chance
     p_c(e) = (max(n_c(e) - D, 0) + D * T_c * p(e)) / N_c,    p(e) = n(e) / N over both classes,
 
 so a rare expression falls back to counts that both classes share. The log ratio of the two is
-kept for expressions in at least `least_docs` documents whose classes differ (G statistic), at
+kept for expressions in at least `least_docs` documents whose classes differ (G statistic over documents), at
 most `table` of them, the strongest first; for all others both classes use the shared chance alone
 and the ratio is 0. A word uses its longest kept expression. The two log-likelihoods per word are
 compared, and a logistic curve fitted on the training rows turns them into a score.
@@ -51,7 +51,7 @@ def _expressions(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
-    """(key, n0, n1, d0, d1): words and documents of each class with an expression; key 0: all words."""
+    """(key, n0, n1, d0, d1): words and documents of each class with an expression; key 0: all words, all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -66,10 +66,10 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, _, data, at in bytewise.chunks(batch.column("text")):
+            for row, end, data, at in bytewise.chunks(batch.column("text")):
                 keys, of = _expressions(data, at)
                 label = toxic[row + of]
-                held.append((np.zeros(2, np.uint64), np.array([[np.sum(label == 0), 0, 0, 0], [0, np.sum(label == 1), 0, 0]])))
+                held.append((np.zeros(2, np.uint64), np.array([[np.sum(label == c) if j == c else np.sum(toxic[row:end] == c) if j == c + 2 else 0 for j in range(4)] for c in (0, 1)])))
                 for level in keys:
                     there = level != 0
                     unique, rows = bytewise.distinct(level[there], of[there])
@@ -102,9 +102,12 @@ def _table(counts: DataFrame, least_docs: int, least_g: float, table: int) -> tu
     def chance(c: int) -> Column:
         return (F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * types[c] * shared) / n[c]
 
+    texts = [float(words["d0"]), float(words["d1"])]
+    often = (F.col("d0") + F.col("d1")) / sum(texts)
+
     def part(c: int) -> Column:
-        seen = F.col(f"n{c}")
-        return F.when(seen > 0, seen * F.log(seen / (shared * n[c]))).otherwise(0.0)
+        seen, other = F.col(f"d{c}"), texts[c] - F.col(f"d{c}")
+        return F.when(seen > 0, seen * F.log(seen / (often * texts[c]))).otherwise(0.0) + F.when(other > 0, other * F.log(other / ((1 - often) * texts[c]))).otherwise(0.0)
 
     g = 2 * (part(0) + part(1))
     best = kept.where("key <> 0").select("key", F.log(chance(1) / chance(0)).alias("ratio"), g.alias("g")).where(F.col("g") >= least_g)
