@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import decontaminate, jaccard_join, language_id, mixing, packing, token_counts, toxicity
+from policylake.llm import decontaminate, html_text, jaccard_join, language_id, mixing, packing, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model, ["doc_id", held_out.alias("held_out")])
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages, html_text.trained(pages))
+
+
 QUERIES = {
+    "op6_main_text": op6_main_text,
     "op10_toxicity": op10_toxicity,
     "op1_source_mixing": op1_source_mixing,
     "op5_benchmark_hits": op5_benchmark_hits,
