@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, html_text, jaccard_join, language_id, mixing, packing, token_counts, toxicity
+from policylake.llm import decontaminate, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,14 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.trained(pages))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    found = personal_data.find(documents, personal_data.trained(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
+    "op9_personal_data": op9_personal_data,
     "op6_main_text": op6_main_text,
     "op10_toxicity": op10_toxicity,
     "op1_source_mixing": op1_source_mixing,
