@@ -33,7 +33,7 @@ from policylake.llm.staging import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a window of a source, about.
-BUCKET = 20_000
+BUCKET = 2_000
 #: Blocks of a pass, about, and words in a block: at least (a 32nd of a small source) and at most.
 BLOCKS, LEAST_WORDS, MOST_WORDS = 65_536, 512, 8_192
 
