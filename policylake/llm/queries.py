@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
+from policylake.llm import decontaminate, fingerprints, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprints.compared(fingerprints.edited_versions(_documents(spark, sf_dir)))
+    return done.withColumn("n_changed", F.size("changed")).drop("changed")
+
+
 QUERIES = {
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op6_main_text": op6_main_text,
     "op10_toxicity": op10_toxicity,
