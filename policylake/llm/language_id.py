@@ -209,3 +209,15 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np.n
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
+
+
+def understood(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np.ndarray]], worst_rate: float = 0.75, least_letters: int = 8) -> DataFrame:
+    """The rows, all columns, that have letters and that some learned language explains.
+
+    A text of at least `least_letters` letters goes if even the best language needs more than
+    `worst_rate` phrases per code point, as text in an unknown script does.
+    """
+    names = [f"_c{i}" for i in range(len(documents.columns))]
+    done = identify(documents, model, [F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)])
+    kept = done.where((F.col("lang_pred") != "und") & ((F.col("n_letters") < least_letters) | (F.col("phrase_rate") <= worst_rate)))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)))

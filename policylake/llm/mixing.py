@@ -177,3 +177,23 @@ def taken(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     words = F.when(F.col("shard").isNotNull(), F.col("words")).otherwise(0)
     one = mixed.groupBy("source", "row", "id", "size", "source_size", "target").agg(F.sum(words).alias("taken"), F.count_distinct("shard").alias("n_shards"))
     return one.select(F.col("id").alias(key), "size", "source_size", "target", "taken", "n_shards")
+
+
+def drawn(documents: DataFrame, mixed: DataFrame, seed: int = 11, key: str = "doc_id") -> DataFrame:
+    """The mix as rows of `documents` (all columns), shard by shard in drawn order, repeats as repeated rows.
+
+    The text of the one document of a source that ends its last pass is cut after its last taken
+    word (n_chars, where there is such a column, follows).
+    """
+    text = F.col("text").cast("string")
+    own = documents.select("*", F.xxhash64(F.lit(seed), F.col(key), text).alias("_order"))
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_order").orderBy("_order")))
+    plan = mixed.where(F.col("shard").isNotNull() & (F.col("words") > 0))
+    plan = plan.select(F.col("order").alias("_order"), F.dense_rank().over(Window.partitionBy("order").orderBy("row")).alias("_nth"), F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    got = own.join(plan, ["_order", "_nth"])
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")).otherwise(text)
+    got = got.withColumn("text", cut)
+    if "n_chars" in documents.columns:
+        got = got.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
+    return got.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*(F.col(f"`{c}`") for c in documents.columns))
