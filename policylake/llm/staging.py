@@ -44,3 +44,16 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each uint64 key's bit is set."""
     place = keys >> np.uint64(64 - BITS)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def sampled(df: DataFrame, column: str, rows: int, chars: int) -> list[str]:
+    """At most `chars` code points of each of the `rows` distinct texts that are smallest by hash.
+
+    Only hashes are shuffled; the driver gets rows x chars code points at most.
+    """
+    texts = df.select(F.col(column).cast("string").alias("text")).where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    least = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not least:
+        return []
+    near = texts.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    return [r["text"] for r in near.orderBy("h").collect()]

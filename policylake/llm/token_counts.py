@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise, pretokens
+from policylake.llm.staging import sampled
 
 CACHE = 400_000
 
 
 def frequent(documents: DataFrame, path: str, sample: int = 2_000, chars: int = 8_000, table: int = 131_072) -> tuple[np.ndarray, np.ndarray]:
     """Hash and token count of the most frequent pre-tokens in at most `sample` x `chars` code points."""
-    texts = documents.select(F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(sample).select("text")
-    column = texts.toArrow().column("text")
+    column = pa.array(sampled(documents, "text", sample, chars), pa.string())
     seen: dict[int, list] = {}
     for _, _, data, at in bytewise.chunks(column):
         ok = pretokens.plain(data, at)
