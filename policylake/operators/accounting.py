@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.functions.core import cond_rate, first_of, rounded
 from policylake.functions.dims import constant
-from policylake.operators.order_stats import exact_quantiles
 from policylake.operators.selection import feasible, gated_selection, incumbent_idx, outcome_utility
 from policylake.operators.windows import replay_switches
 
 
-def policy_metrics(df: DataFrame, groups: list[str], cfg: StudyConfig) -> DataFrame:
+def policy_metrics(df: DataFrame, groups: list[str], cfg: ObjectiveSettings) -> DataFrame:
     """All evaluation rates and means of a gated selection in one aggregate."""
     c = F.col
     m = {
@@ -47,16 +46,26 @@ def policy_metrics(df: DataFrame, groups: list[str], cfg: StudyConfig) -> DataFr
 def with_split_quantile(
     metrics: DataFrame, rows: DataFrame, group: str, value: str, prob: float, name: str
 ) -> DataFrame:
-    """Add an exact quantile per group; the groups are the handful of splits in `metrics`."""
-    groups = [r[group] for r in metrics.select(group).limit(64).collect()]
-    values = [
-        (g, exact_quantiles(rows.filter(F.col(group) == g).select(value), value, [prob])[0]) for g in groups
-    ]
-    dim = constant(metrics.sparkSession, values, f"{group} string, {name} double")
-    return metrics.join(dim, group).withColumn(name, rounded(name))
+    """Add an exact, linear-interpolated quantile per group, for any number of groups.
 
+    Equal values are counted first, map side, so the ranking within a group sees distinct values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    of = Window.partitionBy(group)
+    upto = counts.withColumns({
+        "__to": F.sum("__c").over(of.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)),
+        "__at": (F.sum("__c").over(of) - 1) * F.lit(prob),
+    })
 
-def ablation_table(rows: DataFrame, cfg: StudyConfig, variants: dict[str, dict]) -> DataFrame:
+    def ranked(rank: Column) -> Column:
+        return F.max(F.when((F.col("__to") > rank) & (F.col("__to") - F.col("__c") <= rank), F.col("__v")))
+
+    pair = upto.groupBy(group).agg(ranked(F.floor("__at")).alias("__a"), ranked(F.ceil("__at")).alias("__b"), F.first(F.col("__at") - F.floor("__at")).alias("__f"))
+    found = pair.select(group, rounded(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias(name))
+    return metrics.join(found, group)
+
+
+def ablation_table(rows: DataFrame, cfg: ObjectiveSettings, variants: dict[str, dict]) -> DataFrame:
     """One summary row per variant of the gates."""
     out = None
     for name, flags in variants.items():
@@ -72,7 +81,7 @@ def ablation_table(rows: DataFrame, cfg: StudyConfig, variants: dict[str, dict])
     return out
 
 
-def score_selection(picked: DataFrame, cfg: StudyConfig) -> DataFrame:
+def score_selection(picked: DataFrame, cfg: ObjectiveSettings) -> DataFrame:
     """Independent evaluator's costs of the selected action, with replay switches."""
     out = picked.withColumns(
         {
@@ -83,7 +92,7 @@ def score_selection(picked: DataFrame, cfg: StudyConfig) -> DataFrame:
     return replay_switches(out, "selected_action")
 
 
-def selection_summary(scored: DataFrame, groups: list[str], cfg: StudyConfig) -> DataFrame:
+def selection_summary(scored: DataFrame, groups: list[str], cfg: ObjectiveSettings) -> DataFrame:
     pairs = F.count("previous_action")
     return scored.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"),
@@ -98,7 +107,7 @@ def selection_summary(scored: DataFrame, groups: list[str], cfg: StudyConfig) ->
     )
 
 
-def logged_summary(targets: DataFrame, groups: list[str], cfg: StudyConfig) -> DataFrame:
+def logged_summary(targets: DataFrame, groups: list[str], cfg: ObjectiveSettings) -> DataFrame:
     """The same summary for the logged actions and their observed outcomes."""
     t = replay_switches(targets, "action")
     pairs = F.count("previous_action")
@@ -113,7 +122,7 @@ def logged_summary(targets: DataFrame, groups: list[str], cfg: StudyConfig) -> D
     )
 
 
-def decision_values(reranked: DataFrame, cfg: StudyConfig) -> DataFrame:
+def decision_values(reranked: DataFrame, cfg: ObjectiveSettings) -> DataFrame:
     """The seven aligned columns of cluster accounting from an abstaining re-rank."""
     reference = first_of(F.filter("cand", lambda c: c["action"] == F.col("fallback")))
     own = first_of(F.filter("cand", lambda c: c["idx"] == incumbent_idx()))
@@ -146,7 +155,7 @@ def gate_funnel(
     )
 
 
-def profile_statistics(h: DataFrame, cfg: StudyConfig, abstention: float = -0.12) -> DataFrame:
+def profile_statistics(h: DataFrame, cfg: ObjectiveSettings, abstention: float = -0.12) -> DataFrame:
     """Coverage, unconditional score, conditional risk and switch rate per profile."""
     c = first_of(F.filter("cand", lambda x: x["idx"] == F.col("chosen_idx")))
     s = h.withColumn("c", c)

@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.config import CalibrationConfig, StudyConfig
+from policylake.config import CalibrationConfig, ObjectiveSettings
 from policylake.functions.core import cond_rate, first_of, rounded
 from policylake.functions.dims import constant, freeze
 from policylake.operators.candidates import normalise_q, q_norm
@@ -20,7 +20,7 @@ def grid_points(science: CalibrationConfig) -> list[tuple[float, float, float, f
 
 
 def calibration_table(
-    rows: DataFrame, cfg: StudyConfig, science: CalibrationConfig, ood_limit: float, observed_sla: float
+    rows: DataFrame, cfg: ObjectiveSettings, science: CalibrationConfig, ood_limit: float, observed_sla: float
 ) -> DataFrame:
     """One row per grid point with its validation metrics, score and feasibility.
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.functions.core import clip, first_of, uniform
 from policylake.functions.dims import freeze
 
@@ -132,7 +132,7 @@ def q_norm(c: Column) -> Column:
     return F.when(span > 1e-9, clip((c["q"] - F.col("q_low")) / span, 0.0, 1.0)).otherwise(0.5)
 
 
-def score(c: Column, cfg: StudyConfig, planning: bool = True, uncertainty: bool = True) -> Column:
+def score(c: Column, cfg: ObjectiveSettings, planning: bool = True, uncertainty: bool = True) -> Column:
     """1 - weighted cost / weight sum, plus the planning term."""
     unc_w = cfg.uncertainty_weight if uncertainty else 0.0
     total = max(cfg.outcome_weight + unc_w, 1e-9)
@@ -144,7 +144,7 @@ def score(c: Column, cfg: StudyConfig, planning: bool = True, uncertainty: bool
     return value + cfg.planning_weight * q_norm(c) if planning else value
 
 
-def with_scores(df: DataFrame, cfg: StudyConfig, **flags: bool) -> DataFrame:
+def with_scores(df: DataFrame, cfg: ObjectiveSettings, **flags: bool) -> DataFrame:
     """Add field `score` to every candidate."""
     return normalise_q(df).withColumn(
         "cand", F.transform("cand", lambda c: c.withField("score", score(c, cfg, **flags)))

@@ -19,10 +19,14 @@ ORDER = ["epoch_s", "event_id"]
 NO_HASH = "0" * 64
 
 
-def first_rows_per_source(tables: list[DataFrame], n: int) -> DataFrame:
-    """Row cap per source, an option of the reader. The rank filter is applied before the
-    shuffle as well, so a source with most of the rows sends at most n rows per task."""
+def first_rows_per_source(tables: list[DataFrame], n: int | None = None) -> DataFrame:
+    """All tables as one; `n` is the reader's optional row cap per source.
+
+    Up to 1,000 rows, Spark applies the rank per task before the shuffle as well.
+    """
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if n is None:
+        return both
     w = Window.partitionBy("source_id").orderBy("source_row")
     return both.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 

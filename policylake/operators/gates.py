@@ -55,13 +55,18 @@ def randomised_log(log: DataFrame, min_switches: int, min_support: int) -> DataF
     })
 
 
+#: Subsets that one comparison may have; C(18, 3) is 816.
+MAX_SUBSETS = 4_000
+
+
 def configuration_split(train: DataFrame, cell: str, count: int) -> DataFrame:
     """Subset of `count` configurations for the evaluator that maximises coverage on both sides.
 
-    All combinations of the few configurations (18 at most) are compared on bit masks of the
-    cells they cover, built once from a size-checked table.
+    All combinations of the configurations are compared on the sets of configurations that see a
+    cell; more than MAX_SUBSETS combinations are refused, never cut.
     """
     from itertools import combinations
+    from math import comb
 
     from policylake.functions.dims import constant
 
@@ -69,10 +74,12 @@ def configuration_split(train: DataFrame, cell: str, count: int) -> DataFrame:
     configs = [
         (r["training_config"], r["n"])
         for r in cells.groupBy("training_config").agg(F.sum("n").alias("n"))
-        .orderBy(config_number("training_config")).limit(64).collect()
+        .orderBy(config_number("training_config")).limit(MAX_SUBSETS).collect()
     ]
     if len(configs) < count + 3:
         raise ValueError("not enough configurations for disjoint roles")
+    if comb(len(configs), count) > MAX_SUBSETS:
+        raise ValueError(f"{len(configs)} configurations have more than {MAX_SUBSETS} subsets of {count}")
     combos = [(i, list(c)) for i, c in enumerate(combinations([n for n, _ in configs], count))]
     dim = constant(train.sparkSession, combos, "combo int, members array<string>")
     per_cell = cells.groupBy(cell).agg(F.collect_set("training_config").alias("seen"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.functions.core import action_label, clip, decision_list, ratio
 from policylake.operators.order_stats import exact_quantiles
 
@@ -70,15 +70,15 @@ def stability_cost() -> Column:
     )
 
 
-def utility_of(sla: Column, energy: Column, stability: Column, cfg: StudyConfig) -> Column:
+def utility_of(sla: Column, energy: Column, stability: Column, cfg: ObjectiveSettings) -> Column:
     cost = cfg.sla_weight * sla + cfg.energy_weight * energy + cfg.stability_weight * stability
     return 1.0 - cost / cfg.outcome_weight
 
 
 def derive_targets(
-    df: DataFrame, scale: tuple[float, float], cfg: StudyConfig | None = None
+    df: DataFrame, scale: tuple[float, float], cfg: ObjectiveSettings | None = None
 ) -> DataFrame:
-    cfg = cfg or StudyConfig()
+    cfg = cfg or ObjectiveSettings()
     low, high = scale
     out = df.withColumns(
         {

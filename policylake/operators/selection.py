@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.functions.core import clip, decision_list, first_of, uniform
 from policylake.operators.candidates import best, prior, with_scores
 
 
 def gated_selection(
-    df: DataFrame, cfg: StudyConfig, *, safety_gate: bool = True, ood_gate: bool = True, planning: bool = True
+    df: DataFrame, cfg: ObjectiveSettings, *, safety_gate: bool = True, ood_gate: bool = True, planning: bool = True
 ) -> DataFrame:
     """Best safe action; own or fallback action when out of distribution or nothing is safe."""
     out = with_scores(df, cfg, planning=planning)
@@ -47,7 +47,7 @@ def gated_selection(
     )
 
 
-def outcome_utility(c: Column, cfg: StudyConfig, prefix: str) -> Column:
+def outcome_utility(c: Column, cfg: ObjectiveSettings, prefix: str) -> Column:
     cost = (
         cfg.sla_weight * c[f"{prefix}sla"] + cfg.energy_weight * c[f"{prefix}energy"]
         + cfg.stability_weight * c[f"{prefix}stability"]
@@ -56,7 +56,7 @@ def outcome_utility(c: Column, cfg: StudyConfig, prefix: str) -> Column:
 
 
 def hysteresis_selection(
-    df: DataFrame, cfg: StudyConfig, margin: float, *, proposal: Column | None = None,
+    df: DataFrame, cfg: ObjectiveSettings, margin: float, *, proposal: Column | None = None,
     safety: bool = True, ood: bool = True, uncertainty: bool = True, hysteresis: bool = True,
 ) -> DataFrame:
     """Gated selection that keeps the own action unless the gain reaches the margin.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.constants import CLUSTER_COLUMNS
 from policylake.functions.core import cond_rate, first_of, rounded, uniform
 from policylake.functions.dims import freeze
@@ -26,7 +26,7 @@ from policylake.plans.sqltext import (
 )
 from policylake.sources import adapters
 
-CFG = StudyConfig()
+CFG = ObjectiveSettings()
 
 
 def rows_n():

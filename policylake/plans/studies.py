@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.config import CalibrationConfig, StudyConfig
+from policylake.config import CalibrationConfig, ObjectiveSettings
 from policylake.functions.core import cond_rate
 from policylake.operators import candidates, outcomes
 from policylake.operators.order_stats import exact_quantiles
@@ -13,7 +13,7 @@ from policylake.sources import adapters
 
 
 def targets(
-    spark: SparkSession, sf: str, multi_ue: bool = False, cfg: StudyConfig | None = None
+    spark: SparkSession, sf: str, multi_ue: bool = False, cfg: ObjectiveSettings | None = None
 ) -> tuple[DataFrame, tuple[float, float]]:
     """Transitions with outcome costs; the energy scale is fitted on the training split."""
     t = adapters.prepared(spark, sf, multi_ue)
@@ -50,7 +50,7 @@ def candidate_rows(
 
 def calibration_inputs(spark: SparkSession, sf: str):
     """Validation rows with candidates, frozen thresholds and the observed violation rate."""
-    cfg, science = StudyConfig(), CalibrationConfig()
+    cfg, science = ObjectiveSettings(), CalibrationConfig()
     rows, _ = candidate_rows(spark, sf, POLICY_FIELDS + EVALUATOR_FIELDS)
     v = rows.filter("publication_split = 'validation'")
     limit = exact_quantiles(v.select("ood"), "ood", [1.0 - science.ood_fpr])[0]

@@ -1,4 +1,4 @@
-"""Study drivers: cross-fit folds, seed studies, partition benchmark, baselines, generator."""
+"""Study drivers: cross-fit folds, seed studies, partition benchmark, baselines."""
 
 from __future__ import annotations
 
@@ -17,14 +17,7 @@ from policylake.plans import decision_queries as dq
 from policylake.plans import studies
 from policylake.plans.learning_queries import _setup
 from policylake.plans.registry import query
-from policylake.sources import adapters, generator, sinks
-
-
-@query("s17_labelled_table_generator")
-def generated(spark, sf):
-    ids = adapters.table(spark, sf, "events").select("event_id")
-    return generator.labelled_table(ids, "event_id").groupBy("policy_label", "slice_type").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("latency"), F.avg("prb_utilization").alias("prb"))
+from policylake.sources import adapters, sinks
 
 
 @query("d23_baseline_comparison")

@@ -28,40 +28,48 @@ from policylake.sources import adapters, telemetry
 
 def _payload(spark, sf):
     o = adapters.observations(spark, sf)
+    deep = F.array(F.struct((F.col("event_id") + 0.5).alias("leaf")))
+    for name in "fedcba":
+        deep = F.struct(deep.alias(name))
     js = F.to_json(F.struct(
         F.col("cell_id").alias("ran_node"),
         F.array(F.struct(F.col("downlink_mbps").alias("dl_brate"), F.col("uplink_mbps").alias("ul_brate"),
                          (F.col("prb_utilization") * 100).alias("dl_prb"), F.col("active_users").alias("nof_ues"))).alias("cells"),
         F.array(F.struct(F.lit("RSRP").alias("name"), F.col("rsrp_dbm").alias("value")),
-                F.struct(F.lit("SINR").alias("name"), F.col("sinr_db").alias("value"))).alias("metrics"),
+                F.struct(F.lit("SINR").alias("name"), F.col("sinr_db").alias("value")),
+                # the last value of a repeated name counts
+                F.struct(F.when(F.col("event_id") % 3 == 0, "SINR").otherwise("OTHER").alias("name"), (F.col("sinr_db") + 1).alias("value"))).alias("metrics"),
+        deep.alias("deep"),
     ))
+    js = F.when(F.col("event_id") % 53 == 0, F.substring(js, F.lit(1), F.length(js) - 3)).otherwise(js)  # cut short: no JSON
     return o.select("event_id", "cell_id", "slice_type", js.alias("payload"))
 
 
-_FLAT = """flat AS (SELECT event_id, unnest(['cells[0].dl_brate', 'cells[0].ul_brate', 'cells[0].dl_prb', 'cells[0].nof_ues', 'RSRP', 'SINR', 'metrics[0].value', 'metrics[1].value']) AS path,
-  unnest([downlink_mbps, uplink_mbps, prb_utilization * 100, active_users::DOUBLE, rsrp_dbm, sinr_db, rsrp_dbm, sinr_db]) AS value FROM obs)"""
+_LAST = "CASE WHEN event_id % 3 = 0 THEN sinr_db + 1 ELSE sinr_db END"
+_FLAT = f"""flat AS (SELECT event_id, unnest(['cells[0].dl_brate', 'cells[0].ul_brate', 'cells[0].dl_prb', 'cells[0].nof_ues', 'RSRP', 'SINR', 'metrics[0].value', 'metrics[1].value', 'metrics[2].value', 'deep.a.b.c.d.e.f[0].leaf', CASE WHEN event_id % 3 <> 0 THEN 'OTHER' END]) AS path,
+  unnest([downlink_mbps, uplink_mbps, prb_utilization * 100, active_users::DOUBLE, rsrp_dbm, {_LAST}, rsrp_dbm, sinr_db, sinr_db + 1, event_id + 0.5::DOUBLE, sinr_db + 1]) AS value FROM obs WHERE event_id % 53 <> 0)"""
 
 
-@query("s10_nested_json_flatten", with_(OBS, _FLAT, body=f"SELECT event_id, path, {r9('value', 'value')} FROM flat"))
+@query("s10_nested_json_flatten", with_(OBS, _FLAT, body=f"SELECT event_id, path, {r9('value', 'value')} FROM flat WHERE path IS NOT NULL"))
 def flatten(spark, sf):
     f = telemetry.flatten_payload(_payload(spark, sf), "event_id", "payload")
     return f.select("event_id", "path", rounded("value").alias("value"))
 
 
-_MAPPED = """mapped AS (SELECT event_id, cell_id, downlink_mbps, uplink_mbps, CASE WHEN prb_utilization * 100 > 1.5 THEN prb_utilization * 100 / 100.0::DOUBLE ELSE prb_utilization * 100 END AS prb_utilization,
-  active_users, rsrp_dbm, sinr_db, 30.0::DOUBLE AS latency_ms, 5.0::DOUBLE AS jitter_ms, 0.0::DOUBLE AS packet_loss_pct, 0.55::DOUBLE AS energy_load, 0.5::DOUBLE AS handover_failure_pct,
-  greatest(1.0::DOUBLE, downlink_mbps * 1.08::DOUBLE) AS throughput_demand_mbps, 6 / 12.0::DOUBLE AS telemetry_completeness FROM obs)"""
+_MAPPED = f"""mapped AS (SELECT event_id, cell_id, downlink_mbps, uplink_mbps, CASE WHEN prb_utilization * 100 > 1.5 THEN prb_utilization * 100 / 100.0::DOUBLE ELSE prb_utilization * 100 END AS prb_utilization,
+  active_users, rsrp_dbm, {_LAST} AS sinr_db, 30.0::DOUBLE AS latency_ms, 5.0::DOUBLE AS jitter_ms, 0.0::DOUBLE AS packet_loss_pct, 0.55::DOUBLE AS energy_load, 0.5::DOUBLE AS handover_failure_pct,
+  greatest(1.0::DOUBLE, downlink_mbps * 1.08::DOUBLE) AS throughput_demand_mbps, 6 / 12.0::DOUBLE AS telemetry_completeness FROM obs WHERE event_id % 53 <> 0)"""
 _MAPCOLS = [c for c in KPI_COLUMNS] + ["telemetry_completeness"]
 
 
 def _mapped(spark, sf):
     p = _payload(spark, sf)
-    return telemetry.map_metrics(telemetry.metric_entries(telemetry.flatten_payload(p, "event_id", "payload"), "event_id")), p
+    return telemetry.map_metrics(telemetry.with_entries(p, "payload").where("entries is not null"))
 
 
 @query("s11_metric_alias_mapping", with_(OBS, _MAPPED, body=f"SELECT event_id, {', '.join(r9(c, c) for c in _MAPCOLS)} FROM mapped"))
 def alias_mapping(spark, sf):
-    m, _ = _mapped(spark, sf)
+    m = _mapped(spark, sf)
     return m.select("event_id", *[rounded(c).alias(c) for c in _MAPCOLS])
 
 
@@ -70,13 +78,13 @@ def alias_mapping(spark, sf):
     with_(OBS, _MAPPED, body="SELECT event_id, cell_id, 'eMBB' AS slice_type, round(downlink_mbps, 9) AS downlink_mbps, round(sinr_db, 9) AS sinr_db FROM mapped"),
 )
 def indications(spark, sf):
-    m, p = _mapped(spark, sf)
-    ids = p.select(
+    m = _mapped(spark, sf)
+    return m.select(
         "event_id",
         F.coalesce(F.get_json_object("payload", "$.cell_id"), F.get_json_object("payload", "$.ran_node"), F.lit("e2-cell")).alias("cell_id"),
         F.coalesce(F.get_json_object("payload", "$.slice_type"), F.lit("eMBB")).alias("slice_type"),
+        rounded("downlink_mbps").alias("downlink_mbps"), rounded("sinr_db").alias("sinr_db"),
     )
-    return m.join(ids, "event_id").select("event_id", "cell_id", "slice_type", rounded("downlink_mbps").alias("downlink_mbps"), rounded("sinr_db").alias("sinr_db"))
 
 
 @query(
@@ -124,16 +132,29 @@ def normalisation(spark, sf):
                     F.array_join("measured_fields", ",").alias("measured_fields"))
 
 
+@query(
+    "s7_multi_table_read",
+    with_(OBS, _FOREIGN, body="""SELECT source_id, source_row, observed FROM (SELECT 'public' AS source_id, event_id AS source_row, len(measured) AS observed FROM norm UNION ALL
+    SELECT 'second', event_id, (latency_ms IS NOT NULL)::INT + (jitter_ms IS NOT NULL)::INT + (sinr_db IS NOT NULL)::INT FROM obs)"""),
+)
+def multi_table_read(spark, sf):
+    every = cells.first_rows_per_source(_two_tables(spark, sf), None)
+    return every.select("source_id", "source_row", F.size("measured_fields").alias("observed"))
+
+
 @query(
     "s7_multi_table_cap",
     with_(OBS, _FOREIGN, body="""SELECT source_id, source_row FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY source_row) AS rn FROM (
     SELECT 'public' AS source_id, event_id AS source_row FROM norm UNION ALL SELECT 'second', event_id FROM obs)) WHERE rn <= 100"""),
 )
 def multi_table(spark, sf):
+    return cells.first_rows_per_source(_two_tables(spark, sf), 100).select("source_id", "source_row")
+
+
+def _two_tables(spark, sf):
     second = adapters.observations(spark, sf).select(
         "event_id", F.col("latency_ms").alias("RTT ms"), F.col("jitter_ms").alias("Jitter"), F.col("sinr_db").alias("SS-SINR"))
-    tables = [_normalized(spark, sf), telemetry.normalize_table(second, "second", "data", "event_id")]
-    return cells.first_rows_per_source(tables, 100).select("source_id", "source_row")
+    return [_normalized(spark, sf), telemetry.normalize_table(second, "second", "data", "event_id")]
 
 
 @query(
@@ -173,18 +194,6 @@ def replay(spark, sf):
     return telemetry.replay(adapters.observations(spark, sf)).select("event_id", "sequence", "source")
 
 
-@query(
-    "s9_load_test_columns",
-    with_(OBS, "l AS (SELECT event_id, 0.62::DOUBLE + 0.25::DOUBLE * sin(event_id / 8.0::DOUBLE) AS load FROM obs)",
-          body=f"""SELECT event_id, {r9(clip_sql('load', 0.08, 1.15), 'prb_utilization')}, {r9('24 + 50 * greatest(0.0::DOUBLE, load - 0.72::DOUBLE)', 'latency_ms')},
-          {r9('greatest(20.0::DOUBLE, 150 * (1.12::DOUBLE - load * 0.35::DOUBLE))', 'downlink_mbps')}, {r9('110 + 85 * (1 + sin(event_id / 8.0::DOUBLE * 0.9::DOUBLE)) / 2', 'throughput_demand_mbps')} FROM l"""),
-)
-def load_test(spark, sf):
-    c = telemetry.load_test_columns(F.col("event_id"))
-    names = ["prb_utilization", "latency_ms", "downlink_mbps", "throughput_demand_mbps"]
-    return adapters.observations(spark, sf).select("event_id", *[rounded(c[n]).alias(n) for n in names])
-
-
 @query(
     "s15_policy_catalogue",
     with_(OBS, policies_cte(), body=f"SELECT policy, scheduler, prb_share_delta, latency_factor, (SELECT count(*) FROM obs WHERE {LABEL_SQL} = policy) AS labelled FROM pol"),

@@ -34,10 +34,12 @@ def local_session(cores: str | int = "*", app: str = "policylake") -> SparkSessi
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's `spark.checkpoint.dir`.
 
-    Only where the session names none (tests on one machine) a local folder is made and set.
+    Only a local session that names none (tests on one machine) gets a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="policylake-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="policylake-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")

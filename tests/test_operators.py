@@ -8,9 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from policylake.config import StudyConfig
+from policylake.config import ObjectiveSettings
 from policylake.functions import core
-from policylake.operators import aggregates, cells, gates, history, inference, order_stats, quality, selection, windows
+from policylake.operators import accounting, aggregates, cells, gates, history, inference, order_stats, quality, selection, windows
 from policylake.sources import telemetry, trace
 
 
@@ -112,8 +112,40 @@ def test_holm_is_monotone(spark):
 
 def test_aliases_of_foreign_columns():
     cols = ["Signal (dBm)", "Download (Mbps)", "Upload (Mbps)", "Ping (ms)", "Location"]
-    assert telemetry.find_column(cols, ["signaldbm"]) == "Signal (dBm)"
-    assert telemetry.find_column(cols, ["ping", "pingms"]) == "Ping (ms)"
+    got = telemetry.resolve_columns(cols, {"rsrp": ["signaldbm"], "latency": ["ping", "pingms"], "down": ["download"], "none": ["rtt"]})
+    assert got == {"rsrp": "Signal (dBm)", "latency": "Ping (ms)", "down": "Download (Mbps)", "none": None}
+
+
+def test_payload_numbers_at_any_depth():
+    deep = "1.5"
+    for _ in range(8):
+        deep = '{"a": [' + deep + ', {"b": 2}]}' if deep == "1.5" else '{"a": ' + deep + "}"
+    got = dict(telemetry.payload_numbers(deep))
+    assert got == {".".join("a" * 8) + "[1].b": 2.0}
+    named = '[{"name": "X", "value": 1}, {"name": "Y", "value": 2}, {"metric": "X", "value": 3}]'
+    assert telemetry.payload_numbers(named) == [("X", 3.0), ("[0].value", 1.0), ("Y", 2.0), ("[1].value", 2.0), ("[2].value", 3.0)]
+    assert telemetry.payload_numbers("{") is None and telemetry.payload_numbers(None) is None
+    assert telemetry.payload_numbers("7") == [] and telemetry.payload_numbers("{}") == []
+
+
+def test_broken_payloads_are_quarantined(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{oops"), (3, None)], "id int, p string")
+    assert [r["id"] for r in telemetry.quarantined(df, "p").collect()] == [2, 3]
+    assert [tuple(r) for r in telemetry.flatten_payload(df, "id", "p").collect()] == [(1, "a", 1.0)]
+
+
+def test_quantiles_of_many_groups(spark):
+    rows = [(f"g{i}", float(j)) for i in range(90) for j in range(5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    names = df.select("g").distinct()
+    got = accounting.with_split_quantile(names, df, "g", "v", 0.5, "q").collect()
+    assert len(got) == 90 and {r["q"] for r in got} == {2.0}
+
+
+def test_too_many_configurations_stop(spark):
+    df = spark.createDataFrame([(f"tr{i}", "c") for i in range(30)], "training_config string, cell string")
+    with pytest.raises(ValueError, match="configurations"):
+        gates.configuration_split(df, "cell", 3)
 
 
 def test_hints_are_bounded_and_known():
@@ -125,7 +157,7 @@ def test_hints_are_bounded_and_known():
 
 def test_config_checks():
     with pytest.raises(ValueError):
-        StudyConfig(sla_threshold=1.5)
+        ObjectiveSettings(sla_threshold=1.5)
 
 
 def test_uniform_is_stable_and_in_range(spark):
