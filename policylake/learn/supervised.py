@@ -120,12 +120,14 @@ def named_prediction(model, df: DataFrame) -> DataFrame:
 
 
 def perturbed(df: DataFrame, share: float = 0.05) -> DataFrame:
-    """Each KPI times (1 + 5 % Gaussian noise from portable uniforms)."""
+    """Each KPI plus Gaussian noise of `share` of the column's spread, from portable uniforms."""
+    spread = df.agg(*(F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in KPI_COLUMNS)).first()
+
     def gauss(c: str) -> Column:
         a, b = uniform("n1", F.lit(c), F.col("event_id")), uniform("n2", F.lit(c), F.col("event_id"))
         return F.sqrt(-2.0 * F.ln(a)) * F.cos(2 * 3.141592653589793 * b)
 
-    return df.withColumns({c: F.col(c) * (1 + share * gauss(c)) for c in KPI_COLUMNS})
+    return df.withColumns({c: F.col(c) + share * float(spread[c]) * gauss(c) for c in KPI_COLUMNS})
 
 
 # ---- one-step transition model -------------------------------------------------------------

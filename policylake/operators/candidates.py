@@ -99,8 +99,13 @@ FIELD_BUILDERS: dict[str, Callable[[Column], Column]] = {
 
 
 def with_candidates(rows: DataFrame, cells: DataFrame, fields: list[str]) -> DataFrame:
-    """Add `cand` (array of structs in action order), `fallback`, `ood`, `cur` (own cell or null)."""
-    joined = rows.join(slice_arrays(cells), "slice_type")
+    """Add `cand` (array of structs in action order), `fallback`, `ood`, `cur` (own cell or null).
+
+    A row of a slice without any action in common support stops the job; no row vanishes.
+    """
+    joined = rows.join(slice_arrays(cells), "slice_type", "left")
+    lost = F.raise_error(F.concat(F.lit("no action in common support for slice "), F.coalesce("slice_type", F.lit("null"))))
+    joined = joined.withColumn("cells", F.when(F.col("cells").isNotNull(), F.col("cells")).otherwise(lost))
     built = F.transform(
         "cells",
         lambda c: F.struct(

@@ -42,30 +42,32 @@ def labelled_gates(df: DataFrame, features: list[str], labels: list[str]) -> Dat
     return gate_table(facts, {"non_empty": F.col("n") > 0, "no_null_feature": F.col("nulls") == 0, "known_labels": F.col("unknown") == 0})
 
 
-def dwell_churn_guard(
-    df: DataFrame, dwell: float = 5.0, window: float = 60.0, max_switches: int = 6, keep: int = 64, bucket: float = 7 * DAY
-) -> DataFrame:
+def dwell_churn_guard(df: DataFrame, dwell: float = 5.0, window: float = 60.0, max_switches: int = 6, bucket: float = 7 * DAY) -> DataFrame:
     """Reject a policy change too soon after the last event or after too many switches.
 
-    Looks at the last `keep` events of the cell; needs cell_id, epoch_s, event_id, policy.
+    Counts every switch between earlier events of the cell that are at most `window` seconds old.
+    A row also goes to the bucket behind its own where its window reaches into it, so a cell's
+    history stays cut into buckets; needs cell_id, epoch_s, event_id, policy.
     """
-    h = previous_values(df, ["cell_id"], ORDER, time_bucket("epoch_s", bucket), F.struct("epoch_s", "policy"), keep, "__h")
-    last = F.try_element_at("__h", F.lit(-1))
-    recent = F.filter("__h", lambda e: F.col("epoch_s") - e["epoch_s"] <= window)
-    h = h.withColumns({"__last": last, "__recent": recent})
-    pairs = F.zip_with(
-        F.slice("__recent", 1, F.greatest(F.size("__recent") - 1, F.lit(0))),
-        F.slice("__recent", 2, F.greatest(F.size("__recent") - 1, F.lit(0))),
-        lambda a, b: a["policy"] != b["policy"],
-    )
-    h = h.withColumns({"switches": F.size(F.filter(pairs, lambda x: x)), "__changes": F.col("policy") != F.col("__last.policy")})
-    young = F.col("epoch_s") - F.col("__last.epoch_s") < dwell
+    width = max(bucket, window)
+    own = time_bucket("epoch_s", width)
+    reach = time_bucket("__end", width)
+    spread = df.withColumn("__end", F.col("epoch_s") + window).withColumn("__b", F.explode(F.sequence(own, reach))).withColumn("__own", F.col("__b") == own)
+    rows = Window.partitionBy("cell_id", "__b").orderBy(*ORDER)
+    change = F.when(F.lag("policy").over(rows) != F.col("policy"), 1).otherwise(0)
+    counted = spread.withColumn("__c", change).withColumn("__sum", F.sum("__c").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    # sums only grow, so the least one in the window is that of its first event
+    first = F.expr(f"min(__sum) OVER (PARTITION BY cell_id, __b ORDER BY epoch_s RANGE BETWEEN {float(window)!r}D PRECEDING AND CURRENT ROW)")
+    switches = F.lag("__sum").over(rows) - first
+    h = counted.withColumn("switches", F.greatest(F.lit(0), F.coalesce(switches, F.lit(0)))).where("__own").drop("__end", "__b", "__own", "__c", "__sum")
+    h = previous_value(h, ["cell_id"], ORDER, time_bucket("epoch_s", width), F.struct("epoch_s", "policy"), "__last")
+    changes = F.col("policy") != F.col("__last.policy")
     return h.withColumns(
         {
-            "dwell_reject": F.coalesce(F.col("__changes") & young, F.lit(False)),
-            "churn_reject": F.coalesce(F.col("__changes") & (F.col("switches") >= max_switches), F.lit(False)),
+            "dwell_reject": F.coalesce(changes & (F.col("epoch_s") - F.col("__last.epoch_s") < dwell), F.lit(False)),
+            "churn_reject": F.coalesce(changes & (F.col("switches") >= max_switches), F.lit(False)),
         }
-    ).drop("__h", "__last", "__recent", "__changes")
+    ).drop("__last")
 
 
 def forecasts(df: DataFrame, value: str, horizon: int = 5, points: int = 24, bucket: float = 7 * DAY) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.config import ObjectiveSettings
-from policylake.functions.core import clip, decision_list, first_of, uniform
+from policylake.functions.core import clip, decision_list, finite, first_of, uniform
 from policylake.operators.candidates import best, prior, with_scores
 
 
@@ -67,8 +67,8 @@ def hysteresis_selection(
 
     def is_safe(c: Column) -> Column:
         if not safety:
-            return F.lit(True)
-        return (c["sla"] <= cfg.sla_threshold) & (c["unc"] <= cfg.uncertainty_threshold)
+            return finite(c["score"])
+        return finite(c["score"]) & (c["sla"] <= cfg.sla_threshold) & (c["unc"] <= cfg.uncertainty_threshold)
 
     pool = F.filter("cand", is_safe)
     if proposal is not None:
@@ -95,9 +95,15 @@ def hysteresis_selection(
 # ---- abstaining re-rank --------------------------------------------------------------------
 
 def feasible(c: Column, max_sla: float, max_unc: float) -> Column:
+    """Supported and within both gates."""
     return c["sup"] & (c["sla"] <= max_sla) & (c["unc"] <= max_unc)
 
 
+def rankable(c: Column, max_sla: float, max_unc: float) -> Column:
+    """Feasible with a finite score; NaN would sort above every score."""
+    return feasible(c, max_sla, max_unc) & finite(c["score"])
+
+
 def incumbent_idx() -> Column:
     return F.coalesce("cur.idx", F.lit(-1))
 
@@ -108,7 +114,7 @@ def switched_score(c: Column, cost: float) -> Column:
 
 def rerank(df: DataFrame, max_sla: float = 0.45, max_unc: float = 0.5, switch_cost: float = 0.0) -> DataFrame:
     """Best eligible action or nothing; `df` must carry scored candidates with `sup`."""
-    out = df.withColumn("valid", F.filter("cand", lambda c: feasible(c, max_sla, max_unc)))
+    out = df.withColumn("valid", F.filter("cand", lambda c: rankable(c, max_sla, max_unc)))
     return out.withColumns(
         {
             "chosen": best(F.col("valid"), lambda c: switched_score(c, switch_cost)),
@@ -140,9 +146,13 @@ def behaviour_selection(
     def adj(c: Column) -> Column:
         return switched_score(c, switch_cost)
 
-    ok = F.filter("cand", lambda c: feasible(c, max_sla, max_unc))
+    ok = F.filter("cand", lambda c: rankable(c, max_sla, max_unc))
     out = df.withColumn("valid", ok)
     reason = F.lit("selected")
+    empty = F.lit("no_eligible_action")
+    if mode in ("behavior_clone", "behavior_kl"):  # an action never logged has no prior to follow
+        out = out.withColumns({"safe": F.size("valid"), "valid": F.filter("valid", lambda c: prior(c) > 0)})
+        empty = F.when(F.col("safe") > 0, "no_behavior_prior").otherwise(empty)
     if mode == "boltzmann":
         out = out.withColumn("peak", F.array_max(F.transform("valid", adj)))
         out = out.withColumn(
@@ -185,7 +195,7 @@ def behaviour_selection(
         F.lit(mode).alias("mode"),
         F.when(none, -1).otherwise(chosen).alias("chosen_idx"),
         F.size("valid").alias("eligible"),
-        F.when(none, "no_eligible_action").otherwise(reason).alias("reason"),
+        F.when(none, empty).otherwise(reason).alias("reason"),
     )
 
 
@@ -234,7 +244,7 @@ def safe_improvement(
             value = value + hint_weight * hint_value(c, hints)
         return value - F.when(c["idx"] != incumbent_idx(), switch_cost).otherwise(0.0)
 
-    out = df.withColumn("valid", F.filter("cand", lambda c: feasible(c, max_sla, max_unc)))
+    out = df.withColumn("valid", F.filter("cand", lambda c: rankable(c, max_sla, max_unc)))
     out = out.withColumn("verified", F.exists("valid", lambda c: c["idx"] == incumbent_idx()))
     if mode == "behavior_anchored_lcb":
         out = out.withColumn("valid", F.filter("valid", lambda c: prior(c) >= min_prob))
@@ -327,7 +337,7 @@ def hybrid_selection(
     max_ood: float = 0.9, base_cost: float = 0.01,
 ) -> DataFrame:
     """One row per (row, profile); the candidate gate is evaluated once for all profiles."""
-    ok = F.filter("cand", lambda c: feasible(c, max_sla, max_unc) & (F.col("ood") <= max_ood))
+    ok = F.filter("cand", lambda c: rankable(c, max_sla, max_unc) & (F.col("ood") <= max_ood))
     out = df.withColumn("valid", ok)
     out = out.withColumn("own_ok", F.exists("valid", lambda c: c["idx"] == incumbent_idx()))
     choices = F.array(

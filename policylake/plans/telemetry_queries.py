@@ -293,7 +293,7 @@ def labelled_events(spark, sf):
     "w5_dwell_churn_guard",
     with_(
         OBS, _EV,
-        "hist AS (SELECT a.event_id, a.policy AS p, a.epoch_s AS t, b.policy AS hp, b.epoch_s AS ht, b.rn, lag(b.policy) OVER (PARTITION BY a.event_id ORDER BY b.rn) AS hpp, lag(b.epoch_s) OVER (PARTITION BY a.event_id ORDER BY b.rn) AS hpt, a.rn AS arn FROM ev a JOIN ev b ON a.cell_id = b.cell_id AND b.rn < a.rn AND b.rn >= a.rn - 64)",
+        "hist AS (SELECT a.event_id, a.policy AS p, a.epoch_s AS t, b.policy AS hp, b.epoch_s AS ht, b.rn, lag(b.policy) OVER (PARTITION BY a.event_id ORDER BY b.rn) AS hpp, lag(b.epoch_s) OVER (PARTITION BY a.event_id ORDER BY b.rn) AS hpt, a.rn AS arn FROM ev a JOIN ev b ON a.cell_id = b.cell_id AND b.rn < a.rn AND (b.rn = a.rn - 1 OR b.epoch_s >= a.epoch_s - 21600))",
         "g AS (SELECT event_id, count_if(hpp <> hp AND t - hpt <= 21600) AS switches, bool_or(rn = arn - 1 AND hp <> p) AS changes, bool_or(rn = arn - 1 AND t - ht < 1800) AS young FROM hist GROUP BY 1)",
         body="SELECT ev.event_id, coalesce(changes AND young, false) AS dwell_reject, coalesce(changes AND switches >= 6, false) AS churn_reject FROM ev LEFT JOIN g USING (event_id)",
     ),

@@ -2,8 +2,8 @@
 
 Every stream reads files with a fixed schema, runs with `availableNow`, writes Parquet below the
 session's shared checkpoint folder and can be compared with its batch twin. Per-cell state is
-keyed by cell and bounded (64 policy events, 120 history points, one baseline, one hash), and
-event-time order holds inside a micro-batch; later rows are dropped by the watermark.
+keyed by cell and bounded (the policy events of one churn window, 120 history points, one
+baseline, one hash), and event-time order holds inside a micro-batch; later rows are dropped by the watermark.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from policylake.session import shared_folder
 from policylake.sources import adapters
 
 WATERMARK = "1 day"
-KEEP_EVENTS, KEEP_HISTORY = 64, 120
+KEEP_HISTORY = 120
 NO_HASH = "0" * 64
 
 
@@ -125,7 +125,7 @@ def cell_update(dwell: float, window: float, max_switches: int, alpha: float = 0
                     or r.packet_loss_pct - base[1] > 5.0
                     or (base[2] > 0 and (r.latency_ms - base[2]) / base[2] * 100 > 20.0)
                 )
-            events = (events + [[r.epoch_s, r.policy]])[-KEEP_EVENTS:]
+            events = [e for e in events if r.epoch_s - e[0] <= window] + [[r.epoch_s, r.policy]]
             if r.policy != "balanced":
                 base = [r.downlink_mbps, r.packet_loss_pct, r.latency_ms]
             history = (history + [r.throughput_demand_mbps])[-KEEP_HISTORY:]

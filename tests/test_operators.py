@@ -185,3 +185,24 @@ def test_selection_plan_has_no_row_shuffle(spark):
     plan = catalog.QUERIES["d1_governed_decision"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan  # only the spread of a one-file input shuffles
     assert "Sort" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_switches_are_counted_without_an_event_cap(spark):
+    rng = random.Random(4)
+    rows = [("c", float(t), i, rng.choice("ab")) for i, t in enumerate(sorted(rng.uniform(0, 4000) for _ in range(400)))]
+    df = spark.createDataFrame(rows, "cell_id string, epoch_s double, event_id long, policy string")
+    got = {r["event_id"]: (r["switches"], r["dwell_reject"], r["churn_reject"]) for r in cells.dwell_churn_guard(df, dwell=3.0, window=1500.0, max_switches=70, bucket=1500.0).collect()}
+    for i, (_, t, _, p) in enumerate(rows):
+        near = [r for r in rows[:i] if t - r[1] <= 1500.0]
+        n = sum(a[3] != b[3] for a, b in zip(near, near[1:], strict=False))
+        change = i > 0 and rows[i - 1][3] != p
+        assert got[i] == (n, change and t - rows[i - 1][1] < 3.0, change and n >= 70)
+    assert max(n for n, *_ in got.values()) > 64
+
+
+def test_a_broken_score_is_never_chosen(spark):
+    cand = "array<struct<idx: int, action: string, score: double, sla: double, unc: double, sup: boolean>>"
+    rows = [(1, [(0, "a", float("nan"), 0.1, 0.1, True), (1, "b", 0.2, 0.1, 0.1, True)]), (2, [(0, "a", float("nan"), 0.1, 0.1, True)])]
+    df = spark.createDataFrame(rows, f"row_id int, cand {cand}").withColumn("cur", F.lit(None).cast(cand[6:-1]))
+    got = {r["row_id"]: (r["chosen"]["action"] if r["chosen"] else None, r["abstain"]) for r in selection.rerank(df).collect()}
+    assert got == {1: ("b", False), 2: (None, True)}
