@@ -13,7 +13,7 @@ compared, and a logistic curve fitted on the training rows turns them into a sco
 
 Counts cover all labelled training rows: tasks add up and shuffle (expression, counts), which
 grows with the input; the broadcast table is bounded by `table`. The curve is fitted on at most
-`calibration` training rows, the smallest by hash.
+`calibration` labelled rows, the smallest by hash of the key, as far as they are training rows.
 
 A null or empty text has both likelihoods 0 and gets the score of an unmarked text. Rows without a
 label are not learned from; a key with several labels counts once with the largest. Without any
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise
-from policylake.llm.staging import staged
+from policylake.llm.staging import likely, maybe, staged
 
 DISCOUNT = 0.75
 PREFIXES = (8, 5)
@@ -89,6 +89,18 @@ def _counts(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1")))
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (_k, text) whose key may be in `labels`."""
+    bits = rows.sparkSession.sparkContext.broadcast(likely(labels.select(F.xxhash64("_k").alias("_h")), "_h"))
+    hashed = rows.select("*", F.xxhash64("_k").alias("_h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe(bits.value, batch.column("_h").to_numpy().view(np.uint64))))
+
+    return hashed.mapInArrow(run, hashed.schema).drop("_h")
+
+
 def _table(counts: DataFrame, least_docs: int, least_g: float, table: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and log ratios of the expressions whose classes differ."""
     kept = staged(counts.where((F.col("d0") + F.col("d1") >= least_docs) | (F.col("key") == 0)), "counts")
@@ -163,10 +175,11 @@ def _curve(ratio: np.ndarray, words: np.ndarray, label: np.ndarray) -> np.ndarra
 def learned(documents: DataFrame, labels: DataFrame, trained: Column, least_docs: int = 4, least_g: float = 14.0, table: int = 131_072, calibration: int = 20_000, key: str = "doc_id"):
     """The ratio table and the curve, from the rows of `documents` where `trained` holds."""
     own = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = documents.where(trained).select(F.col(key).alias("_k"), F.col("text").cast("string").alias("text")).join(own, "_k")
-    model = _table(_counts(rows), least_docs, least_g, table)
-    order = F.xxhash64("_k", F.lit(5))
-    scored = _likelihoods(rows, model, [order.alias("_h"), "toxic"]).orderBy("_h").limit(calibration).toArrow()
+    rows = documents.where(trained).select(F.col(key).alias("_k"), F.col("text").cast("string").alias("text"))
+    # merge at every size: neither side has a bound; texts without a label do not travel
+    model = _table(_counts(_labelled(rows, own).join(own.hint("merge"), "_k")), least_docs, least_g, table)
+    some = own.select("*", F.xxhash64("_k", F.lit(5)).alias("_h")).orderBy("_h").limit(calibration)
+    scored = _likelihoods(rows.join(F.broadcast(some), "_k"), model, ["_h", "toxic"]).orderBy("_h").toArrow()
     label = scored.column("toxic").to_numpy().astype(float)
     if not len(label) or label.min() == label.max():
         share = label.mean() if len(label) else 0.5
