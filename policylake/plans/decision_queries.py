@@ -51,13 +51,13 @@ def expansion(spark, sf):
     )
 
 
-_SMALL = "publication_split = 'train' AND training_config = 'tr3' AND base_station = 'bs1'"
+_TRAIN = "publication_split = 'train'"
 
 
 @query(
     "j2_supported_action_mask",
     with_(
-        transitions_cte(), f"sup AS (SELECT DISTINCT slice_type, action FROM trans WHERE {_SMALL})",
+        transitions_cte(), f"sup AS (SELECT DISTINCT slice_type, action FROM trans WHERE {_TRAIN})",
         body="""SELECT t.slice_type, a.action AS candidate, count(*) AS n,
         count_if(EXISTS (SELECT 1 FROM sup WHERE sup.slice_type = t.slice_type AND sup.action = a.action)) AS supported
         FROM trans t, (SELECT DISTINCT action FROM trans WHERE publication_split = 'train') a GROUP BY ALL""",
@@ -66,14 +66,14 @@ _SMALL = "publication_split = 'train' AND training_config = 'tr3' AND base_stati
 def mask(spark, sf):
     t = adapters.prepared(spark, sf)
     long = joins.expand_candidates(t.select("slice_type", "action"), t.filter("publication_split = 'train'"))
-    flagged = joins.support_flag(long, t.filter(_SMALL), "candidate")
+    flagged = joins.support_flag(long, t.filter(_TRAIN), "candidate")
     return flagged.groupBy("slice_type", "candidate").agg(rows_n(), F.count_if("supported").alias("supported"))
 
 
 @query(
     "j3_slice_fallback_lookup",
     with_(
-        targets_cte(), f"sup AS (SELECT slice_type, action, count(*) AS n FROM targets WHERE {_SMALL} GROUP BY ALL)",
+        targets_cte(), f"sup AS (SELECT slice_type, action, count(*) AS n FROM targets WHERE {_TRAIN} GROUP BY ALL)",
         """fb AS (SELECT slice_type, arg_min(action, rk) AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY slice_type ORDER BY n DESC, action) AS rk FROM sup) GROUP BY 1)""",
         body="""SELECT t.row_id, coalesce(s.action, fb.fallback) AS normalized_action, s.action IS NULL AS replaced
         FROM targets t JOIN fb USING (slice_type) LEFT JOIN sup s ON s.slice_type = t.slice_type AND s.action = t.current_action""",
@@ -81,7 +81,7 @@ def mask(spark, sf):
 )
 def fallback_lookup(spark, sf):
     t, _ = studies.targets(spark, sf)
-    small = t.filter(_SMALL)
+    small = t.filter(_TRAIN)
     support = freeze(small.select("slice_type", "action").distinct())
     fallback = freeze(candidates.most_frequent_fallback(small, support))
     out = joins.keep_or_fallback(t.select("row_id", "slice_type", "current_action"), "current_action", support, fallback)
@@ -170,8 +170,8 @@ def exactly_once(spark, sf):
     "j16_common_support",
     with_(
         transitions_cte(),
-        "p AS (SELECT DISTINCT slice_type, action, base_station FROM trans WHERE publication_split = 'train' AND experiment = 'exp1' AND training_config = 'tr1')",
-        "e AS (SELECT DISTINCT slice_type, action, base_station FROM trans WHERE publication_split = 'train' AND experiment = 'exp2' AND training_config = 'tr1')",
+        "p AS (SELECT DISTINCT slice_type, action, base_station FROM trans WHERE publication_split = 'train' AND experiment = 'exp1')",
+        "e AS (SELECT DISTINCT slice_type, action, base_station FROM trans WHERE publication_split = 'train' AND experiment = 'exp2')",
         body=f"""SELECT base_station, (SELECT count(*) FROM p p2 WHERE p2.base_station = p.base_station) AS policy_cells,
         (SELECT count(*) FROM e WHERE e.base_station = p.base_station) AS evaluator_cells, count(e.action) AS common_cells,
         {r9('count(e.action) / count(*)', 'policy_coverage')}, {r9('count(e.action) / (SELECT count(*) FROM e WHERE e.base_station = p.base_station)', 'evaluator_coverage')}
@@ -179,7 +179,7 @@ def exactly_once(spark, sf):
     ),
 )
 def common_support(spark, sf):
-    t = adapters.prepared(spark, sf).filter("publication_split = 'train' AND training_config = 'tr1'")
+    t = adapters.prepared(spark, sf).filter("publication_split = 'train'")
     s = joins.support_coverage(t.filter("experiment = 'exp1'"), t.filter("experiment = 'exp2'"), ["slice_type", "action"], ["base_station"])
     return s.select("base_station", "policy_cells", "evaluator_cells", "common_cells",
                     rounded("policy_coverage").alias("policy_coverage"), rounded("evaluator_coverage").alias("evaluator_coverage"))
@@ -188,13 +188,13 @@ def common_support(spark, sf):
 @query(
     "j17_evaluator_support_flag",
     with_(
-        transitions_cte(), f"sup AS (SELECT DISTINCT slice_type, action FROM trans WHERE {_SMALL})",
+        transitions_cte(), f"sup AS (SELECT DISTINCT slice_type, action FROM trans WHERE {_TRAIN})",
         body="""SELECT row_id, s.action IS NOT NULL AS evaluator_supported FROM trans t LEFT JOIN sup s ON s.slice_type = t.slice_type AND s.action = t.action""",
     ),
 )
 def evaluator_support(spark, sf):
     t = adapters.prepared(spark, sf)
-    return joins.support_flag(t, t.filter(_SMALL), "action").select("row_id", F.col("supported").alias("evaluator_supported"))
+    return joins.support_flag(t, t.filter(_TRAIN), "action").select("row_id", F.col("supported").alias("evaluator_supported"))
 
 
 @query(

@@ -392,14 +392,14 @@ def leakage(spark, sf):
     "v5_unsupported_actions",
     with_(
         transitions_cte(),
-        body="""SELECT DISTINCT slice_type || '|' || base_station || '|' || action AS action FROM trans WHERE publication_split = 'test_unseen'
-        EXCEPT SELECT DISTINCT slice_type || '|' || base_station || '|' || action FROM trans
-        WHERE publication_split = 'train' AND training_config = 'tr3' AND scenario = 'rome_static_close'""",
+        body="""SELECT DISTINCT slice_type || '|' || scenario || '|' || base_station || '|' || imsi_file || '|' || action AS action FROM trans WHERE publication_split = 'test_unseen'
+        EXCEPT SELECT DISTINCT slice_type || '|' || scenario || '|' || base_station || '|' || imsi_file || '|' || action FROM trans
+        WHERE publication_split = 'train'""",
     ),
 )
 def unsupported(spark, sf):
-    t = adapters.transitions(spark, sf).withColumn("action", F.concat_ws("|", "slice_type", "base_station", "action"))
-    train = t.filter("publication_split = 'train' AND training_config = 'tr3' AND scenario = 'rome_static_close'")
+    t = adapters.transitions(spark, sf).withColumn("action", F.concat_ws("|", "slice_type", "scenario", "base_station", "imsi_file", "action"))
+    train = t.filter("publication_split = 'train'")
     return quality.unsupported_actions(train, t.filter("publication_split = 'test_unseen'"))
 
 
@@ -579,21 +579,21 @@ def union_tables(spark, sf):
     return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("reward")).alias("reward_sum"))
 
 
-_SUPPORT = "SELECT DISTINCT base_station, slice_type, action FROM trans WHERE"
+_SUPPORT = "SELECT DISTINCT scenario, training_config, base_station, imsi_file, slice_type, action FROM trans WHERE"
 
 
 @query(
     "o6_intersect_supports",
     with_(
         transitions_cte(),
-        body=f"{_SUPPORT} training_config = 'tr1' AND experiment = 'exp1' INTERSECT {_SUPPORT} training_config = 'tr2' AND experiment = 'exp2'",
+        body=f"{_SUPPORT} experiment = 'exp1' INTERSECT {_SUPPORT} experiment = 'exp2'",
     ),
 )
 def intersect_supports(spark, sf):
-    t = adapters.transitions(spark, sf).select("base_station", "slice_type", "action", "training_config", "experiment")
-    keys = ["base_station", "slice_type", "action"]
-    return t.filter("training_config = 'tr1' AND experiment = 'exp1'").select(*keys).intersect(
-        t.filter("training_config = 'tr2' AND experiment = 'exp2'").select(*keys)
+    t = adapters.transitions(spark, sf).select("scenario", "training_config", "base_station", "imsi_file", "slice_type", "action", "experiment")
+    keys = ["scenario", "training_config", "base_station", "imsi_file", "slice_type", "action"]
+    return t.filter("experiment = 'exp1'").select(*keys).intersect(
+        t.filter("experiment = 'exp2'").select(*keys)
     )
 
 
@@ -601,12 +601,12 @@ def intersect_supports(spark, sf):
     "o7_except_supports",
     with_(
         transitions_cte(),
-        body=f"{_SUPPORT} training_config = 'tr1' AND experiment = 'exp1' EXCEPT {_SUPPORT} training_config = 'tr2' AND experiment = 'exp2'",
+        body=f"{_SUPPORT} experiment = 'exp1' EXCEPT {_SUPPORT} experiment = 'exp2'",
     ),
 )
 def except_supports(spark, sf):
-    t = adapters.transitions(spark, sf).select("base_station", "slice_type", "action", "training_config", "experiment")
-    keys = ["base_station", "slice_type", "action"]
-    return t.filter("training_config = 'tr1' AND experiment = 'exp1'").select(*keys).subtract(
-        t.filter("training_config = 'tr2' AND experiment = 'exp2'").select(*keys)
+    t = adapters.transitions(spark, sf).select("scenario", "training_config", "base_station", "imsi_file", "slice_type", "action", "experiment")
+    keys = ["scenario", "training_config", "base_station", "imsi_file", "slice_type", "action"]
+    return t.filter("experiment = 'exp1'").select(*keys).subtract(
+        t.filter("experiment = 'exp2'").select(*keys)
     )
