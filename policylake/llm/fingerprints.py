@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests; DataFrame functions only.
 
-A text is the set of 64-bit digests of its paragraphs: lines, cut at sentence ends, long ones after
-PIECE code points. A sketch hashes every digest into one cell of each of three rows; a cell holds
+A text is the set of 64-bit digests of its paragraphs: lines, cut behind the first sentence end
+after LEAST code points, or else after PIECE code points. A sketch hashes every digest into one cell of each of three rows; a cell holds
 a count, the xor of its digests and the xor of their checks. Two versions' sketches subtract cell
 by cell, what both share vanishes, and peeling cells that hold one digest recovers the digests in
 which they differ. The smallest sketch (3 x SMALL cells) is the published fingerprint and is tried
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from policylake.llm.staging import staged
 
-PIECE, SMALL, GROUP = 96, 4, 16
-PARAGRAPH = rf"[^\n.!?]{{1,{PIECE}}}[\n.!?]*|[\n.!?]+"
+LEAST, PIECE, SMALL, GROUP = 48, 160, 4, 16
+PARAGRAPH = rf"[^\n]{{{LEAST},{PIECE}}}?[.!?]+\s|[^\n]{{1,{PIECE}}}\n*|\n+"
 
 
 def digests(text: Column) -> Column:
@@ -44,6 +44,17 @@ def _sketch(entries: str, m: int) -> str:
     return f"concat({row(0)}, {row(1)}, {row(2)})"
 
 
+def _small(keys: str) -> str:
+    """SQL: the published sketch of an array of digests."""
+    return f"transform(array({_entries(keys)}), q -> {_sketch('q', SMALL)})[0]"
+
+
+def _once(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once per row however often it is used later."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select(*kept, F.inline(F.array(made)))
+
+
 def _peeled(a: str, b: str, m: int) -> str:
     """SQL: the digests in which two sketches of m cells a row differ; null if peeling stops early."""
     minus = f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
@@ -123,10 +134,11 @@ def edited_versions(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def compared(versions: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_chars, edited_sha256, both fingerprints, the digests in which versions differ, likenesses."""
-    rows = versions.select(key, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), F.col("next_digests").alias("c"))
-    small = rows.select("*", *(F.expr(_sketch(f"({_entries(x)})", SMALL)).alias(f"s{x}") for x in "abc"))
-    diff = small.select("*", differing("a", "b", "sa", "sb").alias("changed"), differing("a", "c", "sa", "sc").alias("other"))
+    rows = versions.select(F.col(key).alias("_k"), "text", "edited", F.col("next_digests").alias("c"))
+    rows = _once(rows, "_k", "c", n_chars=F.length("text").cast("long"), edited_sha256=F.sha2("edited", 256), a=digests(F.col("text")), b=digests(F.col("edited")))
+    small = _once(rows, *rows.columns, **{f"s{x}": F.expr(_small(x)) for x in "abc"})
+    diff = _once(small, *small.columns, changed=differing("a", "b", "sa", "sb"), other=differing("a", "c", "sa", "sc"))
     return diff.select(
-        key, "n_chars", "edited_sha256", F.expr(_published("sa")).alias("fingerprint"), F.expr(_published("sb")).alias("edited_fingerprint"),
+        F.col("_k").alias(key), "n_chars", "edited_sha256", F.expr(_published("sa")).alias("fingerprint"), F.expr(_published("sb")).alias("edited_fingerprint"),
         likeness("a", "b", "changed").alias("near_edited"), likeness("a", "c", "other").alias("near_next"), "changed",
     )
