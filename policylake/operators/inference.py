@@ -146,7 +146,7 @@ def rank_metrics(scores: DataFrame, groups: list[str]) -> DataFrame:
     )
     run = running_totals(counts, "score", ["tp", "fp"], groups=tuple(groups), descending=True)
     totals = counts.groupBy(*groups).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    run = run.join(F.broadcast(totals) if not groups else totals, groups) if groups else run.withColumns(
+    run = run.join(totals, groups) if groups else run.withColumns(
         {"P": totals.select("P").scalar(), "N": totals.select("N").scalar()}
     )
     area = F.sum(F.col("fp") * (F.col("tp_upto") - F.col("tp") + F.col("tp") / 2.0))

@@ -174,8 +174,8 @@ def share_catalogue(cells: DataFrame, minimum: int = 1) -> DataFrame:
 def project_request(df: DataFrame, minimum: int = 1) -> DataFrame:
     """Nearest feasible integer allocation to (want_e, want_m, want_u) within `usable` PRBs.
 
-    A request inside the budget only lifts small values to the minimum. Otherwise the excess
-    is taken off evenly; the few allocations around that point are compared exactly.
+    A request inside the budget only lifts small values to the minimum. Otherwise every feasible
+    pair of the first two slices is compared, usable^2 / 2 of them for each distinct request.
     """
     keys = ["want_e", "want_m", "want_u", "usable"]
     todo = df.select(*keys).distinct()

@@ -353,8 +353,3 @@ def hybrid_selection(
     return long.withColumns(
         {"abstain": ~acts, "switched": acts & ~same, "verified_hold": acts & F.col("own_ok") & same}
     )
-
-
-def picked(idx: str = "chosen_idx") -> Column:
-    """The candidate struct of the chosen index, null when abstaining."""
-    return first_of(F.filter("cand", lambda c: c["idx"] == F.col(idx)))

@@ -1,4 +1,4 @@
-"""Sinks: prepared transition table with its manifest, and evidence tables."""
+"""Sinks: manifest of the prepared transition table, evidence tables, staged tables."""
 
 from __future__ import annotations
 
@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from policylake.session import shared_folder
 
 
-def write_prepared(df: DataFrame, folder: str) -> None:
-    """Partitioned so that later readers prune on scenario and configuration."""
-    df.repartition("scenario", "training_config", F.pmod(F.xxhash64("episode_id"), F.lit(16))).write.mode(
-        "overwrite"
-    ).partitionBy("scenario", "training_config").parquet(folder)
-
-
 def dataset_manifest(df: DataFrame) -> DataFrame:
     """Rows, episodes, action and slice counts and distinct ids per split, in one aggregate."""
     def names(c: str) -> Column:

@@ -71,8 +71,10 @@ def clean_trace(df: DataFrame) -> DataFrame:
     )
 
 
-def first_rows_per_file(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Row cap per file, the sampling option of the reader."""
+def first_rows_per_file(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
+    """Row cap per file, an option of the reader; without one every row is read."""
+    if n is None:
+        return df
     w = Window.partitionBy(*FILE_ID_COLUMNS).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
 
