@@ -25,6 +25,7 @@ HEADLINE = [
     "d11_calibration_grid", "a10_cluster_accounting", "d18_shadow_recommendation", "d14_three_slice_knapsack",
     "r2_group_exact_permutation", "r3_cluster_inference", "a15_ood_detection", "w15_conformal_p_value",
     "s11_metric_alias_mapping", "p9_feature_completion",
+    "j11_nearest_neighbour_distance", "d15_joint_profiles", "t2_stream_dwell_guard",
 ]
 
 
