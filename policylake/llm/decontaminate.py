@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise
+from policylake.llm.staging import small_batches
 
 SAMPLED = 2
 
@@ -159,6 +160,7 @@ def _parts(benchmark: DataFrame, key: str, likeness: float, repeats: int, seed:
 
 def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repeats: int = 24, seed: int = 7, part_words: int = 2_000_000, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_edits, n_item_words, first_word) for every document and item found in it."""
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     slim = documents.select(F.col(key).alias("doc"), F.col("text").cast("string").alias("text"))
     item_type = benchmark.schema[item_key].dataType
@@ -186,6 +188,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repe
 
 def without_hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repeats: int = 24, seed: int = 7, part_words: int = 2_000_000, item_key: str = "item_id") -> DataFrame:
     """The rows of `documents`, all columns, whose text has no item; no shuffle."""
+    small_batches(documents.sparkSession)
     out = documents
     for _, items in _parts(benchmark, item_key, likeness, repeats, seed, part_words):
         shared = documents.sparkSession.sparkContext.broadcast(items)

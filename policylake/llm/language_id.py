@@ -26,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policylake.llm.staging import small_batches
+
 SEGMENT = 1024
 ALPHABET = 48
 LANES = 16_384
+ROWS, PART = 1_000, 1 << 20
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -157,19 +160,24 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np.n
 
     phrase_rate is the fewest phrases per code point read.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     slim = documents.select(*carried, F.col("text").cast("string").alias("_text"))
-    names = slim.columns[:-1]
+    return _identified(slim, slim.columns[:-1], "_text", model)
+
+
+def _identified(slim: DataFrame, names: list[str], text: str, model: tuple[list[str], np.ndarray, list[np.ndarray]]) -> DataFrame:
+    """`names` of `slim` and the results for its column `text`; a task holds PART code points at a time."""
+    small_batches(slim.sparkSession)
+    shared = slim.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, symbol, step = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             pred, score, rate, letters = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             row = 0
             while langs and row < len(texts):
                 end, held = row, 0
-                while end < len(texts) and (end == row or held + len(texts[end]) <= LANES * SEGMENT // 4):
+                while end < len(texts) and (end == row or held + len(texts[end]) <= PART):
                     held += len(texts[end])
                     end += 1
                 part = texts[row:end]
@@ -218,6 +226,7 @@ def understood(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np
     `worst_rate` phrases per code point, as text in an unknown script does.
     """
     names = [f"_c{i}" for i in range(len(documents.columns))]
-    done = identify(documents, model, [F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)])
+    slim = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)))
+    done = _identified(slim, names, names[documents.columns.index("text")], model)
     kept = done.where((F.col("lang_pred") != "und") & ((F.col("n_letters") < least_letters) | (F.col("phrase_rate") <= worst_rate)))
     return kept.select(*(F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)))

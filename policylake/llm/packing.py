@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise, pretokens
+from policylake.llm.staging import small_batches
 
 CACHE = 1_500_000
 
@@ -139,6 +140,7 @@ class Encoder:
 
 def pack(documents: DataFrame, path: str | None = None, width: int = 2048, window: int = 4_000_000, key: str = "doc_id") -> DataFrame:
     """Packed rows of all texts: pack_id, n_tokens, n_segments, ids, cu_seqlens, resets, doc_ids, pieces."""
+    small_batches(documents.sparkSession)
     path = path or pretokens.default_vocabulary()
     slim = documents.select(F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
     kind = slim.schema["k"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from policylake.llm import bytewise
 from policylake.llm.bilstm import Adam, BiLSTM
-from policylake.llm.staging import sampled
+from policylake.llm.staging import sampled, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 64
@@ -243,6 +243,7 @@ def joined(spans: list[Span]) -> str:
 
 def find(documents: DataFrame, model: Tagger, key: str = "doc_id") -> DataFrame:
     """key, base counts n_email, n_ip, n_card, n_phone, base (joined spans) and spans (base and added) of every row."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     slim = documents.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     mark = np.zeros(256, bool)

@@ -19,6 +19,14 @@ def shared(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows where the session has Spark's 10,000: whole texts pass through
+    Python, and two workers share an executor's memory with its heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write and read back, so that later steps never recompute `df`."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

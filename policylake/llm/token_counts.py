@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise, pretokens
-from policylake.llm.staging import sampled
+from policylake.llm.staging import sampled, small_batches
 
 CACHE = 400_000
 
@@ -47,6 +47,7 @@ def frequent(documents: DataFrame, path: str, sample: int = 2_000, chars: int =
 
 def count_tokens(documents: DataFrame, path: str | None = None, limit: int = 1024, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keys`, n_bytes, n_tokens, over_limit of every row of `documents` (text)."""
+    small_batches(documents.sparkSession)
     path = path or pretokens.default_vocabulary()
     shared = documents.sparkSession.sparkContext.broadcast(frequent(documents, path))
     names = [f"k{i}" for i in range(len(keys))]

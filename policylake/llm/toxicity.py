@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.llm import bytewise
-from policylake.llm.staging import likely, maybe, staged
+from policylake.llm.staging import likely, maybe, small_batches, staged
 
 DISCOUNT = 0.75
 PREFIXES = (8, 5)
@@ -52,6 +52,7 @@ def _expressions(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np
 
 def _counts(labelled: DataFrame) -> DataFrame:
     """(key, n0, n1, d0, d1): words and documents of each class with an expression; key 0: all words, all documents."""
+    small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -131,6 +132,7 @@ def _table(counts: DataFrame, least_docs: int, least_g: float, table: int) -> tu
 
 def _likelihoods(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], carried: list[Column | str]) -> DataFrame:
     """`carried`, _ratio (sum of log ratios) and _words of every row; reads only `text`."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     slim = rows.select(*carried, F.col("text").cast("string").alias("_text"))
     names = slim.columns[:-1]
