@@ -34,23 +34,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of the set below: 2 MB, whatever the number of keys.
+#: Usual bits of the set below: 2 MB, whatever the number of keys.
 BITS = 24
 
 
-def likely(keys: DataFrame, column: str) -> np.ndarray:
+def likely(keys: DataFrame, column: str, size: int = BITS) -> np.ndarray:
     """Bit array over the top bits of well mixed longs: each key's bit is set, few others are."""
-    place = F.shiftrightunsigned(column, 64 - BITS)
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITS}) & 63 as int))").alias("m"))
+    place = F.shiftrightunsigned(column, 64 - size)
+    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - size}) & 63 as int))").alias("m"))
     rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return bits.view(np.uint64)
 
 
-def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def maybe(bits: np.ndarray, keys: np.ndarray, size: int = BITS) -> np.ndarray:
     """Whether each uint64 key's bit is set."""
-    place = keys >> np.uint64(64 - BITS)
+    place = keys >> np.uint64(64 - size)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 

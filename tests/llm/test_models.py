@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from policylake.llm import decontaminate, html_text, language_id, personal_data, toxicity
 
@@ -81,6 +82,27 @@ def test_toxicity_on_held_out_texts(spark, empty):
     assert toxicity.score(empty, unknown, ["doc_id"]).collect() == []
 
 
+def test_toxicity_of_word_pairs_and_rare_words(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(240):
+        words, toxic = text(rng, rng.randint(5, 40)).split(), i % 3 == 0
+        at = rng.randrange(len(words))
+        words[at:at] = ["bel", "tor"] if toxic else ["tor", "bel"]
+        rows.append((i, " ".join([*words, "vexgrimly"] if i in (3, 6) else words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, (900, "vexgrimly"), (901, "quasdorfn")], "doc_id long, text string")
+    held = language_id.fold("doc_id", 5) == 0
+    model = toxicity.learned(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~held & ~F.col("doc_id").isin(900, 901))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model, ["doc_id", held.alias("held_out")]).collect()}
+    assert [i for i in range(240) if got[i]["held_out"] and got[i]["predicted"] != (i % 3 == 0)] == []
+    assert got[900]["score"] > got[901]["score"]
+    # the same sums whether an expression is broadcast or joined
+    model[0].keys, model[0].r = model[0].keys[:50], model[0].r[:50]
+    joined = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert all(abs(joined[i] - got[i]["score"]) < 1e-9 for i in got)
+
+
 PAGE = """<html><head><title>No</title><style>p{{}}</style></head><body><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav>
 <div class="ad">Buy it now.</div><article><h1>{0}</h1><p>{1} &amp; <b>bold</b>
  text<p>{2}<script>var x="<p>no</p>"</script></p></article><!-- no --><footer>&copy; site</footer></body></html>"""
