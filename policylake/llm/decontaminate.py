@@ -1,12 +1,9 @@
-"""Benchmark decontamination: edit distance over words, found by CGK embedding and bit sampling.
+"""Benchmark decontamination: edit distance over words, found by shared pieces and exact alignment.
 
 An item of n words is in a document if some run of its words is at most K = floor(n * (1 - likeness))
-word edits away. Any such run shares one of the item's K + 1 pieces word for word, so only windows
-of the item's size that stand where a piece says are looked at (this drops no match). Each window
-goes through `repeats` CGK random walks, which turn edits into a Hamming distance; two sampled
-places of a walk are a key, and a window is compared with the items of equal size that share a key
-in some walk. A shared place survives with chance p, so a match is missed with chance
-(1 - p^2)^repeats: below 1 % for p >= 0.42 at 24 walks. Every candidate is then aligned exactly.
+word edits away. Any such run shares one of the item's K + 1 pieces word for word, at most K words from
+where the piece says, so the item is aligned exactly around every such place. This finds every match.
+CGK walks with sampled places chose among the places before; they lost matches of long items.
 
 The benchmark is broadcast in parts of at most `part_words` words. Words are lower-cased runs of
 no white space. A null or empty text has no item, an empty item is in no text. Repeated rows and
@@ -25,16 +22,11 @@ from pyspark.sql import functions as F
 from policylake.llm import bytewise
 from policylake.llm.staging import small_batches
 
-SAMPLED = 2
-
 
 class Items:
-    """The words, pieces and walk keys of one part of the benchmark."""
+    """The words and pieces of one part of the benchmark."""
 
-    def __init__(self, texts: list[str | None], likeness: float, repeats: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.walks = rng.integers(1, 1 << 63, repeats, dtype=np.uint64) | np.uint64(1)
-        self.at_share = rng.random((repeats, SAMPLED))
+    def __init__(self, texts: list[str | None], likeness: float):
         data, at = bytewise.utf8(pa.array(texts, pa.string()))
         start, end, of = bytewise.words(data, at)
         every = bytewise.hashes(bytewise.LOWER[data], start, end)
@@ -53,31 +45,6 @@ class Items:
         for q, rows in pieces.items():
             rows.sort()
             self.pieces[q] = tuple(np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-        self.by_key: dict[tuple, set[int]] = {}
-        for n in {len(w) for w in self.words if len(w)}:
-            own = [i for i, w in enumerate(self.words) if len(w) == n]
-            for i, keys in zip(own, self.keys(np.stack([self.words[i] for i in own])), strict=True):
-                for r, key in enumerate(keys.tolist()):
-                    self.by_key.setdefault((n, r, key), set()).add(i)
-
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """One key per walk of each window (rows of n word hashes)."""
-        count, n = windows.shape
-        repeats = len(self.walks)
-        padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
-        place = np.zeros((count, repeats), np.int64)
-        picked = (self.at_share * 2 * n).astype(np.int64)
-        key = np.zeros((count, repeats), np.uint64)
-        row = np.arange(count)[:, None]
-        for t in range(int(picked.max()) + 1):
-            symbol = padded[row, place]
-            for s in range(SAMPLED):
-                here = picked[:, s] == t
-                if here.any():
-                    key[:, here] = bytewise.mix(key[:, here] * np.uint64(31) + symbol[:, here] + np.uint64(s))
-            coin = bytewise.mix(symbol * self.walks + np.uint64(t)) & np.uint64(1)
-            place = np.minimum(place + coin.astype(np.int64), n)
-        return key
 
 
 def _run(words: np.ndarray, q: int) -> np.ndarray:
@@ -104,7 +71,7 @@ def _found(items: Items, column: pa.Array) -> Iterator[tuple[int, int, int, int]
         start, end, of = bytewise.words(data, at)
         words = bytewise.hashes(bytewise.LOWER[data], start, end)
         bounds = np.searchsorted(of, np.arange(end_row - first_row + 1))
-        windows: set[tuple[int, int, int]] = set()
+        windows: set[tuple[int, int, int]] = set()  # item, row, place in the row
         for q, (key, item, offset) in items.pieces.items():
             if len(words) < q:
                 continue
@@ -115,39 +82,29 @@ def _found(items: Items, column: pa.Array) -> Iterator[tuple[int, int, int, int]
             high = np.searchsorted(key, runs[hit], "right")
             for p, lo, hi in zip(hit.tolist(), low[hit].tolist(), high.tolist(), strict=True):
                 for s in range(lo, hi):
-                    windows.add((len(items.words[item[s]]), int(of[p]), p - int(offset[s]) - int(bounds[of[p]])))
+                    windows.add((int(item[s]), int(of[p]), p - int(offset[s]) - int(bounds[of[p]])))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         ordered = sorted(windows)
         cut = 0
         while cut < len(ordered):
-            n, stop = ordered[cut][0], cut
-            while stop < len(ordered) and ordered[stop][0] == n and stop - cut < 4096:
+            i, stop = ordered[cut][0], cut
+            while stop < len(ordered) and ordered[stop][0] == i and stop - cut < 4096:
                 stop += 1
             some = np.array([x[1:] for x in ordered[cut:stop]], np.int64)
-            cut = stop
+            cut, most = stop, items.edits[i]
             lo, hi = bounds[some[:, 0]], bounds[some[:, 0] + 1]
-
-            def region(before: int, size: int, lo=lo, hi=hi, some=some) -> np.ndarray:
-                place = (lo + some[:, 1] - before)[:, None] + np.arange(size)
-                good = (place >= lo[:, None]) & (place < hi[:, None])
-                return np.where(good, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
-
-            wanted: dict[int, list[int]] = {}
-            for w, keys in enumerate(items.keys(region(0, n)).tolist()):
-                for i in {i for r, k in enumerate(keys) for i in items.by_key.get((n, r, k), ())}:
-                    wanted.setdefault(i, []).append(w)
-            for i, rows in wanted.items():
-                most = items.edits[i]
-                got = _edits(items.words[i], region(most, n + 2 * most)[rows])
-                for w, e in zip(rows, got.tolist(), strict=True):
-                    if e <= most:
-                        spot = (first_row + int(some[w, 0]), i)
-                        best[spot] = min(best.get(spot, (e, 1 << 62)), (e, max(0, int(some[w, 1]))))
+            place = (lo + some[:, 1] - most)[:, None] + np.arange(len(items.words[i]) + 2 * most)
+            good = (place >= lo[:, None]) & (place < hi[:, None])
+            region = np.where(good, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+            for (row, word), e in zip(some.tolist(), _edits(items.words[i], region).tolist(), strict=True):
+                if e <= most:
+                    spot = (first_row + row, i)
+                    best[spot] = min(best.get(spot, (e, 1 << 62)), (e, max(0, word)))
         for (row, i), (e, word) in sorted(best.items()):
             yield row, i, e, word
 
 
-def _parts(benchmark: DataFrame, key: str, likeness: float, repeats: int, seed: int, part_words: int) -> Iterator[tuple[list, Items]]:
+def _parts(benchmark: DataFrame, key: str, likeness: float, part_words: int) -> Iterator[tuple[list, Items]]:
     """The benchmark in parts that are small enough to broadcast."""
     rows = benchmark.select(F.col(key).alias("item"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -155,10 +112,10 @@ def _parts(benchmark: DataFrame, key: str, likeness: float, repeats: int, seed:
     for p in range(parts):
         own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p)
         got = own.orderBy("item", "text").toArrow()
-        yield got.column("item").to_pylist(), Items(got.column("text").to_pylist(), likeness, repeats, seed)
+        yield got.column("item").to_pylist(), Items(got.column("text").to_pylist(), likeness)
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repeats: int = 24, seed: int = 7, part_words: int = 2_000_000, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, part_words: int = 2_000_000, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
     """(doc_id, item_id, n_edits, n_item_words, first_word) for every document and item found in it."""
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
@@ -168,7 +125,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repe
 
     kind = to_arrow_type(item_type)
     whole: DataFrame | None = None
-    for names, items in _parts(benchmark, item_key, likeness, repeats, seed, part_words):
+    for names, items in _parts(benchmark, item_key, likeness, part_words):
         shared = spark.sparkContext.broadcast((names, items))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -186,11 +143,11 @@ def hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repe
     return whole
 
 
-def without_hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, repeats: int = 24, seed: int = 7, part_words: int = 2_000_000, item_key: str = "item_id") -> DataFrame:
+def without_hits(documents: DataFrame, benchmark: DataFrame, likeness: float = 0.8, part_words: int = 2_000_000, item_key: str = "item_id") -> DataFrame:
     """The rows of `documents`, all columns, whose text has no item; no shuffle."""
     small_batches(documents.sparkSession)
     out = documents
-    for _, items in _parts(benchmark, item_key, likeness, repeats, seed, part_words):
+    for _, items in _parts(benchmark, item_key, likeness, part_words):
         shared = documents.sparkSession.sparkContext.broadcast(items)
         text = documents.columns.index("text")
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,22 @@ def test_toxicity_of_word_pairs_and_rare_words(spark):
     assert all(abs(joined[i] - got[i]["score"]) < 1e-9 for i in got)
 
 
+@pytest.mark.parametrize("n", [80, 150, 300])
+def test_every_long_item_at_most_edits_is_found(n):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(words) for _ in range(n)] for _ in range(60)]
+    texts = []
+    for item in items:
+        got = list(item)
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(got)), rng.randrange(3)
+            got[at : at + (kind != 2)] = [] if kind == 1 else [rng.choice(words) + "x"]
+        texts.append(" ".join([*(rng.choice(words) for _ in range(50)), *got, *(rng.choice(words) for _ in range(50))]))
+    found = decontaminate._found(decontaminate.Items([" ".join(i) for i in items], 0.8), pa.array(texts))
+    assert {(row, item) for row, item, *_ in found} >= {(i, i) for i in range(60)}
+
+
 PAGE = """<html><head><title>No</title><style>p{{}}</style></head><body><nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav>
 <div class="ad">Buy it now.</div><article><h1>{0}</h1><p>{1} &amp; <b>bold</b>
  text<p>{2}<script>var x="<p>no</p>"</script></p></article><!-- no --><footer>&copy; site</footer></body></html>"""
