@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, fingerprints, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
+from policylake.llm import bin_slack, decontaminate, fingerprints, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,13 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("n_changed", F.size("changed")).drop("changed")
 
 
+def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bin_slack.pack(_documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op11_bin_slack_packing": op11_bin_slack_packing,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op9_personal_data": op9_personal_data,
     "op6_main_text": op6_main_text,
