@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import bin_slack, decontaminate, fingerprints, html_text, jaccard_join, language_id, mixing, packing, personal_data, token_counts, toxicity
+from policylake.llm import bin_slack, decontaminate, fingerprints, html_text, jaccard_join, language_id, mixing, packing, personal_data, phrases, token_counts, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,26 @@ def op11_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = whitening.fitted(embeddings)
+    rows = whitening.whitened(embeddings, model)
+    n, error, shares = (model.n, model.identity_error, model.explained.tolist()) if model else (0, 0.0, [])
+    explained = F.array(*map(F.lit, shares)).cast("array<double>")
+    each = rows.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "at").alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "op11_bin_slack_packing": op11_bin_slack_packing,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op9_personal_data": op9_personal_data,
@@ -81,4 +100,4 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_phrase_collocations": phrases.SQL}
