@@ -8,11 +8,12 @@ proposed (for words: all). A border phrase that reaches the threshold is a failu
 joins the proposed ones, and a further pass counts the border phrases that this adds, until no failure is
 left. Phrases of `most` words need no further border, so there are at most `most` passes.
 
-Proposed phrases travel as a bit array of at most 2^27 bits, whatever their number (two bits for each key,
-a key being a 62-bit hash of language and words). A phrase that hits set bits by chance is counted too:
-nothing is lost, full arrays only mean more counting. The last pass takes the phrases whose key reached
-the threshold and counts them by their words, so no two phrases share a count there (within one task's
-buffer of some million words they are told apart by the key).
+Phrases travel as 62-bit keys, a hash of language and words; the odds that any frequent phrase shares
+its key are below (frequent phrases x distinct phrases) / 2^62. Proposed ones go to the tasks as a bit
+array of at most 2^27 bits, two bits for each key, whatever their number: a phrase that hits set bits by
+chance is counted too, so full arrays only mean more counting. The words of the keys that reached the
+threshold are read last: of a key's occurrences a share, by hash of key and document, is spelled out,
+then a larger one for keys still without words, then every one.
 
 Counts are added up in each task before the shuffle, so a frequent word, phrase or language is one row
 a buffer. The first `top` of a language are taken from `SALTS` parts first. Very long texts are counted
@@ -37,7 +38,7 @@ from policylake.llm.staging import likely, maybe, small_batches, staged
 
 SALTS = 64
 #: Keys gathered before a task adds them up and passes them on.
-BUFFER = 3_000_000
+BUFFER = 2_000_000
 #: A text of more than four times this many bytes is counted in parts of about this size.
 PART = bytewise.CHUNK
 _SEPARATOR = np.zeros(256, bool)
@@ -179,57 +180,78 @@ def frequent(documents: DataFrame, least: int = 30, most: int = 4, one_in: int =
     found, before = [], None
     while True:
         reached = counts(slim, range(1, most + 1), most, (bits, size), before).where(F.col("c") >= least)
-        found.append(staged(reached.select("key"), "phrases-counted"))
+        found.append(staged(reached, "phrases-counted"))
         joined = bits | _bits(found[-1].where(F.col("key").bitwiseAND(3) < most - 1), size)
         if np.array_equal(joined, bits):
             break
         before, bits = bits, joined
-    kept = found[0]
+    counted = found[0]
     for more in found[1:]:
-        kept = kept.unionAll(more)
-    size = _size(kept)
-    return _spelled(slim, _bits(kept, size), size, most).where((F.col("f") >= least) | (F.col("size") == 0))
+        counted = counted.unionAll(more)
+    return _named(slim, counted, most)
 
 
-def _spelled(slim: DataFrame, bits: np.ndarray, size: int, most: int) -> DataFrame:
-    """Counts by language and words of the phrases whose key is in `bits`."""
+#: Of a key's occurrences one in so many is spelled out, round by round.
+SPELLED = (16, 4, 1)
+
+
+def _named(slim: DataFrame, counted: DataFrame, most: int) -> DataFrame:
+    """lang, phrase, size, f of all counted keys, and the number of words of each language (size 0)."""
+    kinds = "lang string, phrase string, size int, key long, c long"
+    names = None
+    for one_in in SPELLED:
+        open_ = counted if names is None else staged(counted.join(names.select("key"), "key", "left_anti"), "phrases-unnamed")
+        if names is not None and not open_.limit(1).count():
+            break
+        size = _size(open_)
+        rows = slim.select("lang", "salt", "text", "pick").mapInArrow(_speller(slim, _bits(open_, size), size, most, one_in, names is None), kinds)
+        found = rows.groupBy("lang", "phrase", "size", "key").agg(F.sum("c").alias("n"))
+        known = found.where("size = 0").unionAll(found.where("size > 0").join(open_.select("key"), "key", "left_semi").select(found.columns))
+        names = staged(known if names is None else names.unionAll(known), "phrases-named")
+    phrases = names.where("size > 0").join(counted, "key").select("lang", "phrase", "size", F.col("c").alias("f"))
+    return phrases.unionAll(names.where("size = 0").select("lang", "phrase", "size", F.col("n").alias("f")))
+
+
+def _speller(slim: DataFrame, bits: np.ndarray, size: int, most: int, one_in: int, totals: bool):
+    """Task code: the words of some occurrences of every key in `bits`, each once a buffer."""
     shared = slim.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        tally: dict[int, list] = {}
+        spelled: dict[int, tuple] = {}
         total: dict[str, int] = {}
 
-        def added() -> pa.RecordBatch:
-            rows = [*tally.values(), *([lang, "", 0, n] for lang, n in total.items())]
-            tally.clear()
+        def ready() -> pa.RecordBatch:
+            rows = [*spelled.values(), *((lang, "", 0, 0, n) for lang, n in total.items())]
+            spelled.clear()
             total.clear()
-            lang, phrase, n, f = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(n, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "size", "f"])
+            cols = zip(*rows, strict=True)
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "phrase", "size", "key", "c"])
 
         for batch in batches:
-            langs, salts = batch.column("lang").to_pylist(), batch.column("salt").to_numpy().view(np.uint64)
+            langs, salts, picks = batch.column("lang").to_pylist(), batch.column("salt").to_numpy().view(np.uint64), batch.column("pick").to_numpy().view(np.uint64)
             for row, data, at, end in parts(batch.column("text")):
                 words = Words(data, at, end, salts[row : row + len(at) - 1])
-                of = words.row[: words.own]
-                for i, n in zip(*np.unique(of, return_counts=True), strict=True):
-                    total[langs[row + i]] = total.get(langs[row + i], 0) + int(n)
+                if totals:
+                    for i, n in zip(*np.unique(words.row[: words.own], return_counts=True), strict=True):
+                        total[langs[row + i]] = total.get(langs[row + i], 0) + int(n)
+                pick = picks[row + words.row]
                 for n, key, ok in words.keys(most):
-                    at_word = np.flatnonzero(ok[: words.own])
-                    at_word = at_word[_held(known, size, key[at_word])]
-                    one, where, many = np.unique(key[at_word], return_index=True, return_counts=True)
-                    for k, i, c in zip(one.tolist(), at_word[where].tolist(), many.tolist(), strict=True):
-                        if k in tally:
-                            tally[k][3] += c
-                        else:
-                            tally[k] = [langs[row + int(words.row[i])], words.phrase(i, n), n, c]
-                if len(tally) > BUFFER // 10:
-                    yield added()
-        if total:
-            yield added()
-
-    rows = slim.select("lang", "salt", "text").mapInArrow(run, "lang string, phrase string, size int, f long")
-    return rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+                    place = np.flatnonzero(ok[: words.own])
+                    if one_in > 1:
+                        place = place[bytewise.mix(key[place] ^ pick[place]) % np.uint64(one_in) == 0]
+                    place = place[_held(known, size, key[place])]
+                    one, where = np.unique(key[place], return_index=True)
+                    for k, i in zip(one.view(np.int64).tolist(), place[where].tolist(), strict=True):
+                        if k not in spelled:
+                            spelled[k] = (langs[row + int(words.row[i])], words.phrase(i, n), n, k, 1)
+                if len(spelled) > BUFFER // 10:
+                    yield ready()
+        if spelled or total:
+            yield ready()
+
+    return run
 
 
 def _spans(words: str, least: str, most: str) -> F.Column:
