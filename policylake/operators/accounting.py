@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.config import ObjectiveSettings
 from policylake.functions.core import cond_rate, first_of, rounded
 from policylake.functions.dims import constant
+from policylake.operators.quantiles import quantiles
 from policylake.operators.selection import feasible, gated_selection, incumbent_idx, outcome_utility
 from policylake.operators.windows import replay_switches
 
@@ -46,23 +47,9 @@ def policy_metrics(df: DataFrame, groups: list[str], cfg: ObjectiveSettings) ->
 def with_split_quantile(
     metrics: DataFrame, rows: DataFrame, group: str, value: str, prob: float, name: str
 ) -> DataFrame:
-    """Add an exact, linear-interpolated quantile per group, for any number of groups.
-
-    Equal values are counted first, map side, so the ranking within a group sees distinct values.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    of = Window.partitionBy(group)
-    upto = counts.withColumns({
-        "__to": F.sum("__c").over(of.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)),
-        "__at": (F.sum("__c").over(of) - 1) * F.lit(prob),
-    })
-
-    def ranked(rank: Column) -> Column:
-        return F.max(F.when((F.col("__to") > rank) & (F.col("__to") - F.col("__c") <= rank), F.col("__v")))
-
-    pair = upto.groupBy(group).agg(ranked(F.floor("__at")).alias("__a"), ranked(F.ceil("__at")).alias("__b"), F.first(F.col("__at") - F.floor("__at")).alias("__f"))
-    found = pair.select(group, rounded(F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias(name))
-    return metrics.join(found, group)
+    """Add an exact, linear-interpolated quantile per group, for any number of groups."""
+    found = quantiles(rows.where(F.col(group).isNotNull()), [group], {value: [prob]})
+    return metrics.join(found.select(group, rounded(f"{value}_0").alias(name)), group)
 
 
 def ablation_table(rows: DataFrame, cfg: ObjectiveSettings, variants: dict[str, dict]) -> DataFrame:

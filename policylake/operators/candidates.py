@@ -1,8 +1,8 @@
 """Candidate actions of a transition row as an array column.
 
 The action catalogue is small (three slices, a few schedulers, at most 275 PRB values), so
-fitted cell statistics become one array per slice that is joined to the rows on `slice_type`
-from a size-checked dimension. Rows are never multiplied by actions for scoring or selection;
+fitted estimates become one array per slice and state bin that is joined to the rows from a
+size-checked dimension. Rows are never multiplied by actions for scoring or selection;
 `explode` is used only where the long form itself is the result.
 """
 
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylake.config import ObjectiveSettings
-from policylake.functions.core import clip, first_of, uniform
+from policylake.constants import CONTEXT_COLUMNS
+from policylake.functions.core import clip, first_of
 from policylake.functions.dims import freeze
+from policylake.operators import outcome_model
 
 FALLBACK_WEIGHTS = (0.70, 0.20, 0.10)
 
@@ -69,57 +71,26 @@ def fit_cells(policy_rows: DataFrame, evaluator_rows: DataFrame) -> DataFrame:
     return freeze(joined.withColumn("idx", index))
 
 
-def slice_arrays(cells: DataFrame) -> DataFrame:
-    """One row per slice: the cell array in action order and the fallback action."""
-    fields = [c for c in cells.columns if c not in ("slice_type", "idx")]
-    packed = cells.groupBy("slice_type").agg(
-        F.sort_array(F.collect_list(F.struct("idx", *fields))).alias("cells")
-    )
-    return freeze(packed.join(min_risk_fallback(cells), "slice_type"), 64)
-
-
-def objective(c: Column, name: str, key: str | None = None) -> Column:
-    """Tabular critic: cell mean plus a small reproducible deviation, clipped to [0, 1]."""
-    u = uniform(key or name, F.col("row_id"), c["action"])
-    return clip(c[name] + 0.1 * (u - 0.5), 0.0, 1.0)
-
-
-FIELD_BUILDERS: dict[str, Callable[[Column], Column]] = {
-    "sla": lambda c: objective(c, "sla"),
-    "energy": lambda c: objective(c, "energy"),
-    "stability": lambda c: objective(c, "stability"),
-    "unc": lambda c: uniform("unc", F.col("row_id"), c["action"]) * 0.8,
-    "q": lambda c: c["value"] + 0.05 * uniform("q", F.col("row_id"), c["action"]),
-    "w": lambda c: uniform("prior", F.col("row_id"), c["action"]),
-    "sup": lambda c: uniform("support", F.col("row_id"), c["action"]) > 0.15,
-    "e_sla": lambda c: objective(c, "e_sla"),
-    "e_energy": lambda c: objective(c, "e_energy"),
-    "e_stability": lambda c: objective(c, "e_stability"),
-}
+def fit_model(policy_rows: DataFrame, evaluator_rows: DataFrame, cfg: ObjectiveSettings | None = None) -> tuple[outcome_model.OutcomeModel, DataFrame]:
+    """Estimates of every candidate from both roles' rows, and the cells in common support."""
+    cells = fit_cells(policy_rows, evaluator_rows)
+    catalogue = cells.join(min_risk_fallback(cells), "slice_type").select("slice_type", "action", "idx", "fallback").collect()
+    return outcome_model.fit(policy_rows, evaluator_rows, catalogue, cfg or ObjectiveSettings()), cells
 
 
-def with_candidates(rows: DataFrame, cells: DataFrame, fields: list[str]) -> DataFrame:
+def with_candidates(rows: DataFrame, model: outcome_model.OutcomeModel, fields: list[str]) -> DataFrame:
     """Add `cand` (array of structs in action order), `fallback`, `ood`, `cur` (own cell or null).
 
-    A row of a slice without any action in common support stops the job; no row vanishes.
+    `rows` carry the context columns, which go. A row of a slice without any action in common
+    support stops the job; no row vanishes.
     """
-    joined = rows.join(slice_arrays(cells), "slice_type", "left")
+    scored = rows.withColumns({"bin": model.scale.bin(), "ood": model.ood()})
+    joined = scored.join(model.cells, ["slice_type", "bin"], "left")
     lost = F.raise_error(F.concat(F.lit("no action in common support for slice "), F.coalesce("slice_type", F.lit("null"))))
     joined = joined.withColumn("cells", F.when(F.col("cells").isNotNull(), F.col("cells")).otherwise(lost))
-    built = F.transform(
-        "cells",
-        lambda c: F.struct(
-            c["idx"].alias("idx"), c["action"].alias("action"),
-            *[FIELD_BUILDERS[f](c).alias(f) for f in fields],
-        ),
-    )
-    out = joined.withColumn("cand", built).drop("cells")
-    return out.withColumns(
-        {
-            "ood": uniform("ood", F.col("row_id")),
-            "cur": first_of(F.filter("cand", lambda c: c["action"] == F.col("current_action"))),
-        }
-    )
+    built = F.transform("cells", lambda c: F.struct(*[c[f].alias(f) for f in ("idx", "action", *fields)]))
+    out = joined.withColumn("cand", built).drop("cells", "bin", *CONTEXT_COLUMNS)
+    return out.withColumn("cur", first_of(F.filter("cand", lambda c: c["action"] == F.col("current_action"))))
 
 
 def normalise_q(df: DataFrame) -> DataFrame:

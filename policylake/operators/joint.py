@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from policylake.constants import SLICE_NAMES, STATE_COLUMNS
 from policylake.functions.core import action_prb, cond_rate, decision_list, reasons, rounded
 from policylake.functions.dims import constant, freeze
-from policylake.operators.order_stats import exact_quantiles
+from policylake.operators.quantiles import quantiles
 
 GROUP = ["publication_split", "scenario", "training_config", "experiment", "base_station", "timestamp_s"]
 
@@ -89,10 +89,11 @@ def queue_priority(urllc: Column, embb: Column) -> Column:
 
 def fit_queue_scales(pivoted: DataFrame, quantile: float = 0.90) -> dict[str, float]:
     train = pivoted.filter("publication_split = 'train'")
-    scales = {s: exact_quantiles(train.select(f"{s}_queue"), f"{s}_queue", [quantile]) for s in ("eMBB", "URLLC")}
-    if any(v is None or not v[0] > 0 for v in scales.values()):
+    found = quantiles(train, [], {f"{s}_queue": [quantile] for s in ("eMBB", "URLLC")}).first()
+    scales = {s: found[f"{s}_queue_0"] if found else None for s in ("eMBB", "URLLC")}
+    if any(v is None or not v > 0 for v in scales.values()):
         raise ValueError("training rows give no positive buffer scale")
-    return {s: v[0] for s, v in scales.items()}
+    return scales
 
 
 def shadow(pivoted: DataFrame, scales: dict[str, float]) -> DataFrame:

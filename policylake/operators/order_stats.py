@@ -2,84 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 100_000
-SMALL_COLUMN = 200_000  # up to this many values one task ranks them without a bracket
-
-
-def _brackets(df: DataFrame, value: str, probs: list[float]) -> tuple[int, list[tuple]]:
-    slack = 2.0 / SKETCH_ACCURACY
-    wanted = []
-    for p in probs:
-        wanted += [max(p - slack, 0.0), min(p + slack, 1.0)]
-    row = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(value, wanted, SKETCH_ACCURACY).alias("q"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    ).first()
-    if not row["n"]:
-        return 0, []
-    pairs = []
-    for i, p in enumerate(probs):
-        if row["n"] <= SMALL_COLUMN:
-            pairs.append((row["low"], row["high"]))
-            continue
-        low, high = row["q"][2 * i], row["q"][2 * i + 1]
-        pairs.append((row["low"] if p - slack <= 0 else low, row["high"] if p + slack >= 1 else high))
-    return row["n"], pairs
-
+from policylake.operators.quantiles import quantiles
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float]) -> list[float] | None:
-    """Linear-interpolated quantiles of one column, as a handful of driver numbers.
-
-    A sketch brackets each wanted rank; a second pass counts what lies below the bracket and
-    ranks only the distinct values inside it, so no task ever holds the whole column.
-    """
-    data = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # one narrow column, read three times
-    n, pairs = _brackets(data, "v", probs)
-    if not n:
-        return None
-    below = data.agg(
-        *[F.count_if(F.col("v") < F.lit(low)).alias(f"b{i}") for i, (low, _) in enumerate(pairs)]
-    ).first()
-    inside = data.filter(
-        " OR ".join(f"(v BETWEEN {low!r}D AND {high!r}D)" for low, high in pairs)
-    )
-    counts = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    picks = None
-    for i, (p, (low, high)) in enumerate(zip(probs, pairs, strict=True)):
-        rank = (n - 1) * p
-        first, last = math.floor(rank), math.ceil(rank)
-        upto = F.sum("c").over(
-            Window.partitionBy("which").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        part = (
-            counts.filter(F.col("v").between(low, high))
-            .withColumn("which", F.lit(i))
-            .withColumn("upto", upto + F.lit(below[f"b{i}"]))
-            .withColumn("from", F.col("upto") - F.col("c"))
-            .filter((F.col("from") <= last) & (F.col("upto") > first))
-            .select("which", "v", "from", "upto")
-        )
-        picks = part if picks is None else picks.unionByName(part)
-    rows = picks.collect()  # at most two values per probability
-    data.unpersist()
-    out = []
-    for i, p in enumerate(probs):
-        rank = (n - 1) * p
-        first, last = math.floor(rank), math.ceil(rank)
-        mine = [r for r in rows if r["which"] == i]
-        a = next(r["v"] for r in mine if r["from"] <= first < r["upto"])
-        b = next(r["v"] for r in mine if r["from"] <= last < r["upto"])
-        out.append(a + (b - a) * (rank - first))
-    return out
+    """Linear-interpolated quantiles of one column, as a handful of driver numbers."""
+    row = quantiles(df, [], {value: probs}).first()
+    return None if row is None else [row[f"{value}_{i}"] for i in range(len(probs))]
 
 
 def positions(

@@ -1,107 +1,78 @@
 """Nearest-neighbour support of a proposed action in the training data of two roles.
 
-The reference sample of a (slice, action) group is a systematic sample of at most `cap` rows,
-the sampling rule of the audit itself. Every queried row is checked.
+All training rows of a (slice, action) group are its reference; radii come from all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylake.constants import CONTEXT_COLUMNS
-from policylake.functions.dims import freeze
-from policylake.operators.order_stats import exact_quantiles
-from policylake.operators.windows import systematic_sample
+from policylake.operators.neighbours import distinct_distances, point_counts
+from policylake.operators.quantiles import quantiles
+from policylake.sources.sinks import staged
 
 KEYS = ["slice_type", "action"]
-MAX_REFERENCE_ROWS = 400_000  # about 20 MB of numbers shipped to each executor
+FEATURES = [f"z_{c}" for c in CONTEXT_COLUMNS]
+LEAST_RADIUS = 1e-4
 
 
 def fit_scaler(rows: DataFrame) -> dict[str, tuple[float, float]]:
     """Median and 10-90 % spread of each context feature."""
-    out = {}
-    for c in CONTEXT_COLUMNS:
-        low, mid, high = exact_quantiles(rows.select(c), c, [0.10, 0.50, 0.90])
-        out[c] = (mid, (high - low) if high - low > 0 else 1.0)
-    return out
+    q = quantiles(rows, [], {c: [0.10, 0.50, 0.90] for c in CONTEXT_COLUMNS}).first()
+    spread = {c: q[f"{c}_2"] - q[f"{c}_0"] for c in CONTEXT_COLUMNS}
+    return {c: (q[f"{c}_1"], spread[c] if spread[c] > 0 else 1.0) for c in CONTEXT_COLUMNS}
 
 
 def scaled(scaler: dict[str, tuple[float, float]]) -> list[Column]:
     return [((F.col(c) - m) / s).alias(f"z_{c}") for c, (m, s) in scaler.items()]
 
 
-def reference_sample(rows: DataFrame, scaler: dict, cap: int = 2048, minimum: int = 24) -> DataFrame:
-    """Scaled reference points per (slice, action); thin groups are left out."""
-    enough = freeze(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= minimum).drop("__n"))
-    kept = systematic_sample(rows.join(enough, KEYS), KEYS, cap)
-    return kept.select("row_id", *KEYS, *scaled(scaler))
+def reference_points(rows: DataFrame, scaler: dict, minimum: int = 24, keys: list[str] = KEYS) -> DataFrame:
+    """Distinct scaled points per group with their counts; groups of fewer than `minimum` rows are left out."""
+    points = point_counts(rows.select(*keys, *scaled(scaler)), keys, FEATURES)
+    enough = points.groupBy(*keys).agg(F.sum("n").alias("__n")).where(F.col("__n") >= minimum).select(*keys)
+    return points.join(enough, keys, "left_semi")
 
 
-def nearest_distance(rows: DataFrame, reference: DataFrame, name: str, skip_self: bool = False) -> DataFrame:
+def nearest_distance(rows: DataFrame, points: DataFrame, name: str) -> DataFrame:
     """(row_id, slice, action, distance) to the nearest reference point of the row's own group.
 
-    `rows` holds scaled features under the reference's names. A reference that fits its bound
-    is shipped to the executors once and compared batch-wise; a larger one is packed into one
-    array per group and joined, with the same result. Pairs are never written out as rows.
+    `rows` holds scaled features under the reference's names.
     """
-    feats = [f"z_{c}" for c in CONTEXT_COLUMNS]
-    sample = reference.limit(MAX_REFERENCE_ROWS + 1).toPandas()
-    if len(sample) > MAX_REFERENCE_ROWS:
-        return _nearest_by_array(rows, reference, name, skip_self, feats)
-    groups = {k: (g["row_id"].to_numpy(), g[feats].to_numpy(float)) for k, g in sample.groupby(KEYS)}
-    shared = rows.sparkSession.sparkContext.broadcast(groups)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            dist = np.full(len(pdf), np.nan)
-            for key, at in pdf.groupby(KEYS).indices.items():
-                if key not in shared.value:
-                    continue
-                ids, ref = shared.value[key]
-                x = pdf[feats].to_numpy(float)[at]
-                for start in range(0, len(at), 256):
-                    block = x[start:start + 256]
-                    d2 = ((block[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
-                    if skip_self:
-                        own = pdf["row_id"].to_numpy()[at[start:start + 256]]
-                        d2[own[:, None] == ids[None, :]] = np.inf
-                    best = np.sqrt(d2.min(axis=1))
-                    dist[at[start:start + 256]] = np.where(np.isfinite(best), best, np.nan)
-            yield pd.DataFrame({"row_id": pdf["row_id"], "slice_type": pdf["slice_type"], "action": pdf["action"], name: dist})
-
-    out = rows.select("row_id", *KEYS, *feats).mapInPandas(search, f"row_id string, slice_type string, action string, {name} double")
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
-
-
-def _nearest_by_array(rows: DataFrame, reference: DataFrame, name: str, skip_self: bool, feats: list[str]) -> DataFrame:
-    packed = reference.groupBy(*KEYS).agg(F.collect_list(F.struct("row_id", *feats)).alias("refs"))
-
-    def d2(r: Column) -> Column:
-        total = sum((F.pow(F.col(f) - r[f], 2) for f in feats), start=F.lit(0.0))
-        return F.when(r["row_id"] == F.col("row_id"), F.lit(None)).otherwise(total) if skip_self else total
-
-    joined = rows.select("row_id", *KEYS, *feats).join(packed, KEYS, "left")
-    return joined.select("row_id", *KEYS, F.sqrt(F.array_min(F.transform("refs", d2))).alias(name))
-
-
-def support_radius(reference: DataFrame, quantile: float = 0.95) -> DataFrame:
-    """Quantile of the distance to the nearest other reference point, per group (bounded by the cap)."""
-    d = nearest_distance(reference, reference, "d", skip_self=True)
-    return freeze(d.groupBy(*KEYS).agg(F.greatest(F.percentile("d", quantile), F.lit(1e-4)).alias("radius")))
-
-
-def role_support(rows: DataFrame, role_rows: DataFrame, scaler: dict, name: str) -> DataFrame:
-    """Distance and support flag of every row's (slice, action) in one role."""
-    ref = reference_sample(role_rows, scaler)
-    radius = support_radius(ref)
+    d = distinct_distances(rows.withColumn("own", F.lit(False)), points, KEYS, FEATURES, name)
+    return rows.select("row_id", *KEYS, *FEATURES).join(d.drop("own"), [*KEYS, *FEATURES], "left").select("row_id", *KEYS, name)
+
+
+def support_radius(points: DataFrame, own: DataFrame, keys: list[str] = KEYS, quantile: float = 0.95) -> DataFrame:
+    """Quantile of the distance of every reference row to the nearest other one, per group."""
+    rows = points.join(own, [*keys, *FEATURES]).where("d IS NOT NULL")
+    radius = quantiles(rows, keys, {"d": [quantile]}, weight="n")
+    return radius.select(*keys, F.greatest(F.col("d_0"), F.lit(LEAST_RADIUS)).alias("radius"))
+
+
+def role_support(rows: DataFrame, roles: dict[str, DataFrame], scaler: dict, minimum: int = 24) -> DataFrame:
+    """Distance and support flag of every row's (slice, action) in each role.
+
+    References and queries of all roles, and the reference rows' own distances, are one search.
+    """
+    keys = ["role", *KEYS]
+    tagged = reduce(lambda a, b: a.unionByName(b), [df.select(*KEYS, *CONTEXT_COLUMNS).withColumn("role", F.lit(r)) for r, df in roles.items()])
+    points = staged(reference_points(tagged, scaler, minimum, keys), "reference")
     query = rows.select("row_id", *KEYS, *scaled(scaler))
-    d = nearest_distance(query, ref, f"{name}_distance").join(radius, KEYS, "left")
-    return d.select("row_id", f"{name}_distance", F.coalesce(F.col(f"{name}_distance") <= F.col("radius"), F.lit(False)).alias(f"{name}_ok"))
+    asked = query.withColumn("role", F.explode(F.array(*map(F.lit, roles)))).withColumn("own", F.lit(False))
+    every = asked.select(*keys, *FEATURES, "own").unionByName(points.select(*keys, *FEATURES).withColumn("own", F.lit(True)))
+    d = staged(distinct_distances(every, points, keys, FEATURES, "d"), "distances")
+    radius = support_radius(points, d.where("own").drop("own"), keys)
+    judged = staged(d.where("NOT own").join(radius, keys, "left").select(*keys, *FEATURES, "d", F.coalesce(F.col("d") <= F.col("radius"), F.lit(False)).alias("ok")), "distances")
+    out = query
+    for role in roles:
+        mine = judged.where(F.col("role") == role).select(*KEYS, *FEATURES, F.col("d").alias(f"{role}_distance"), F.col("ok").alias(f"{role}_ok"))
+        out = out.join(mine, [*KEYS, *FEATURES], "left").withColumn(f"{role}_ok", F.coalesce(f"{role}_ok", F.lit(False)))
+    return out.drop(*KEYS, *FEATURES)
 
 
 def guard(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from policylake.operators import aggregates, calibration, gates, inference, sele
 from policylake.plans import decision_queries as dq
 from policylake.plans import studies
 from policylake.plans.registry import query
-from policylake.plans.sqltext import candidates_cte, r9, ranked_cte, score_sql, targets_cte, transitions_cte, u, utility_sql, with_
+from policylake.plans.sqltext import OOD_SCORE_SQL, candidates_cte, r9, ranked_cte, score_sql, state_cte, targets_cte, transitions_cte, u, utility_sql, with_
 from policylake.sources import adapters
 
 B, P = 1000, 2000
@@ -218,22 +218,21 @@ def full_outer(spark, sf):
 
 # ---- OOD metrics and conformal p-values ----------------------------------------------------
 
-_OODS = f"""os AS (SELECT scenario, publication_split = 'test_unseen' AS positive,
-  round(least(1.0::DOUBLE, {u("'ood'", 'row_id')} * 0.8::DOUBLE + CASE WHEN publication_split = 'test_unseen' THEN 0.2::DOUBLE ELSE 0 END), 4) AS score
-  FROM trans WHERE publication_split IN ('test_seen', 'test_unseen'))"""
+_OODS = f"""os AS (SELECT scenario, publication_split = 'test_unseen' AS positive, round({OOD_SCORE_SQL}, 4) AS score
+  FROM tb, far WHERE publication_split IN ('test_seen', 'test_unseen'))"""
 
 
 def _ood_scores(spark, sf):
-    t = adapters.prepared(spark, sf).filter("publication_split IN ('test_seen', 'test_unseen')")
-    far = F.col("publication_split") == "test_unseen"
-    s = F.least(F.lit(1.0), uniform("ood", F.col("row_id")) * 0.8 + F.when(far, 0.2).otherwise(0.0))
-    return t.select("scenario", far.alias("positive"), F.round(s, 4).alias("score"))
+    """Context distance scored by the fitted model; the split is the label only."""
+    t, model, _ = studies.fitted(spark, sf)
+    held = t.filter("publication_split IN ('test_seen', 'test_unseen')")
+    return held.select("scenario", (F.col("publication_split") == "test_unseen").alias("positive"), F.round(model.ood(), 4).alias("score"))
 
 
 @query(
     "a15_ood_detection",
     with_(
-        transitions_cte(), _OODS,
+        state_cte(), _OODS,
         "k AS (SELECT score, count_if(positive) AS tp, count_if(NOT positive) AS fp FROM os GROUP BY 1)",
         "r AS (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf, (SELECT count_if(positive) FROM os) AS P, (SELECT count_if(NOT positive) FROM os) AS N FROM k WINDOW w AS (ORDER BY score DESC))",
         body=f"""SELECT {r9('sum(fp * (ct - tp + tp / 2.0::DOUBLE)) / (max(P) * max(N))', 'auroc')}, {r9('sum(tp * (ct / (ct + cf))) / max(P)', 'auprc')},
@@ -248,7 +247,7 @@ def ood_detection(spark, sf):
 @query(
     "a15_threshold_sweep",
     with_(
-        transitions_cte(), _OODS,
+        state_cte(), _OODS,
         body=f"""SELECT round(0.30::DOUBLE + i * 0.05::DOUBLE, 2) AS threshold, {r9('avg(CASE WHEN NOT positive THEN (score > round(0.30::DOUBLE + i * 0.05::DOUBLE, 2))::INT END)', 'seen_false_positive_rate')},
         {r9('avg(CASE WHEN positive THEN (score > round(0.30::DOUBLE + i * 0.05::DOUBLE, 2))::INT END)', 'unseen_true_positive_rate')} FROM os, range(11) t(i) GROUP BY i""",
     ),

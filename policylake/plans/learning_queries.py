@@ -8,14 +8,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from policylake.constants import CONTEXT_COLUMNS, STATE_COLUMNS
-from policylake.functions.core import cond_rate, rounded, uniform
+from policylake.functions.core import cond_rate, first_of, rounded, uniform
 from policylake.functions.dims import freeze
 from policylake.learn import isolation, supervised, value
-from policylake.operators import aggregates, governed, inference, support
+from policylake.operators import aggregates, candidates, density, governed, inference, neighbours, outcome_model, support
 from policylake.plans import decision_queries as dq
 from policylake.plans import studies
 from policylake.plans.registry import query
-from policylake.plans.support_queries import supported
+from policylake.plans.sqltext import EVALUATOR_WHERE, POLICY_WHERE, drawn_sql, outcome_model_ctes, r9, state_cte, transitions_cte, u, with_
+from policylake.plans.support_queries import SCALED_SQL, supported
 from policylake.sources import adapters
 from policylake.sources.sinks import staged
 
@@ -131,6 +132,51 @@ def oof(spark, sf):
     return o.groupBy("fold", "slice_type").agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean_residual"), F.avg(F.abs("residual")).alias("mean_abs_residual"))
 
 
+_ERRORS_SQL = ", ".join(r9(f"avg(abs({c}_cost - p_{c}))", f"mae_{c}") for c in outcome_model.COSTS)
+
+
+def _residuals(spark, sf):
+    """Policy rows with out-of-fold predictions of the three costs and the uncertainty target."""
+    t, model, _ = studies.fitted(spark, sf)
+    folds = dq.CFG.folds
+    rows = outcome_model.prepared_rows(studies.policy_rows(t), model.scale, folds)
+    sums = outcome_model.summed(rows, [*outcome_model.COSTS], folds)
+    return outcome_model.uncertainty(rows, sums, folds)[0]
+
+
+@query(
+    "m9_uncertainty_target",
+    with_(outcome_model_ctes(), body=f"""SELECT fold, slice_type, count(*) AS rows, count(DISTINCT episode_id) AS episodes, {_ERRORS_SQL}, {r9('avg(raw)', 'mean_residual')}, {r9('avg(target)', 'mean_target')},
+    count_if(target >= 1)::BIGINT AS capped FROM res GROUP BY 1, 2"""),
+)
+def uncertainty_target(spark, sf):
+    """Fold sizes, out-of-fold errors of three costs, and the scaled residual capped at its 98 % quantile."""
+    r = _residuals(spark, sf).withColumn("episode_id", F.substring_index("row_id", "@", 1))
+    return r.groupBy("fold", "slice_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("episode_id").alias("episodes"),
+        *[rounded(F.avg(F.abs(F.col(c) - F.col(f"p_{c}")))).alias(f"mae_{c}") for c in outcome_model.COSTS],
+        rounded(F.avg("raw")).alias("mean_residual"), rounded(F.avg("target")).alias("mean_target"), F.count_if(F.col("target") >= 1).alias("capped"))
+
+
+@query(
+    "m10_uncertainty_critic",
+    with_(outcome_model_ctes(), body=f"""SELECT t.publication_split, t.slice_type, count(*) AS rows, {', '.join(r9(f'avg(abs(t.{c}_cost - s.{c}))', f'mae_{c}') for c in outcome_model.COSTS)},
+    {r9('avg(s.unc)', 'mean_uncertainty')}, {r9('min(s.unc)', 'least_uncertainty')}, {r9('max(s.unc)', 'most_uncertainty')},
+    {r9('corr(s.unc, abs(t.sla_cost - s.sla) + abs(t.energy_cost - s.energy) + abs(t.stability_cost - s.stability))', 'error_correlation')}
+    FROM tb t JOIN state s ON s.slice_type = t.slice_type AND s.action = t.action AND s.bin = t.bin WHERE t.publication_split <> 'train' GROUP BY 1, 2"""),
+)
+def uncertainty_critic(spark, sf):
+    """Errors of the cost critics on every held-out split, and how the uncertainty critic goes with them."""
+    t, model, _ = studies.fitted(spark, sf)
+    held = candidates.with_candidates(t.filter("publication_split <> 'train'").select(*studies.ROW_COLUMNS), model, [*outcome_model.COSTS, "unc"])
+    held = held.withColumn("own", first_of(F.filter("cand", lambda c: c["action"] == F.col("action")))).where("own IS NOT NULL")
+    error = {c: F.abs(F.col(f"{c}_cost") - F.col(f"own.{c}")) for c in outcome_model.COSTS}
+    return held.groupBy("publication_split", "slice_type").agg(
+        F.count(F.lit(1)).alias("rows"), *[rounded(F.avg(e)).alias(f"mae_{c}") for c, e in error.items()],
+        rounded(F.avg("own.unc")).alias("mean_uncertainty"), rounded(F.min("own.unc")).alias("least_uncertainty"), rounded(F.max("own.unc")).alias("most_uncertainty"),
+        rounded(F.corr("own.unc", sum(error.values()))).alias("error_correlation"))
+
+
 @query("m10_outcome_critics")
 def critics(spark, sf):
     t, train, _, _, actions = _setup(spark, sf)
@@ -156,6 +202,31 @@ def independent(spark, sf):
     return aggregates.regression_metrics(p, "utility", "p_utility", ["publication_split"])
 
 
+def _crossfit_sql() -> str:
+    k = dq.CFG.folds
+    cluster = "concat_ws('/', scenario, training_config, experiment)"
+    fold = f"floor({u("'cluster'", cluster)} * {k})::INT"
+    costs = {c: f"{c}_cost" for c in outcome_model.COSTS}
+    models = ", ".join(drawn_sql(f"x{i}", "tc", f"{EVALUATOR_WHERE} AND cfold <> {i}", costs, "ep") for i in range(k))
+    union = " UNION ALL ".join(f"SELECT slice_type, action, bin, {i} AS cfold, {', '.join(outcome_model.COSTS)} FROM x{i}" for i in range(k))
+    return f"tc AS MATERIALIZED (SELECT *, {fold} AS cfold FROM tb), ep AS (SELECT DISTINCT slice_type, action FROM tb WHERE {EVALUATOR_WHERE}), {models}, xf AS ({union})"
+
+
+@query(
+    "m12_cluster_crossfit",
+    with_(state_cte(), _crossfit_sql(), body=f"""SELECT t.publication_split, t.slice_type, count(*) AS rows, count(x.sla) AS judged, count(DISTINCT t.cfold) AS folds, 0::BIGINT AS saw_cluster,
+    {', '.join(r9(f'avg(abs(t.{c}_cost - x.{c}))', f'mae_{c}') for c in outcome_model.COSTS)} FROM tc t LEFT JOIN xf x ON x.slice_type = t.slice_type AND x.action = t.action AND x.bin = t.bin AND x.cfold = t.cfold
+    WHERE t.publication_split <> 'train' GROUP BY 1, 2"""),
+)
+def cluster_crossfit(spark, sf):
+    """Three costs of every held-out row from models that saw nothing of its cluster."""
+    t, model, _ = studies.fitted(spark, sf)
+    p = outcome_model.crossfit_predictions(studies.evaluator_rows(t), t.filter("publication_split <> 'train'"), model.scale, dq.CFG.folds)
+    return p.groupBy("publication_split", "slice_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("p_sla").alias("judged"), F.countDistinct("fold").alias("folds"), F.sum("saw_cluster").alias("saw_cluster"),
+        *[rounded(F.avg(F.abs(F.col(f"{c}_cost") - F.col(f"p_{c}")))).alias(f"mae_{c}") for c in outcome_model.COSTS])
+
+
 @query("m13_behaviour_prior")
 def behaviour(spark, sf):
     t, train, _, _, actions = _setup(spark, sf)
@@ -163,23 +234,113 @@ def behaviour(spark, sf):
     return long.groupBy("slice_type", "action").agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"))
 
 
+CALIBRATION_SHARE, MIN_REFERENCE = 0.25, 8
+METHODS = ("nearest", "gaussian", "mixture")
+_ROLE_KEYS = ["role", *support.KEYS]
+
+
+def _nonconformity(t):
+    """Long scores of calibration and held-out rows: role, method, row, score `s` (null: no model).
+
+    A quarter of each role's episodes, by hash, is kept from the reference; every row that is not
+    for training is asked about both roles.
+    """
+    scaler = support.fit_scaler(t.filter("publication_split = 'train'"))
+    cal = uniform("calibration", F.col("episode_id")) < CALIBRATION_SHARE
+    roles = {"policy": studies.policy_rows(t), "evaluator": studies.evaluator_rows(t)}
+    columns = ["row_id", "episode_id", "publication_split", *support.KEYS]
+    own = reduce(lambda a, b: a.unionByName(b), [df.select(*columns, *support.scaled(scaler), F.lit(r).alias("role"), cal.alias("asked")) for r, df in roles.items()])
+    held = t.filter("publication_split <> 'train'").select(*columns, *support.scaled(scaler), F.explode(F.array(*map(F.lit, roles))).alias("role"), F.lit(True).alias("asked"))
+    rows = staged(density.whole_rows(own.unionByName(held), support.FEATURES), "density-rows")
+    reference, asked = rows.filter("NOT asked"), rows.filter("asked").drop("asked")
+    points = staged(neighbours.point_counts(reference, _ROLE_KEYS, support.FEATURES), "reference")
+    enough = points.groupBy(*_ROLE_KEYS).agg(F.sum("n").alias("rows")).filter(F.col("rows") >= MIN_REFERENCE)
+    points = points.join(enough.drop("rows"), _ROLE_KEYS, "left_semi")
+    near = neighbours.distinct_distances(asked.withColumn("own", F.lit(False)), points, _ROLE_KEYS, support.FEATURES, "nearest").drop("own")
+    scored = asked.join(staged(near, "distances"), [*_ROLE_KEYS, *support.FEATURES], "left")
+    scored = density.mahalanobis(scored, staged(density.gaussian(reference, _ROLE_KEYS, support.FEATURES, MIN_REFERENCE), "gaussian"), _ROLE_KEYS, support.FEATURES, "gaussian")
+    scored = density.surprise(scored, density.mixture(reference, _ROLE_KEYS, support.FEATURES, MIN_REFERENCE), _ROLE_KEYS, support.FEATURES, "mixture")
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.round(m, 9).alias("s")) for m in METHODS])
+    return staged(scored.select(*columns, "role", F.inline(each)), "nonconformity")
+
+
+_P_VALUES: dict[tuple, object] = {}
+
+
+def _conformal(spark, sf):
+    """row_id, split, slice, action, method, `p` (least of both roles, 0 without a model) and `n_cal`."""
+    t = adapters.prepared(spark, sf)
+    key = (spark.sparkContext.applicationId, tuple(sorted(t.inputFiles())))
+    if key not in _P_VALUES:
+        _P_VALUES[key] = staged(_p_values(t), "conformal")
+    return _P_VALUES[key]
+
+
+def _p_values(t):
+    scores = _nonconformity(t)
+    keys = [*_ROLE_KEYS, "method"]
+    calibration = scores.filter("publication_split = 'train' AND s IS NOT NULL").groupBy(*keys, "episode_id").agg(F.max("s").alias("s"))
+    held = scores.filter("publication_split <> 'train'")
+    known = inference.conformal_p(calibration, held.filter("s IS NOT NULL"), keys, "s").select("row_id", *keys, "p", "n_cal")
+    both = held.join(known, ["row_id", *keys], "left")
+    return both.groupBy("row_id", "publication_split", *support.KEYS, "method").agg(
+        F.min(F.coalesce("p", F.lit(0.0))).alias("p"), F.min(F.coalesce("n_cal", F.lit(0).cast("long"))).alias("n_cal"))
+
+
+def _supported_at(alpha):
+    """Below the attainable resolution every action would pass, so the stratum is refused."""
+    return (F.col("p") > alpha) & (F.col("n_cal") >= 1 / alpha - 1)
+
+
 @query("m14_conformal_action_support")
 def conformal(spark, sf):
-    t = adapters.prepared(spark, sf)
-    scaler = support.fit_scaler(t.filter("publication_split = 'train'"))
-    cal = uniform("calibration", F.col("episode_id")) < 0.25
-    parts = []
-    for role, rows in (("policy", studies.policy_rows(t)), ("evaluator", studies.evaluator_rows(t))):
-        ref = support.reference_sample(rows.filter(~cal), scaler, minimum=8)
-        held = support.nearest_distance(rows.filter(cal).select("row_id", *support.KEYS, *support.scaled(scaler)), ref, "d").join(rows.select("row_id", "episode_id"), "row_id")
-        scores = held.filter("d IS NOT NULL").groupBy(*support.KEYS, "episode_id").agg(F.max(F.round("d", 9)).alias("s"))
-        q = support.nearest_distance(t.filter("publication_split = 'test_seen'").select("row_id", *support.KEYS, *support.scaled(scaler)), ref, "d")
-        q = q.select("row_id", *support.KEYS, F.round(F.coalesce("d", F.lit(1e9)), 9).alias("s"))
-        parts.append(inference.conformal_p(scores, q, support.KEYS, "s").select("row_id", *support.KEYS, "p", "n_cal"))
-    both = reduce(lambda a, b: a.unionByName(b), parts).groupBy("row_id", *support.KEYS).agg(F.min("p").alias("p"), F.min("n_cal").alias("n_cal"))
-    alpha = 0.2
-    # below the attainable resolution every action would pass, so the stratum is refused
-    return both.withColumn("supported", (F.col("p") > alpha) & (F.coalesce("n_cal", F.lit(0)) >= 1 / alpha - 1))
+    return _conformal(spark, sf).withColumn("supported", _supported_at(F.lit(0.2)))
+
+
+def _gaussian_sql() -> str:
+    d = len(CONTEXT_COLUMNS)
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    z = ", ".join(f"z_{c} AS z{i}" for i, c in enumerate(CONTEXT_COLUMNS))
+    square = " + ".join(f"s{i}_{j} * s{i}_{j} * {1 if i == j else 2}" for i, j in pairs)
+    length = " + ".join(f"(z{i} - m{i}) * (z{i} - m{i})" for i in range(d))
+    ctes = [f"""ref AS (SELECT CASE experiment WHEN 'exp1' THEN 'policy' ELSE 'evaluator' END AS role, row_id, episode_id, slice_type, action, {z}, {u("'calibration'", "episode_id")} < {CALIBRATION_SHARE} AS cal FROM z WHERE publication_split = 'train' AND experiment IN ('exp1', 'exp2'))""",
+            f"gm AS (SELECT role, slice_type, action, count(*) AS gn, {', '.join(f'avg(z{i}) AS m{i}' for i in range(d))} FROM ref WHERE NOT cal GROUP BY ALL HAVING count(*) >= {MIN_REFERENCE})",
+            f"""gs AS (SELECT role, slice_type, action, gn, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'avg((z{i} - m{i}) * (z{j} - m{j})) AS s{i}_{j}' for i, j in pairs)}, avg(({length}) * ({length})) AS fourth
+  FROM ref JOIN gm USING (role, slice_type, action) WHERE NOT cal GROUP BY ALL)""",
+            f"g0 AS (SELECT *, ({' + '.join(f's{i}_{i}' for i in range(d))}) / {d} AS ball, {square} AS square FROM gs)",
+            f"g1 AS (SELECT *, (square - {d} * ball * ball) / {d} AS apart, least((fourth - square) / ({d} * gn), (square - {d} * ball * ball) / {d}) AS noise FROM g0)",
+            "g2 AS (SELECT *, CASE WHEN noise <= 0 OR apart <= 0 THEN 0 ELSE noise / apart END AS share FROM g1)"]
+    last = "g2"
+    for j in range(d):
+        minus = "".join(f" - l{j}_{k} * l{j}_{k}" for k in range(j))
+        ctes.append(f"c{j} AS (SELECT *, sqrt(greatest(s{j}_{j} * (1 - share) + share * ball{minus}, {density.LEAST_PIVOT!r}::DOUBLE)) AS l{j}_{j} FROM {last})")
+        last = f"c{j}"
+        below = ", ".join("(" + f"s{i}_{j} * (1 - share)" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j)) + f") / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, d))
+        if below:
+            ctes.append(f"d{j} AS (SELECT *, {below} FROM c{j})")
+            last = f"d{j}"
+    ctes.append(f"""ask AS (SELECT role, row_id, episode_id, 'train' AS publication_split, slice_type, action, {', '.join(f'z{i}' for i in range(d))} FROM ref WHERE cal
+  UNION ALL SELECT r.role, row_id, episode_id, publication_split, slice_type, action, {z} FROM z, (VALUES ('policy'), ('evaluator')) r(role) WHERE publication_split <> 'train')""")
+    last_row = f"ask LEFT JOIN {last} USING (role, slice_type, action)"
+    for i in range(d):
+        y = f"(z{i} - m{i}" + "".join(f" - l{i}_{k} * y{k}" for k in range(i)) + f") / l{i}_{i} AS y{i}"
+        ctes.append(f"y_{i} AS (SELECT {'ask.*, ' + last + '.* EXCLUDE (role, slice_type, action)' if i == 0 else '*'}, {y} FROM {last_row})")
+        last_row = f"y_{i}"
+    ctes.append(f"""sc AS MATERIALIZED (SELECT role, row_id, episode_id, publication_split, slice_type, action, round({' + '.join(f'y{i} * y{i}' for i in range(d))}, 9) AS s FROM {last_row})""")
+    return ", ".join(ctes)
+
+
+@query(
+    "m14_gaussian_support",
+    with_(
+        transitions_cte(), SCALED_SQL, _gaussian_sql(),
+        "ep AS (SELECT role, slice_type, action, episode_id, max(s) AS s FROM sc WHERE publication_split = 'train' AND s IS NOT NULL GROUP BY ALL)",
+        "pv AS (SELECT q.row_id, q.role, any_value(q.s) AS s, count(e.s) AS n_cal, CASE WHEN any_value(q.s) IS NULL OR count(e.s) = 0 THEN 0 ELSE (count_if(e.s >= q.s) + 1) / (count(e.s) + 1) END AS p FROM sc q LEFT JOIN ep e USING (role, slice_type, action) WHERE q.publication_split <> 'train' GROUP BY 1, 2)",
+        body=f"SELECT row_id, {r9('min(p)', 'p')}, min(CASE WHEN s IS NULL THEN 0 ELSE n_cal END) AS n_cal FROM pv GROUP BY 1",
+    ),
+)
+def gaussian_support(spark, sf):
+    return _conformal(spark, sf).filter("method = 'gaussian'").select("row_id", rounded("p").alias("p"), "n_cal")
 
 
 @query("m17_shortcut_test")
@@ -223,6 +384,40 @@ def advantage(spark, sf):
     return v.select("row_id", F.array_min(F.array(*[f"p{k}" for k in range(4)])).alias("lower_value"), "utility")
 
 
+REPLICATES, LOWER, MARGIN = 40, 0.05, 0.01
+
+
+def _advantage_sql() -> str:
+    s = f"{outcome_model.STRENGTH}::DOUBLE"
+    w = " + ".join(f"(d >= {p!r}::DOUBLE)::INT" for p in outcome_model.POISSON)
+    return f"""em AS (SELECT episode_id, slice_type, action, bin, count(*) AS n, sum(utility) AS s FROM tb WHERE {POLICY_WHERE} GROUP BY ALL),
+dw AS (SELECT *, {w} AS w FROM (SELECT em.*, r, {u("'advantage'", 'r', 'episode_id')} AS d FROM em, range({REPLICATES}) x(r))),
+rb AS (SELECT r, slice_type, action, bin, sum(w * n)::DOUBLE AS n, sum(w * s) AS s FROM dw GROUP BY ALL),
+rc AS (SELECT r, slice_type, action, sum(n) AS n, sum(s) AS s FROM rb GROUP BY ALL),
+rs AS (SELECT r, slice_type, sum(s) / sum(n) AS m FROM rc GROUP BY ALL),
+rq AS MATERIALIZED (SELECT rc.r, rc.slice_type, rc.action, g.bin, c.idx, (coalesce(rb.s, 0) + {s} * ((rc.s + {s} * rs.m) / (rc.n + {s}))) / (coalesce(rb.n, 0) + {s}) AS q
+  FROM rc JOIN rs USING (r, slice_type) JOIN cells c ON c.slice_type = rc.slice_type AND c.action = rc.action CROSS JOIN (SELECT unnest(range(9)) AS bin) g
+  LEFT JOIN rb ON rb.r = rc.r AND rb.slice_type = rc.slice_type AND rb.action = rc.action AND rb.bin = g.bin),
+ad AS (SELECT i.slice_type, i.bin, i.action AS current_action, k.action AS candidate, k.idx, quantile_cont(k.q - i.q, {LOWER}) AS lower
+  FROM rq i JOIN rq k ON k.r = i.r AND k.slice_type = i.slice_type AND k.bin = i.bin AND k.action <> i.action GROUP BY ALL),
+bestad AS (SELECT * FROM ad QUALIFY row_number() OVER (PARTITION BY slice_type, bin, current_action ORDER BY round(lower, 12) DESC, idx) = 1)"""
+
+
+@query(
+    "m19_paired_advantage",
+    with_(state_cte(), _advantage_sql(), body=f"""SELECT t.row_id, t.publication_split, candidate, {r9('lower', 'lower_advantage')}, coalesce(lower > {MARGIN}, false) AS promoted,
+    CASE WHEN lower > {MARGIN} THEN candidate ELSE t.current_action END AS chosen FROM tb t LEFT JOIN bestad b ON b.slice_type = t.slice_type AND b.bin = t.bin AND b.current_action = t.current_action WHERE t.publication_split <> 'train'"""),
+)
+def paired_advantage(spark, sf):
+    """Candidate minus incumbent in every bootstrap replicate of the training episodes; promoted above a margin."""
+    t, model, cells = studies.fitted(spark, sf)
+    best = outcome_model.advantages(studies.policy_rows(t), model.scale, cells.collect(), REPLICATES, LOWER)
+    held = t.filter("publication_split <> 'train'").withColumn("bin", model.scale.bin()).join(best, ["slice_type", "bin", "current_action"], "left")
+    promoted = F.coalesce(F.col("lower") > MARGIN, F.lit(False))
+    return held.select("row_id", "publication_split", "candidate", rounded("lower").alias("lower_advantage"), promoted.alias("promoted"),
+                       F.when(promoted, F.col("candidate")).otherwise(F.col("current_action")).alias("chosen"))
+
+
 @query("d12_cql_alpha_tuning")
 def cql_tuning(spark, sf):
     t, train, _, allowed, actions = _setup(spark, sf)
@@ -238,11 +433,15 @@ def cql_tuning(spark, sf):
 
 @query("d13_conformal_grid")
 def conformal_grid(spark, sf):
-    p = staged(conformal(spark, sf), "conformal")
+    """Method x alpha grid on validation; the feasible point of most coverage wins, then the least alpha."""
+    p = _conformal(spark, sf).filter("publication_split = 'validation'")
     alphas = F.array(*[F.lit(a) for a in (0.10, 0.15, 0.20, 0.25, 0.30, 0.35)])
     long = p.withColumn("alpha", F.explode(alphas))
-    ok = (F.col("p") > F.col("alpha")) & (F.coalesce("n_cal", F.lit(0)) >= 1 / F.col("alpha") - 1)
-    return long.groupBy("alpha").agg(F.count(F.lit(1)).alias("n"), cond_rate(ok).alias("coverage"), (cond_rate(ok) >= 0.05).alias("feasible"))
+    grid = long.groupBy("method", "alpha").agg(F.count(F.lit(1)).alias("n"), cond_rate(_supported_at(F.col("alpha"))).alias("coverage"))
+    grid = freeze(grid.withColumn("feasible", F.col("coverage") >= 0.05))
+    best = grid.filter("feasible").agg(F.max_by(F.struct("method", "alpha"), F.struct("coverage", -F.col("alpha"), "method")).alias("b")).first()["b"]
+    won = (F.col("method") == best["method"]) & (F.col("alpha") == best["alpha"]) if best else F.lit(False)
+    return grid.withColumn("winner", won)
 
 
 @query("d28_masked_controllers")

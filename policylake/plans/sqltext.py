@@ -337,21 +337,98 @@ fallbacks AS (SELECT slice_type, arg_min(action, rk) AS fallback FROM (SELECT *,
   ORDER BY round(0.70::DOUBLE * m_sla + 0.20::DOUBLE * m_energy + 0.10::DOUBLE * m_stability, 12), support DESC, action) AS rk FROM cells) GROUP BY 1)"""
 
 
-def candidates_cte(multi_ue: bool = False) -> str:
-    """Long candidates `cand` (one row per row and supported action) with every field, and `rws`."""
-    def obj(n: str) -> str:
-        return clip_sql(f"m_{n} + 0.1::DOUBLE * ({u(chr(39) + n + chr(39), 'row_id', 'c.action')} - 0.5::DOUBLE)", 0.0, 1.0) + f" AS {n}"
+POLICY_WHERE = "publication_split = 'train' AND experiment = 'exp1'"
+EVALUATOR_WHERE = "publication_split = 'train' AND experiment = 'exp2'"
+
+
+def state_cte(multi_ue: bool = False) -> str:
+    """Rows `tb` with bin, next bin, fold and context distance, and `far` (median and 95 % of the distance)."""
+    from policylake.config import ObjectiveSettings
+    from policylake.constants import CONTEXT_COLUMNS
+    from policylake.operators.outcome_model import LOAD, RADIO
+
+    edges = [f"quantile_cont({c}, {p!r}) AS {k}_{c}" for c in (LOAD, RADIO) for k, p in (("lo", 1 / 3), ("hi", 2 / 3))]
+    edges += [f"quantile_cont({c}, 0.5) AS mid_{c}" for c in CONTEXT_COLUMNS]
+    edges += [f"CASE WHEN quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1) > 0 THEN quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1) ELSE 1 END AS wide_{c}" for c in CONTEXT_COLUMNS]
 
-    objs = ",\n  ".join(obj(n) for n in ("sla", "energy", "stability", "e_sla", "e_energy", "e_stability"))
+    def bin_of(p: str) -> str:
+        third = "(({p}{c} > lo_{c})::INT + ({p}{c} > hi_{c})::INT)"
+        return f"{third.format(p=p, c=LOAD)} * 3 + {third.format(p=p, c=RADIO)}"
+
+    z2 = " + ".join(f"(({c} - mid_{c}) / wide_{c}) * (({c} - mid_{c}) / wide_{c})" for c in CONTEXT_COLUMNS)
     return f"""{cells_cte(multi_ue)},
-rws AS (SELECT t.*, f.fallback, {u("'ood'", 'row_id')} AS ood, cc.idx AS inc
-  FROM targets t JOIN fallbacks f USING (slice_type) LEFT JOIN cells cc ON cc.slice_type = t.slice_type AND cc.action = t.current_action),
+edges AS (SELECT {", ".join(edges)} FROM targets WHERE {POLICY_WHERE}),
+tb AS MATERIALIZED (SELECT targets.*, {bin_of("")} AS bin, {bin_of("next_")} AS next_bin, floor({u("'fold'", "episode_id")} * {ObjectiveSettings().folds})::INT AS fold,
+  sqrt(({z2}) / {len(CONTEXT_COLUMNS)}.0::DOUBLE) AS distance FROM targets, edges),
+far AS (SELECT quantile_cont(distance, 0.5) AS d50, quantile_cont(distance, 0.95) AS d95 FROM tb WHERE {POLICY_WHERE})"""
+
+
+OOD_SCORE_SQL = "1.0::DOUBLE / (1 + exp(-(distance - d95) / greatest(d95 - d50, 1e-6::DOUBLE)))"
+
+
+def drawn_sql(name: str, source: str, where: str, cols: dict[str, str], pairs: str) -> str:
+    """Means by (slice, action, bin) drawn towards (slice, action) and slice; `n` and `cell_n` rows."""
+    from policylake.operators.outcome_model import STRENGTH
+
+    k = f"{STRENGTH}::DOUBLE"
+
+    def value(c: str) -> str:
+        cell = f"(coalesce(c.s_{c}, 0) + {k} * s.m_{c}) / (coalesce(c.n, 0) + {k})"
+        return f"(coalesce(b.s_{c}, 0) + {k} * ({cell})) / (coalesce(b.n, 0) + {k}) AS {c}"
+
+    return f"""{name}_b AS (SELECT slice_type, action, bin, count(*) AS n, {", ".join(f"sum({e})::DOUBLE AS s_{c}" for c, e in cols.items())} FROM {source} WHERE {where} GROUP BY ALL),
+{name}_c AS (SELECT slice_type, action, sum(n)::DOUBLE AS n, {", ".join(f"sum(s_{c}) AS s_{c}" for c in cols)} FROM {name}_b GROUP BY ALL),
+{name}_s AS (SELECT slice_type, {", ".join(f"sum(s_{c}) / sum(n) AS m_{c}" for c in cols)} FROM {name}_c GROUP BY ALL),
+{name} AS (SELECT p.slice_type, p.action, g.bin, coalesce(b.n, 0) AS n, coalesce(c.n, 0) AS cell_n, {", ".join(map(value, cols))}
+  FROM {pairs} p CROSS JOIN (SELECT unnest(range(9)) AS bin) g JOIN {name}_s s ON s.slice_type = p.slice_type
+  LEFT JOIN {name}_c c ON c.slice_type = p.slice_type AND c.action = p.action LEFT JOIN {name}_b b ON b.slice_type = p.slice_type AND b.action = p.action AND b.bin = g.bin)"""
+
+
+def outcome_model_ctes(multi_ue: bool = False) -> str:
+    """`res` (rows with out-of-fold residuals, `raw`, `target`) and `state` (estimates by slice, action, bin)."""
+    from policylake.config import ObjectiveSettings
+    from policylake.operators.outcome_model import COSTS, LEAST_CAP, LEAST_SPREAD, LOCAL_ROWS, RESIDUAL_CAP
+
+    cfg = ObjectiveSettings()
+    costs = {c: f"{c}_cost" for c in COSTS}
+    folds = ",\n".join(drawn_sql(f"o{k}", "tb", f"{POLICY_WHERE} AND fold <> {k}", costs, "pp") for k in range(cfg.folds))
+    oof = " UNION ALL ".join(f"SELECT slice_type, action, bin, {k} AS fold, {', '.join(f'{c} AS p_{c}' for c in COSTS)} FROM o{k}" for k in range(cfg.folds))
+    raw = " + ".join(f"abs({c}_cost - p_{c}) / greatest(sd_{c}, {LEAST_SPREAD}::DOUBLE)" for c in COSTS)
+    rounds = [drawn_sql("q0", "tb", POLICY_WHERE, {"q": "utility"}, "pp")]
+    for i in range(1, cfg.q_iterations):
+        rounds.append(f"""v{i} AS (SELECT slice_type, bin, max(q) AS v FROM q{i - 1} GROUP BY ALL),
+t{i} AS (SELECT tb.slice_type, tb.action, tb.bin, utility + CASE WHEN done THEN 0 ELSE {cfg.gamma}::DOUBLE * v END AS t FROM tb JOIN v{i} ON v{i}.slice_type = tb.slice_type AND v{i}.bin = tb.next_bin WHERE {POLICY_WHERE}),
+{drawn_sql(f"q{i}", f"t{i}", "true", {"q": "t"}, "pp")}""")
+    last = f"q{cfg.q_iterations - 1}"
+    return f"""{state_cte(multi_ue)},
+pp AS (SELECT DISTINCT slice_type, action FROM tb WHERE {POLICY_WHERE}),
+ep AS (SELECT DISTINCT slice_type, action FROM tb WHERE {EVALUATOR_WHERE}),
+{drawn_sql("pm", "tb", POLICY_WHERE, costs, "pp")},
+{drawn_sql("em", "tb", EVALUATOR_WHERE, costs, "ep")},
+{folds},
+oof AS ({oof}),
+sds AS (SELECT {", ".join(f"stddev_pop({c}_cost) AS sd_{c}" for c in COSTS)} FROM tb WHERE {POLICY_WHERE}),
+res0 AS MATERIALIZED (SELECT tb.*, {", ".join(f"p_{c}" for c in COSTS)}, ({raw}) / 3.0::DOUBLE AS raw FROM tb JOIN oof USING (slice_type, action, bin, fold), sds WHERE {POLICY_WHERE}),
+cap AS (SELECT greatest(quantile_cont(raw, {RESIDUAL_CAP}), {LEAST_CAP!r}::DOUBLE) AS cap FROM res0),
+res AS (SELECT res0.*, {clip_sql("raw / cap", 0.0, 1.0)} AS target FROM res0, cap),
+{drawn_sql("um", "res", "true", {"unc": "target"}, "pp")},
+{", ".join(rounds)},
+state AS MATERIALIZED (SELECT c.slice_type, c.action, c.idx, p.bin, p.sla, p.energy, p.stability, um.unc, {last}.q,
+  (CASE WHEN sum(p.n) OVER (PARTITION BY c.slice_type, p.bin) > 0 THEN p.n ELSE p.cell_n END)::DOUBLE AS w, p.n >= {LOCAL_ROWS} AND e.n >= {LOCAL_ROWS} AS sup,
+  e.sla AS e_sla, e.energy AS e_energy, e.stability AS e_stability
+  FROM cells c JOIN pm p ON p.slice_type = c.slice_type AND p.action = c.action JOIN em e ON e.slice_type = c.slice_type AND e.action = c.action AND e.bin = p.bin
+  JOIN um ON um.slice_type = c.slice_type AND um.action = c.action AND um.bin = p.bin JOIN {last} ON {last}.slice_type = c.slice_type AND {last}.action = c.action AND {last}.bin = p.bin)"""
+
+
+def candidates_cte(multi_ue: bool = False) -> str:
+    """Long candidates `cand` (one row per row and supported action) with every field, and `rws`."""
+    return f"""{outcome_model_ctes(multi_ue)},
+rws AS (SELECT t.*, f.fallback, {OOD_SCORE_SQL} AS ood, cc.idx AS inc
+  FROM tb t CROSS JOIN far JOIN fallbacks f ON f.slice_type = t.slice_type LEFT JOIN cells cc ON cc.slice_type = t.slice_type AND cc.action = t.current_action),
 cand0 AS (SELECT row_id, t.slice_type, c.action AS a, c.idx, t.ood, t.inc, t.fallback, t.publication_split, t.episode_id, t.timestamp_s,
   t.current_action, t.action AS logged, t.scenario, t.training_config, t.experiment, t.base_station, t.utility, t.sla_cost, t.energy_cost, t.stability_cost,
-  {objs}, {u("'unc'", 'row_id', 'c.action')} * 0.8::DOUBLE AS unc,
-  m_value + 0.05::DOUBLE * {u("'q'", 'row_id', 'c.action')} AS q, {u("'prior'", 'row_id', 'c.action')} AS w,
-  {u("'support'", 'row_id', 'c.action')} > 0.15::DOUBLE AS sup
-  FROM rws t JOIN cells c ON c.slice_type = t.slice_type),
+  c.sla, c.energy, c.stability, c.unc, c.q, c.w, c.sup, c.e_sla, c.e_energy, c.e_stability
+  FROM rws t JOIN state c ON c.slice_type = t.slice_type AND c.bin = t.bin),
 cand AS MATERIALIZED (SELECT *, CASE WHEN qh - ql > 1e-9 THEN (q - ql) / (qh - ql) ELSE 0.5::DOUBLE END AS qn, w / ws AS prior FROM (
   SELECT *, min(q) OVER p AS ql, max(q) OVER p AS qh, sum(w) OVER p AS ws FROM cand0 WINDOW p AS (PARTITION BY row_id)))"""
 

@@ -19,9 +19,18 @@ def _labelled(spark, sf):
     return pipelines.event_stream(spark, sf).withColumn("policy", governed.expert_label())
 
 
-def _state(spark, sf, name):
-    s = pipelines.cell_stream(_labelled(spark, sf), dwell=1800.0, window=21600.0, max_switches=6)
-    return pipelines.run_to_table(s, name)
+_LOGS: dict[tuple, object] = {}
+
+
+def _state(spark, sf):
+    """The cell log of the labelled stream, written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOGS:
+        def build(observed):
+            return pipelines.cell_stream(observed.withColumn("policy", governed.expert_label()), dwell=1800.0, window=21600.0, max_switches=6)
+
+        _LOGS[key] = pipelines.drained(spark, sf, build, "cells")
+    return _LOGS[key]
 
 
 @query("t1_stream_validation", SQL["v1_kpi_range_validation"])
@@ -38,12 +47,12 @@ def validation(spark, sf):
 
 @query("t2_stream_dwell_guard", SQL["w5_dwell_churn_guard"])
 def dwell(spark, sf):
-    return _state(spark, sf, "dwell").select("event_id", "dwell_reject", "churn_reject")
+    return _state(spark, sf).select("event_id", "dwell_reject", "churn_reject")
 
 
 @query("t3_stream_rollback", with_(OBS, tq._EV, tq._ARM, body="SELECT event_id, len(reasons) > 0 AS rollback FROM rb"))
 def rollback(spark, sf):
-    return _state(spark, sf, "rollback").select("event_id", "rollback")
+    return _state(spark, sf).select("event_id", "rollback")
 
 
 @query(
@@ -52,7 +61,7 @@ def rollback(spark, sf):
           body=f"SELECT event_id, points::INT AS points, CASE WHEN points >= 3 THEN round({tq._EWMA}, 9) END AS ewma FROM h24 JOIN n USING (event_id)"),
 )
 def forecast(spark, sf):
-    return _state(spark, sf, "forecast").select("event_id", "points", rounded("ewma").alias("ewma"))
+    return _state(spark, sf).select("event_id", "points", rounded("ewma").alias("ewma"))
 
 
 @query(
@@ -60,13 +69,15 @@ def forecast(spark, sf):
     with_(OBS, body="SELECT cell_id, count(*) AS records, 0::BIGINT AS previous_mismatch, 0::BIGINT AS record_mismatch FROM obs GROUP BY 1"),
 )
 def audit_chain(spark, sf):
-    return pipelines.verify_stream_chain(_state(spark, sf, "audit"), adapters.observations(spark, sf))
+    return pipelines.verify_stream_chain(_state(spark, sf), adapters.observations(spark, sf))
 
 
 @query("t6_stream_control_step")
 def control(spark, sf):
-    out = pipelines.run_to_table(pipelines.control_step(pipelines.event_stream(spark, sf), requested_intent()), "control")
-    return out.groupBy("cell_id", "executed_policy").agg(F.count(F.lit(1)).alias("n"), F.count_if("rollback").alias("rollbacks"))
+    out = pipelines.drained(spark, sf, lambda observed: pipelines.control_step(observed, requested_intent()), "control")
+    return out.groupBy("cell_id", "policy").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("rollback").alias("rollbacks"), F.count_if("executed").alias("executed"),
+        F.count_if(F.col("dwell_reject") | F.col("churn_reject")).alias("held_back"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylake.config import CalibrationConfig, ObjectiveSettings
+from policylake.constants import CONTEXT_COLUMNS
 from policylake.functions.core import cond_rate
 from policylake.operators import candidates, outcomes
 from policylake.operators.order_stats import exact_quantiles
@@ -32,20 +33,30 @@ def evaluator_rows(t: DataFrame) -> DataFrame:
 ROW_COLUMNS = [
     "row_id", "episode_id", "timestamp_s", "scenario", "training_config", "experiment", "base_station",
     "imsi_file", "slice_type", "action", "current_action", "publication_split", "sla_cost", "energy_cost",
-    "stability_cost", "utility",
+    "stability_cost", "utility", *CONTEXT_COLUMNS,
 ]
 POLICY_FIELDS = ["sla", "energy", "stability", "unc", "q"]
 EVALUATOR_FIELDS = ["e_sla", "e_energy", "e_stability"]
 
 
+_MODELS: dict[tuple, tuple] = {}
+
+
+def fitted(spark: SparkSession, sf: str, multi_ue: bool = False) -> tuple:
+    """(targets, outcome model, cells), fitted once per application and prepared table."""
+    t, _ = targets(spark, sf, multi_ue)
+    key = (spark.sparkContext.applicationId, tuple(sorted(adapters.prepared(spark, sf, multi_ue).inputFiles())))
+    if key not in _MODELS:
+        _MODELS[key] = candidates.fit_model(policy_rows(t), evaluator_rows(t))
+    return t, *_MODELS[key]
+
+
 def candidate_rows(
     spark: SparkSession, sf: str, fields: list[str] | None = None, multi_ue: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with candidate arrays, and the fitted cells."""
-    t, _ = targets(spark, sf, multi_ue)
-    cells = candidates.fit_cells(policy_rows(t), evaluator_rows(t))
-    rows = t.select(*ROW_COLUMNS)
-    return candidates.with_candidates(rows, cells, fields or POLICY_FIELDS), cells
+    t, model, cells = fitted(spark, sf, multi_ue)
+    return candidates.with_candidates(t.select(*ROW_COLUMNS), model, fields or POLICY_FIELDS), cells
 
 
 def calibration_inputs(spark: SparkSession, sf: str):

@@ -23,7 +23,7 @@ from policylake.sources import adapters, sinks
 @query("d23_baseline_comparison")
 def baselines(spark, sf):
     t, train, _, _, _ = _setup(spark, sf)
-    cells = candidates.fit_cells(studies.policy_rows(t), studies.evaluator_rows(t))
+    _, model, _ = studies.fitted(spark, sf)
     test = t.filter("publication_split = 'test_seen'")
     learners = {
         "tree": DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=6),
@@ -31,7 +31,7 @@ def baselines(spark, sf):
         "small_forest": RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=4, maxDepth=4, seed=2),
         "logistic": LogisticRegression(featuresCol="x", labelCol="y", maxIter=8),
     }
-    scored = candidates.with_candidates(test.select(*studies.ROW_COLUMNS), cells, studies.POLICY_FIELDS)
+    scored = candidates.with_candidates(test.select(*studies.ROW_COLUMNS), model, studies.POLICY_FIELDS)
     chosen = selection.gated_selection(scored, dq.CFG).select("row_id", "action", "cand", "fallback", "selected_action")
     parts = [chosen.select(F.lit("gated_selector").alias("model"), "action", "cand", F.col("selected_action").alias("pick"))]
     for name, learner in learners.items():
@@ -50,9 +50,9 @@ def baselines(spark, sf):
 def _fold(t, fold: str):
     """Policy fitted on one experiment, evaluator on the other; the fold's own test rows are scored."""
     train = t.filter("publication_split = 'train'")
-    cells = candidates.fit_cells(train.filter(F.col("experiment") == fold), train.filter(F.col("experiment") != fold))
+    model, _ = candidates.fit_model(train.filter(F.col("experiment") == fold), train.filter(F.col("experiment") != fold))
     test = t.filter((F.col("experiment") == fold) & F.col("publication_split").startswith("test"))
-    rows = candidates.with_candidates(test.select(*studies.ROW_COLUMNS), cells, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
+    rows = candidates.with_candidates(test.select(*studies.ROW_COLUMNS), model, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
     return accounting.score_selection(selection.hysteresis_selection(rows, dq.CFG, 0.02), dq.CFG).select(
         F.lit(fold).alias("fold"), "row_id", "episode_id", "publication_split", *CLUSTER_COLUMNS, "e_utility", "e_sla", "utility", "switch", "previous_action", "rollback")
 
@@ -77,8 +77,8 @@ def partition_benchmark(spark, sf):
     t, _ = studies.targets(spark, sf)
     train = t.filter("publication_split = 'train'").withColumn("cell", F.concat_ws("|", "slice_type", "action", "base_station"))
     chosen = gates.configuration_split(train, "cell", 3).first()["evaluator_configs"].split(",")
-    cells = candidates.fit_cells(train.filter(~F.col("training_config").isin(chosen)), train.filter(F.col("training_config").isin(chosen)))
-    rows = candidates.with_candidates(t.filter("publication_split LIKE 'test%'").select(*studies.ROW_COLUMNS), cells, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
+    model, _ = candidates.fit_model(train.filter(~F.col("training_config").isin(chosen)), train.filter(F.col("training_config").isin(chosen)))
+    rows = candidates.with_candidates(t.filter("publication_split LIKE 'test%'").select(*studies.ROW_COLUMNS), model, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
     return accounting.selection_summary(accounting.score_selection(selection.hysteresis_selection(rows, dq.CFG, 0.02), dq.CFG), ["publication_split"], dq.CFG)
 
 

@@ -27,28 +27,33 @@ _SCALE = "scl AS (SELECT " + ", ".join(
 
 
 def _role(name: str, exp: str) -> str:
-    return f"""{name}_r0 AS (SELECT *, row_number() OVER (PARTITION BY slice_type, action ORDER BY episode_id, timestamp_s) - 1 AS p, count(*) OVER (PARTITION BY slice_type, action) AS n
-  FROM z WHERE publication_split = 'train' AND experiment = '{exp}'),
-{name}_r AS (SELECT * FROM {name}_r0 WHERE n >= 24 AND (n <= 2048 OR p IN (SELECT (i * (n - 1)) // 2047 FROM range(2048) t(i)))),
+    return f"""{name}_r AS (SELECT * FROM z WHERE publication_split = 'train' AND experiment = '{exp}' QUALIFY count(*) OVER (PARTITION BY slice_type, action) >= 24),
 {name}_rad AS (SELECT slice_type, action, greatest(quantile_cont(d, 0.95), 1e-4::DOUBLE) AS radius FROM (SELECT q.row_id, q.slice_type, q.action, sqrt(min({_D2})) AS d FROM {name}_r q JOIN {name}_r r
   ON q.slice_type = r.slice_type AND q.action = r.action AND q.row_id <> r.row_id GROUP BY ALL) GROUP BY 1, 2),
 {name}_d AS (SELECT q.row_id, sqrt(min({_D2})) AS {name}_distance, any_value(rd.radius) AS radius FROM z q JOIN {name}_r r ON q.slice_type = r.slice_type AND q.action = r.action
   JOIN {name}_rad rd ON rd.slice_type = q.slice_type AND rd.action = q.action WHERE q.publication_split <> 'train' GROUP BY 1)"""
 
 
-_SUPPORT = f"""{_SCALE}, z AS (SELECT t.row_id, t.episode_id, t.timestamp_s, t.slice_type, t.action, t.experiment, t.publication_split, {_Z} FROM trans t, scl),
+SCALED_SQL = f"{_SCALE}, z AS (SELECT t.row_id, t.episode_id, t.timestamp_s, t.slice_type, t.action, t.experiment, t.publication_split, {_Z} FROM trans t, scl)"
+_SUPPORT = f"""{SCALED_SQL},
 {_role('policy', 'exp1')}, {_role('evaluator', 'exp2')},
 sup AS (SELECT z.row_id, z.publication_split, z.slice_type, z.action, policy_distance, evaluator_distance, coalesce(policy_distance <= p.radius, false) AS policy_ok, coalesce(evaluator_distance <= e.radius, false) AS evaluator_ok
   FROM z LEFT JOIN policy_d p USING (row_id) LEFT JOIN evaluator_d e USING (row_id) WHERE z.publication_split <> 'train')"""
 
 
+_SUPPORTED: dict[tuple, object] = {}
+
+
 def supported(spark, sf):
+    """Distances and flags of every held-out row, searched once per application and prepared table."""
     t = adapters.prepared(spark, sf)
-    scaler = support.fit_scaler(t.filter("publication_split = 'train'"))
-    rows = t.filter("publication_split <> 'train'")
-    p = support.role_support(rows, studies.policy_rows(t), scaler, "policy")
-    e = support.role_support(rows, studies.evaluator_rows(t), scaler, "evaluator")
-    return rows.select("row_id", "publication_split", "slice_type", "action").join(p, "row_id").join(e, "row_id")
+    key = (spark.sparkContext.applicationId, tuple(sorted(t.inputFiles())))
+    if key not in _SUPPORTED:
+        scaler = support.fit_scaler(t.filter("publication_split = 'train'"))
+        rows = t.filter("publication_split <> 'train'")
+        found = support.role_support(rows, {"policy": studies.policy_rows(t), "evaluator": studies.evaluator_rows(t)}, scaler)
+        _SUPPORTED[key] = sinks.staged(rows.select("row_id", "publication_split", "slice_type", "action").join(found, "row_id"), "supported")
+    return _SUPPORTED[key]
 
 
 @query("j11_nearest_neighbour_distance", with_(transitions_cte(), _SUPPORT, body=f"SELECT row_id, {r9('policy_distance', 'policy_distance')}, {r9('evaluator_distance', 'evaluator_distance')} FROM sup"))

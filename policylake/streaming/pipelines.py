@@ -1,30 +1,26 @@
 """Structured Streaming forms of the telemetry and per-cell operators.
 
 Every stream reads files with a fixed schema, runs with `availableNow`, writes Parquet below the
-session's shared checkpoint folder and can be compared with its batch twin. Per-cell state is
-keyed by cell and bounded (the policy events of one churn window, 120 history points, one
-baseline, one hash), and event-time order holds inside a micro-batch; later rows are dropped by the watermark.
+session's shared checkpoint folder and can be compared with its batch twin. The state of a cell
+(`cell_state`) moves in event order whatever the micro-batches; rows behind the watermark are late.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from policylake.operators import aggregates, governed, quality
 from policylake.session import shared_folder
 from policylake.sources import adapters
+from policylake.streaming import cell_state
+from policylake.streaming.cell_state import NO_HASH
 
 WATERMARK = "1 day"
-KEEP_HISTORY = 120
-NO_HASH = "0" * 64
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -87,69 +83,48 @@ def validate_to_two_sinks(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{base}/good"), spark.read.parquet(f"{base}/quarantine")
 
 
-CELL_OUTPUT = (
-    "event_id long, cell_id string, policy string, dwell_reject boolean, churn_reject boolean, rollback boolean, "
-    "points int, ewma double, previous_hash string, record_hash string"
-)
-CELL_STATE = "events string, baseline string, history string, last_hash string"
+IDLE_SECONDS = 400 * 86400.0
 
 
-def canonical(cell: str, event_id: int, policy: str, previous: str) -> str:
-    """JSON with sorted keys and no spaces."""
-    return json.dumps(
-        {"cell_id": cell, "event_id": event_id, "policy": policy, "previous_hash": previous},
-        sort_keys=True, separators=(",", ":"),
+def cell_stream(stream: DataFrame, dwell: float = 5.0, window: float = 60.0, max_switches: int = 6, control: Column | None = None) -> DataFrame:
+    """Per-cell ordered state over snapshots with `policy` (or `control`, the judged candidates as JSON).
+
+    Needs the RocksDB state store, which holds list state and timers.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.withColumn("control", F.lit(None).cast("string") if control is None else control)
+    if "policy" not in stream.columns:
+        rows = rows.withColumn("policy", F.lit(None).cast("string"))
+    typed = [F.col(c).cast(t).alias(c) for c, t in cell_state.INPUT.items()]
+    return rows.where("event_id >= 0").select("timestamp", "cell_id", *typed).groupBy("cell_id").transformWithStateInPandas(
+        cell_state.CellProcessor(cell_state.Guard(dwell, window, max_switches), IDLE_SECONDS), cell_state.OUTPUT, "append", "EventTime"
     )
 
 
-def cell_update(dwell: float, window: float, max_switches: int, alpha: float = 0.45):
-    """State update of one cell: guard, rollback baseline, rolling history and hash chain."""
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cell = key[0]
-        if state.exists:
-            events, base, history = (json.loads(x) for x in state.get[:3])
-            last = state.get[3]
-        else:
-            events, base, history, last = [], None, [], NO_HASH
-        rows = pd.concat(list(batches)).sort_values(["epoch_s", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            young = churn = rollback = False
-            if events and events[-1][1] != r.policy:
-                young = r.epoch_s - events[-1][0] < dwell
-                near = [e for e in events if r.epoch_s - e[0] <= window]
-                churn = sum(a[1] != b[1] for a, b in zip(near, near[1:])) >= max_switches
-            if base is not None:
-                rollback = (
-                    (base[0] > 0 and (base[0] - r.downlink_mbps) / base[0] * 100 > 15.0)
-                    or r.packet_loss_pct - base[1] > 5.0
-                    or (base[2] > 0 and (r.latency_ms - base[2]) / base[2] * 100 > 20.0)
-                )
-            events = [e for e in events if r.epoch_s - e[0] <= window] + [[r.epoch_s, r.policy]]
-            if r.policy != "balanced":
-                base = [r.downlink_mbps, r.packet_loss_pct, r.latency_ms]
-            history = (history + [r.throughput_demand_mbps])[-KEEP_HISTORY:]
-            tail = history[-24:]
-            level = tail[0]
-            for v in tail[1:]:
-                level = alpha * v + (1 - alpha) * level
-            digest = hashlib.sha256(canonical(cell, int(r.event_id), r.policy, last).encode()).hexdigest()
-            out.append((r.event_id, cell, r.policy, young, churn, rollback, len(history),
-                        level if len(history) >= 3 else None, last, digest))
-            last = digest
-        state.update((json.dumps(events), json.dumps(base), json.dumps(history), last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CELL_OUTPUT.split(", ")])
-
-    return update
-
-
-def cell_stream(stream: DataFrame, dwell: float = 5.0, window: float = 60.0, max_switches: int = 6) -> DataFrame:
-    """Per-cell stateful operator over labelled snapshots (needs `policy`)."""
-    cols = ["event_id", "cell_id", "epoch_s", "policy", "downlink_mbps", "packet_loss_pct", "latency_ms", "throughput_demand_mbps"]
-    return (
-        stream.select(*cols).groupBy("cell_id")
-        .applyInPandasWithState(cell_update(dwell, window, max_switches), CELL_OUTPUT, CELL_STATE, "append", GroupStateTimeout.NoTimeout)
-    )
+def drained(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], name: str, files_per_trigger: int = 64, delay: str = WATERMARK) -> DataFrame:
+    """Drain the event files through `build` in as many micro-batches as they need, then close the stream.
+
+    Closing writes one mark behind the last event, by which the watermark passes every waiting row; a second
+    run of the same query reads it. A stream that goes on leaves the mark out.
+    """
+    base = f"{shared_folder(spark)}/policylake/stream-{name}-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{folder}/events*.parquet")
+    events.limit(0).write.parquet(f"{base}/marks")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/events*.parquet")
+    marks = spark.readStream.schema(events.schema).parquet(f"{base}/marks")
+    observed = adapters.observations_of(raw).unionByName(adapters.observations_of(marks)).withWatermark("timestamp", delay)
+    stream = build(observed)
+
+    def run() -> None:
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    end = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    mark = end.select(*[(F.col("ts") + F.expr(f"interval {delay}") + F.expr("interval 1 hour")).cast(f.dataType).alias("ts") if f.name == "ts"
+                        else F.lit(-1).cast(f.dataType).alias(f.name) if f.name in ("event_id", "user_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    mark.write.mode("append").parquet(f"{base}/marks")
+    run()
+    return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
 def verify_stream_chain(log: DataFrame, order: DataFrame) -> DataFrame:
@@ -188,10 +163,13 @@ def drift_per_batch(stream: DataFrame, reference: DataFrame, features: list[str]
 
 
 def control_step(stream: DataFrame, intent) -> DataFrame:
-    """Decision per snapshot, then the per-cell state; a rollback forces `balanced`.
+    """Candidates per snapshot without state, then the cell's ordered state: temporal reasons, choice,
+    rollback, gate. Only executed actions are recorded, arm the rollback baseline and name the audit record.
 
-    Runs in recommend / shadow mode: records are produced, nothing is actuated.
+    Runs in simulated mode: records are produced, nothing is actuated.
     """
     d = governed.decide(governed.resolve_intent(stream, intent), governed.proposals(F.col("event_id")))
-    state = cell_stream(d.withColumn("policy", F.col("selected_policy")))
-    return state.withColumn("executed_policy", F.when(F.col("rollback"), "balanced").otherwise(F.col("policy")))
+    listed = F.transform("cand", lambda c: F.struct(*[c[f].alias(f) for f in ("idx", "policy", "prob", "score", "safe")]))
+    limit = F.greatest(F.lit(0.50), 0.78 - F.col("risk_tolerance") * 0.3)
+    is_open = ~F.col("level").isin("high", "critical") & (F.col("ood") <= limit)
+    return cell_stream(d, control=F.to_json(F.struct(listed.alias("cand"), is_open.alias("open"), F.col("uncertainty"))))
