@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +65,18 @@ def fit_independent(train: DataFrame, actions: list[str]) -> object:
 
 
 def capped_by_hash(df: DataFrame, groups: list[str], cap: int) -> DataFrame:
-    """At most `cap` rows per group, the sampling rule of the behaviour prior. The rank filter
-    works per task before the shuffle, so a hot group stays small."""
+    """At most `cap` rows per group: those of the lowest hash draws.
+
+    A threshold from the group's size lets some four times `cap` rows through before anything is
+    shuffled or ranked, so a hot group's rank sees a bounded number of rows.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*groups).orderBy(uniform("cap", F.col("row_id")), "row_id")
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= cap).drop("__r")
+    draw = uniform("cap", F.col("row_id"))
+    sizes = df.groupBy(*groups).agg(F.least(F.lit(1.0), 4.0 * cap / F.count(F.lit(1))).alias("__share"))
+    few = df.join(sizes, groups).withColumn("__u", draw).where(F.col("__u") <= F.col("__share"))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("__u", "row_id"))
+    return few.withColumn("__r", rank).filter(F.col("__r") <= cap).drop("__r", "__u", "__share")
 
 
 def fit_behaviour(train: DataFrame, cap: int = 2500) -> Pipeline:
@@ -128,15 +134,3 @@ def perturbed(df: DataFrame, share: float = 0.05) -> DataFrame:
         return F.sqrt(-2.0 * F.ln(a)) * F.cos(2 * 3.141592653589793 * b)
 
     return df.withColumns({c: F.col(c) + share * float(spread[c]) * gauss(c) for c in KPI_COLUMNS})
-
-
-# ---- one-step transition model -------------------------------------------------------------
-
-def transition_model(train: DataFrame, target: str) -> Pipeline:
-    """Polynomial ridge regression of the next value from context and PRBs."""
-    names = [*CONTEXT_COLUMNS, "slice_prb"]
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="s", withMean=True),
-        PolynomialExpansion(degree=2, inputCol="s", outputCol="x"),
-        LinearRegression(featuresCol="x", labelCol=target, predictionCol="p", regParam=0.1),
-    ]).fit(train)

@@ -14,7 +14,7 @@ from policylake.learn.supervised import assemble, forest
 from policylake.sources.sinks import staged
 
 
-def fitted_q(train: DataFrame, support: DataFrame, actions: list[str], gamma: float = 0.97, iterations: int = 2):
+def fitted_q(train: DataFrame, support: DataFrame, actions: list[str], gamma: float = 0.97, iterations: int = 4):
     """Fitted-Q iteration; unsupported actions never enter the maximum, terminal rows do not bootstrap.
 
     Every round's targets are written to the shared folder, so the plan does not grow.

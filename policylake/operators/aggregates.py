@@ -57,14 +57,15 @@ def fold_merge(df: DataFrame, metrics: list[str], weights: dict[str, str], defau
     )
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """Mean over features of min(1, |shift of the mean| / (4 sigma of the reference))."""
+def feature_drift(reference: DataFrame, current: DataFrame, features: list[str], groups: list[str] | None = None) -> DataFrame:
+    """Per feature (and group of current rows) min(1, |shift of the mean| / (4 sigma of the reference))."""
+    groups = groups or []
     ref = long_metrics(reference, [], features).groupBy("metric").agg(
         F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma")
     )
-    cur = long_metrics(current, [], features).groupBy("metric").agg(F.avg("value").alias("now"))
+    cur = long_metrics(current, groups, features).groupBy(*groups, "metric").agg(F.avg("value").alias("now"))
     shift = F.abs(F.col("now") - F.col("mu")) / (4 * F.greatest(F.col("sigma"), F.lit(1e-6)))
-    return ref.join(cur, "metric").select("metric", F.least(F.lit(1.0), shift).alias("drift"))
+    return ref.join(cur, "metric").select(*groups, "metric", F.least(F.lit(1.0), shift).alias("drift"))
 
 
 def episode_calibration(

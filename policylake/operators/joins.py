@@ -68,6 +68,18 @@ def validated_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], va
     )
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two aggregates that fails if either side repeats a key."""
+    def single(side: DataFrame, name: str) -> DataFrame:
+        counted = side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), *[F.first(c).alias(c) for c in side.columns if c not in keys])
+        return counted
+
+    joined = single(left, "__l").join(single(right, "__r"), keys)
+    repeated = (F.col("__l") > 1) | (F.col("__r") > 1)
+    checked = F.when(repeated, F.raise_error(F.lit("a key occurs more than once")).cast("boolean")).otherwise(F.lit(True))
+    return joined.withColumn("__ok", checked).where("__ok").drop("__ok", "__l", "__r")
+
+
 def route_folds(rows: DataFrame, experiments: list[str]) -> DataFrame:
     """Role of every row in every fold; a test row is used only by its own experiment's fold."""
     folds = F.array(*[F.lit(e) for e in experiments])

@@ -105,9 +105,9 @@ def overlap_audit(df: DataFrame, unit: str, split: str, splits: list[str]) -> Da
     )
 
 
-def unsupported_actions(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Held-out actions never seen in training."""
-    return test.select("action").distinct().join(train.select("action").distinct(), "action", "left_anti")
+def unsupported_actions(train: DataFrame, test: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Held-out actions never seen in training, by group of held-out rows."""
+    return test.select(*(groups or []), "action").distinct().join(train.select("action").distinct(), "action", "left_anti")
 
 
 def transition_audit(df: DataFrame) -> DataFrame:

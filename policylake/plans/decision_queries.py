@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from policylake.config import ObjectiveSettings
 from policylake.constants import CLUSTER_COLUMNS
 from policylake.functions.core import cond_rate, first_of, rounded, uniform
 from policylake.functions.dims import freeze
-from policylake.operators import accounting, aggregates, calibration, candidates, joins, selection, windows
+from policylake.operators import accounting, aggregates, calibration, candidates, joins, outcomes, selection, windows
 from policylake.plans import studies
 from policylake.plans.registry import query
 from policylake.plans.sqltext import (
+    action_sql,
     candidates_cte,
     cells_cte,
     clip_sql,
     r9,
     ranked_cte,
     score_sql,
+    seconds_cte,
     targets_cte,
     transitions_cte,
     u,
@@ -125,13 +129,14 @@ _KEYS6 = ["scenario", "training_config", "experiment", "base_station", "slice_ty
     "j5_validated_many_to_one",
     with_(
         transitions_cte(True),
-        "props AS (SELECT scenario, training_config, experiment, base_station, slice_type, timestamp_s, min(action) AS proposed FROM trans GROUP BY ALL)",
-        body="SELECT row_id, imsi_file, proposed, proposed = action AS same FROM trans JOIN props USING (scenario, training_config, experiment, base_station, slice_type, timestamp_s)",
+        f"single AS (WITH {seconds_cte(False)} SELECT scenario, training_config, experiment, base_station, slice_type, timestamp_s, {action_sql('scheduler_code', 'slice_prb')} AS proposed FROM seconds)",
+        body="SELECT row_id, imsi_file, proposed, coalesce(proposed = action, false) AS same FROM trans LEFT JOIN single USING (scenario, training_config, experiment, base_station, slice_type, timestamp_s)",
     ),
 )
 def many_to_one(spark, sf):
+    """Rows of single users with the action recorded for their slice's second in the table of seconds."""
     t = adapters.prepared(spark, sf, multi_ue=True)
-    external = t.groupBy(*_KEYS6).agg(F.min("action").alias("proposed"))
+    external = adapters.seconds(spark, sf).select(*_KEYS6, outcomes.current_action().alias("proposed"))
     out = joins.validated_many_to_one(t.select("row_id", "imsi_file", "action", *_KEYS6), external, _KEYS6, "proposed")
     return out.select("row_id", "imsi_file", "proposed", (F.col("proposed") == F.col("action")).alias("same"))
 
@@ -444,6 +449,35 @@ _D4_METRICS = f"""{r9('avg(e_utility)', 'utility')}, {r9('avg((e_sla > 0.45)::IN
   count(prev_action) AS replay_transitions, {r9('avg((selected_action <> current_action)::INT)', 'disagreement_rate')}, {r9('avg(rollback::INT)', 'rollback_rate')}"""
 
 
+_HYSTERESIS_VARIANTS = {
+    "full": (_SAFE, "0.65", "0.02::DOUBLE", score_sql(), {}),
+    "without_safety": ("true", "0.65", "0.02::DOUBLE", score_sql(), {"safety": False}),
+    "without_ood": (_SAFE, "1e9::DOUBLE", "0.02::DOUBLE", score_sql(), {"ood": False}),
+    "without_uncertainty": (_SAFE, "0.65", "0.02::DOUBLE", score_sql(unc_w=0.0), {"uncertainty": False}),
+    "without_hysteresis": (_SAFE, "0.65", "-1e9::DOUBLE", score_sql(), {"hysteresis": False}),
+}
+
+
+@query(
+    "d20_hysteresis_ablations",
+    with_(
+        candidates_cte(), *[hysteresis_ctes(f"hv{i}", safe, ood, margin, s) for i, (safe, ood, margin, s, _) in enumerate(_HYSTERESIS_VARIANTS.values())],
+        body=" UNION ALL ".join(
+            f"""SELECT '{v}' AS variant, publication_split, {_D4_METRICS} FROM (SELECT h.*, c.e_sla, c.e_energy, c.e_stability, {utility_sql('c.e_')} AS e_utility,
+            lag(h.selected_action) OVER (PARTITION BY h.episode_id ORDER BY h.timestamp_s) AS prev_action FROM hv{i} h JOIN cand c ON c.row_id = h.row_id AND c.a = h.selected_action) GROUP BY 2"""
+            for i, v in enumerate(_HYSTERESIS_VARIANTS)),
+    ),
+)
+def hysteresis_ablations(spark, sf):
+    """The selector without one of its parts, judged by the independent evaluator on every split."""
+    rows, _ = studies.candidate_rows(spark, sf, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
+    parts = []
+    for name, (*_, flags) in _HYSTERESIS_VARIANTS.items():
+        scored = accounting.score_selection(selection.hysteresis_selection(rows, CFG, 0.02, **flags), CFG)
+        parts.append(accounting.selection_summary(scored, ["publication_split"], CFG).drop("n").withColumn("variant", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def scored_selection(spark, sf, margin: float = 0.02):
     rows, _ = studies.candidate_rows(spark, sf, studies.POLICY_FIELDS + studies.EVALUATOR_FIELDS)
     picked = selection.hysteresis_selection(rows, CFG, margin)

@@ -14,7 +14,7 @@ from policylake.plans import decision_queries as dq
 from policylake.plans import studies
 from policylake.plans.registry import query
 from policylake.plans.sqltext import OOD_SCORE_SQL, candidates_cte, r9, ranked_cte, score_sql, state_cte, targets_cte, transitions_cte, u, utility_sql, with_
-from policylake.sources import adapters
+from policylake.sources import adapters, sinks
 
 B, P = 1000, 2000
 
@@ -178,25 +178,34 @@ def controllers(spark, sf):
     )
 
 
+_WITHOUT_SWITCH_COST = (
+    ranked_cte("b2", "cand", "sup AND sla <= 0.45 AND unc <= 0.5", score_sql()),
+    f"""ref2 AS (SELECT r.scenario, r.training_config, r.experiment, count(*) AS rows, count(b2.idx) AS accepted, sum(CASE WHEN b2.idx IS NULL THEN -0.12::DOUBLE ELSE {utility_sql('b2.e_')} END) AS penalized_sum
+        FROM rws r LEFT JOIN b2 USING (row_id) GROUP BY 1, 2, 3)""",
+)
+
+
+def _two_policies(spark, sf):
+    """Cluster tables of the re-ranked policy with and without a cost of switching."""
+    from policylake.operators import accounting
+
+    rows, _ = dq._modes_rows(spark, sf, studies.EVALUATOR_FIELDS)
+    return [freeze(aggregates.cluster_accounting(accounting.decision_values(selection.rerank(rows, switch_cost=c), dq.CFG))) for c in (0.01, 0.0)]
+
+
 @query(
     "r7_policy_vs_policy",
     with_(
         candidates_cte(), dq.ACCOUNTING_SQL,
-        f"{ranked_cte('b2', 'cand', 'sup AND sla <= 0.45 AND unc <= 0.5', score_sql())}",
-        f"""ref2 AS (SELECT r.scenario, r.training_config, r.experiment, count(*) AS rows, count(b2.idx) AS accepted, sum(CASE WHEN b2.idx IS NULL THEN -0.12::DOUBLE ELSE {utility_sql('b2.e_')} END) AS penalized_sum
-        FROM rws r LEFT JOIN b2 USING (row_id) GROUP BY 1, 2, 3)""",
+        *_WITHOUT_SWITCH_COST[:1],
+        *_WITHOUT_SWITCH_COST[1:],
         "dd AS (SELECT concat_ws('/', c.scenario, c.training_config, c.experiment) AS unit, (c.penalized_sum - f.penalized_sum) / c.rows AS delta, c.accepted = f.accepted AS same FROM clusters c FULL JOIN ref2 f ON c.scenario = f.scenario AND c.training_config = f.training_config AND c.experiment = f.experiment)",
         infer_ctes("dd", "r7", False),
         body=f"SELECT {_INF}, (SELECT bool_and(same) FROM dd) AS penalty_cancels FROM inf",
     ),
 )
 def policy_vs_policy(spark, sf):
-    rows, _ = dq._modes_rows(spark, sf, studies.EVALUATOR_FIELDS)
-    from policylake.operators import accounting
-
-    tables = [
-        aggregates.cluster_accounting(accounting.decision_values(selection.rerank(rows, switch_cost=c), dq.CFG)) for c in (0.01, 0.0)
-    ]
+    tables = _two_policies(spark, sf)
     joined = freeze(inference.aligned_clusters(tables[0], tables[1], CLUSTER_COLUMNS))
     d = joined.select(F.concat_ws("/", *CLUSTER_COLUMNS).alias("unit"), ((F.col("a_sum") - F.col("b_sum")) / F.col("a_rows")).alias("delta"))
     same = joined.agg(F.min(F.col("a_accepted") == F.col("b_accepted")).alias("s"))
@@ -206,13 +215,13 @@ def policy_vs_policy(spark, sf):
 @query(
     "j7_full_outer_clusters",
     with_(
-        candidates_cte(), dq.ACCOUNTING_SQL,
-        body=f"SELECT scenario, training_config, experiment, rows AS a_rows, rows AS b_rows, {r9('penalized_sum', 'a_sum')}, {r9('penalized_sum', 'b_sum')} FROM clusters",
+        candidates_cte(), dq.ACCOUNTING_SQL, *_WITHOUT_SWITCH_COST,
+        body=f"SELECT scenario, training_config, experiment, c.rows AS a_rows, f.rows AS b_rows, {r9('c.penalized_sum', 'a_sum')}, {r9('f.penalized_sum', 'b_sum')} FROM clusters c FULL JOIN ref2 f USING (scenario, training_config, experiment)",
     ),
 )
 def full_outer(spark, sf):
-    c = freeze(aggregates.cluster_accounting(dq.accounting_rows(spark, sf)))
-    j = inference.aligned_clusters(c, c, CLUSTER_COLUMNS)
+    """Clusters of the policy that pays for switches beside those of the one that does not."""
+    j = inference.aligned_clusters(*_two_policies(spark, sf), CLUSTER_COLUMNS)
     return j.select(*CLUSTER_COLUMNS, "a_rows", "b_rows", rounded("a_sum").alias("a_sum"), rounded("b_sum").alias("b_sum"))
 
 
@@ -268,19 +277,20 @@ def threshold_sweep(spark, sf):
     with_(
         targets_cte(),
         "ep AS (SELECT slice_type, experiment, episode_id, max(round(sla_cost, 6)) AS s FROM targets WHERE publication_split = 'validation' GROUP BY ALL)",
-        "qr AS (SELECT row_id, slice_type, round(sla_cost, 6) AS s FROM targets WHERE publication_split = 'test_seen')",
-        "pr AS (SELECT q.row_id, e.experiment, (count_if(e.s >= q.s) + 1) / (count(*) + 1) AS p FROM qr q JOIN ep e USING (slice_type) GROUP BY ALL)",
-        body=f"SELECT row_id, {r9('min(p)', 'p')} FROM pr GROUP BY 1",
+        "qr AS (SELECT row_id, publication_split, slice_type, round(sla_cost, 6) AS s FROM targets WHERE publication_split IN ('test_seen', 'test_unseen'))",
+        "ec AS (SELECT slice_type, experiment, list(s) AS cal FROM ep GROUP BY ALL)",
+        "pr AS (SELECT row_id, publication_split, experiment, (len(list_filter(cal, lambda x: x >= s)) + 1) / (len(cal) + 1) AS p FROM qr JOIN ec USING (slice_type))",
+        body=f"SELECT row_id, publication_split, {r9('min(p)', 'p')} FROM pr GROUP BY 1, 2",
     ),
 )
 def conformal(spark, sf):
     t, _ = studies.targets(spark, sf)
     t = t.withColumn("s", F.round("sla_cost", 6))
     cal = t.filter("publication_split = 'validation'").groupBy("slice_type", F.col("experiment").alias("role"), "episode_id").agg(F.max("s").alias("s"))
-    q = t.filter("publication_split = 'test_seen'").select("row_id", "slice_type", "s")
+    q = t.filter("publication_split IN ('test_seen', 'test_unseen')").select("row_id", "publication_split", "slice_type", "s")
     q = q.withColumn("role", F.explode(F.array(F.lit("exp1"), F.lit("exp2"))))
     p = inference.conformal_p(cal, q, ["slice_type", "role"], "s")
-    return p.groupBy("row_id").agg(rounded(F.min("p")).alias("p"))
+    return p.groupBy("row_id", "publication_split").agg(rounded(F.min("p")).alias("p"))
 
 
 # ---- fold merges, trade-offs, gates --------------------------------------------------------
@@ -431,3 +441,33 @@ def margin_choice(spark, sf):
     long = ep.withColumn("margin", F.explode(margins))
     wins = F.col("b") - F.col("l") > F.col("margin")
     return long.groupBy("margin").agg(rounded(F.avg(F.when(wins, F.col("b")).otherwise(F.col("l")))).alias("value"), rounded(cond_rate(wins)).alias("switch_rate"))
+
+
+_MARGINS = (0.0, 0.01, 0.02, 0.05)
+_CHOSEN = """mv AS (SELECT margin, avg(CASE WHEN b - l > margin THEN b ELSE l END) AS value FROM (SELECT episode_id, avg(score) AS b, avg(logged) AS l FROM kk WHERE publication_split = 'validation' GROUP BY 1), (SELECT unnest([0.0, 0.01, 0.02, 0.05])::DOUBLE AS margin) GROUP BY 1),
+chosen AS (SELECT margin FROM mv ORDER BY round(value, 9) DESC, margin LIMIT 1)"""
+
+
+@query(
+    "d29_held_out_comparison",
+    with_(
+        candidates_cte(), *_CTRL, _CTRL_ROWS, _CHOSEN,
+        "he AS (SELECT publication_split, episode_id, avg(score) AS b, avg(logged) AS l FROM kk WHERE publication_split IN ('test_seen', 'test_unseen') GROUP BY 1, 2)",
+        "dl AS (SELECT publication_split, margin, CASE WHEN b - l > margin THEN b - l ELSE 0 END AS delta FROM he, chosen)",
+        body=f"""SELECT publication_split, margin, count(*) AS episodes, {r9('avg(delta)', 'mean_delta')}, {r9('stddev_samp(delta)', 'std_delta')}, count_if(delta > 0)::BIGINT AS better, count_if(delta < 0)::BIGINT AS worse,
+        {r9('avg(delta) - 1.96::DOUBLE * stddev_samp(delta) / sqrt(count(*))', 'low')}, {r9('avg(delta) + 1.96::DOUBLE * stddev_samp(delta) / sqrt(count(*))', 'high')} FROM dl GROUP BY 1, 2""",
+    ),
+)
+def held_out_comparison(spark, sf):
+    """The margin of the highest validation value (the least on ties), then paired episodes of every test split."""
+    per = _controller_episodes(spark, sf).groupBy("publication_split", "episode_id").agg(F.avg("score").alias("b"), F.avg("logged").alias("l"))
+    per = sinks.staged(per, "controller-episodes")
+    gain = F.col("b") - F.col("l")
+    value = per.filter("publication_split = 'validation'").agg(*[F.round(F.avg(F.when(gain > m, F.col("b")).otherwise(F.col("l"))), 9).alias(f"m{k}") for k, m in enumerate(_MARGINS)]).first()
+    margin = max((v, -m) for v, m in zip(value, _MARGINS, strict=True))[1] * -1.0
+    d = per.filter("publication_split IN ('test_seen', 'test_unseen')").withColumn("delta", F.when(gain > margin, gain).otherwise(0.0))
+    half = 1.96 * F.stddev_samp("delta") / F.sqrt(F.count(F.lit(1)))
+    return d.groupBy("publication_split", F.lit(margin).alias("margin")).agg(
+        F.count(F.lit(1)).alias("episodes"), rounded(F.avg("delta")).alias("mean_delta"), rounded(F.stddev_samp("delta")).alias("std_delta"),
+        F.count_if(F.col("delta") > 0).alias("better"), F.count_if(F.col("delta") < 0).alias("worse"),
+        rounded(F.avg("delta") - half).alias("low"), rounded(F.avg("delta") + half).alias("high"))

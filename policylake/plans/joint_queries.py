@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from policylake.constants import SLICE_NAMES
 from policylake.functions.core import cond_rate, rounded, uniform
-from policylake.operators import candidates, joint, selection
+from policylake.operators import candidates, joins, joint, selection
 from policylake.plans import decision_queries as dq
 from policylake.plans import studies
 from policylake.plans.registry import query
@@ -36,7 +36,11 @@ def representatives(spark, sf):
 
 @query("j6_one_to_one_aggregates", with_(transitions_cte(), _REP, body=f"SELECT {_G}, slice_type, action_variants, source_ue_rows, {r9('dl_buffer_bytes', 'dl_buffer_bytes')} FROM rep"))
 def one_to_one(spark, sf):
-    return _rep(spark, sf).select(*joint.GROUP, "slice_type", "action_variants", "source_ue_rows", rounded("dl_buffer_bytes").alias("dl_buffer_bytes"))
+    """Means of the transitions joined with counts of the same keys from their own aggregate."""
+    t, keys = adapters.prepared(spark, sf), [*joint.GROUP, "slice_type"]
+    means = t.groupBy(*keys).agg(F.avg("dl_buffer_bytes").alias("dl_buffer_bytes"))
+    info = t.groupBy(*keys).agg(F.countDistinct("action").alias("action_variants"), F.count(F.lit(1)).alias("source_ue_rows"))
+    return joins.one_to_one(means, info, keys).select(*keys, "action_variants", "source_ue_rows", rounded("dl_buffer_bytes").alias("dl_buffer_bytes"))
 
 
 @query("j8_complete_group_semi_join", with_(transitions_cte(), _REP, body=f"SELECT {_REPCOLS} FROM rep SEMI JOIN full_g USING ({_G})"))

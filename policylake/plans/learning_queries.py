@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from policylake.constants import CONTEXT_COLUMNS, STATE_COLUMNS
 from policylake.functions.core import cond_rate, first_of, rounded, uniform
 from policylake.functions.dims import freeze
-from policylake.learn import isolation, supervised, value
+from policylake.learn import isolation, supervised, transition, value
 from policylake.operators import aggregates, candidates, density, governed, inference, neighbours, outcome_model, support
 from policylake.plans import decision_queries as dq
 from policylake.plans import studies
@@ -189,8 +189,8 @@ def critics(spark, sf):
 @query("m11_isolation_ood")
 def isolation_ood(spark, sf):
     t, train, _, _, _ = _setup(spark, sf)
-    f = isolation.fit_forest(train, CONTEXT_COLUMNS)
-    s = isolation.ood_probability(isolation.score(train, f, CONTEXT_COLUMNS), isolation.score(t, f, CONTEXT_COLUMNS))
+    f = isolation.fit_forest(train, STATE_COLUMNS, trees=96)
+    s = isolation.ood_probability(isolation.score(train, f, STATE_COLUMNS), isolation.score(t, f, STATE_COLUMNS))
     return s.groupBy("publication_split").agg(F.count(F.lit(1)).alias("n"), F.avg("ood").alias("mean_ood"), F.max("ood").alias("max_ood"))
 
 
@@ -230,8 +230,9 @@ def cluster_crossfit(spark, sf):
 @query("m13_behaviour_prior")
 def behaviour(spark, sf):
     t, train, _, _, actions = _setup(spark, sf)
-    long = supervised.behaviour_long(supervised.fit_behaviour(train), t.filter("publication_split = 'validation'"), actions)
-    return long.groupBy("slice_type", "action").agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"))
+    held = t.filter("publication_split <> 'train'")
+    long = supervised.behaviour_long(supervised.fit_behaviour(train), held, actions).join(held.select("row_id", "publication_split"), "row_id")
+    return long.groupBy("publication_split", "slice_type", "action").agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_prob"))
 
 
 CALIBRATION_SHARE, MIN_REFERENCE = 0.25, 8
@@ -355,18 +356,61 @@ def shortcut(spark, sf):
     for name, cols in subsets.items():
         model = Pipeline(stages=[StringIndexer(inputCol="action", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
                                  VectorAssembler(inputCols=cols, outputCol="x"), DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=5)]).fit(train)
-        p = supervised.named_prediction(model, t.filter("publication_split = 'test_seen'"))
-        parts.append(p.agg(F.lit(name).alias("features"), F.count(F.lit(1)).alias("n"), cond_rate(F.col("predicted") == F.col("action")).alias("agreement"),
-                           F.avg(F.when(F.col("current_action") != F.col("action"), F.when(F.col("predicted") == F.col("action"), 1.0).otherwise(0.0))).alias("agreement_on_changes")))
+        p = supervised.named_prediction(model, t.filter("publication_split <> 'train'"))
+        rates = p.groupBy("publication_split").agg(
+            F.count(F.lit(1)).alias("n"), cond_rate(F.col("predicted") == F.col("action")).alias("agreement"),
+            F.avg(F.when(F.col("current_action") != F.col("action"), F.when(F.col("predicted") == F.col("action"), 1.0).otherwise(0.0))).alias("agreement_on_changes"))
+        report = aggregates.class_report(aggregates.confusion(p, "action", "predicted", ["publication_split"]), ["publication_split"])
+        f1 = aggregates.classification_summary(report, ["publication_split"]).select("publication_split", "macro_f1")
+        parts.append(rates.join(f1, "publication_split").withColumn("features", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("m18_transition_regression")
+_T_FEATURES = [*CONTEXT_COLUMNS, "slice_prb"]
+_T_TARGETS = ["next_dl_bitrate_mbps", "next_dl_buffer_bytes", "next_grant_ratio"]
+
+
+def _transition_sql() -> str:
+    """The normal equations in SQL, solved by elimination over lists."""
+    d, k = len(_T_FEATURES), len(_T_TARGETS)
+    prods = transition.pairs(d)
+    width = 1 + d + len(prods)
+    z = ", ".join(f"({c} - m{i}) / s{i}" for i, c in enumerate(_T_FEATURES))
+    basis = "[1.0::DOUBLE, " + ", ".join(f"z[{i + 1}]" for i in range(d)) + ", " + ", ".join(f"z[{i + 1}] * z[{j + 1}]" for i, j in prods) + "]"
+    y = ", ".join(f"{t} / q{i}" for i, t in enumerate(_T_TARGETS))
+    return f"""tr AS (SELECT *, {u("'transition'", 'episode_id')} < {transition.CALIBRATION_SHARE} AS cal FROM trans),
+st AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(_T_FEATURES))}, {', '.join(f'stddev_pop({t}) AS q{i}' for i, t in enumerate(_T_TARGETS))} FROM tr WHERE publication_split = 'train' AND NOT cal),
+bz AS (SELECT tr.*, [{z}] AS z, [{y}] AS y FROM tr, st),
+bx AS MATERIALIZED (SELECT row_id, publication_split, cal, y, {basis} AS x FROM bz),
+gram AS (SELECT i, j, sum(x[i] * CASE WHEN j <= {width} THEN x[j] ELSE y[j - {width}] END) + CASE WHEN i = j AND i > 1 THEN {transition.ALPHA} ELSE 0 END AS g
+  FROM bx, range(1, {width + 1}) a(i), range(1, {width + k + 1}) b(j) WHERE publication_split = 'train' AND NOT cal GROUP BY i, j),
+mat AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM gram GROUP BY i)),
+gj AS (SELECT 1 AS n, m FROM mat UNION ALL
+  SELECT n + 1, list_transform(m, lambda r, i: CASE WHEN i = n THEN list_transform(r, lambda v: v / r[n]) ELSE list_transform(r, lambda v, c: v - r[n] / m[n][n] * m[n][c]) END) FROM gj WHERE n <= {width}),
+wt AS (SELECT m FROM gj WHERE n = {width + 1}),
+rs AS MATERIALIZED (SELECT row_id, publication_split, cal, t, y[t + 1] - list_sum(list_transform(x, lambda v, i: v * m[i][{width} + t + 1])) AS residual FROM bx, wt, range({k}) g(t)),
+qm AS (SELECT t, quantile_cont(residual, {transition.UPPER}) AS q FROM rs WHERE publication_split = 'train' AND cal GROUP BY 1),
+mg AS (SELECT t, greatest(0.0::DOUBLE, any_value(q)) AS upper, greatest(greatest(0.0::DOUBLE, any_value(q)), avg(residual)) AS tail FROM rs JOIN qm USING (t) WHERE publication_split = 'train' AND cal AND residual >= q GROUP BY 1)"""
+
+
+@query(
+    "m18_transition_regression",
+    "WITH RECURSIVE " + with_(
+        transitions_cte(), _transition_sql(),
+        body=f"""SELECT publication_split, ['{"', '".join(_T_TARGETS)}'][t + 1] AS target, count(*) AS rows, round(avg(abs(residual)), 6) AS scaled_mae, round(any_value(upper), 6) AS upper_margin,
+        round(any_value(tail), 6) AS tail_margin, round(avg((residual <= upper)::INT), 6) AS covered FROM rs JOIN mg USING (t) WHERE publication_split <> 'train' GROUP BY 1, t""",
+    )[len("WITH "):],
+)
 def transition_regression(spark, sf):
-    t, train, _, _, _ = _setup(spark, sf)
-    m = supervised.transition_model(train, "next_dl_bitrate_mbps")
-    r = m.transform(t.filter("publication_split = 'validation'")).withColumn("residual", F.abs(F.col("p") - F.col("next_dl_bitrate_mbps")))
-    return aggregates.episode_calibration(r, "residual", 0.9, 19, ["slice_type"])
+    """Three next-second values of every held-out row; margins from training episodes kept from the fit."""
+    t = adapters.prepared(spark, sf)
+    train = t.filter("publication_split = 'train'")
+    model = transition.fit(train.filter(~transition.calibrates()), _T_FEATURES, _T_TARGETS)
+    m = transition.margins(transition.residuals(train.filter(transition.calibrates()), model, []))
+    held = transition.residuals(t.filter("publication_split <> 'train'"), model, ["publication_split"])
+    return held.join(freeze(m), "target").groupBy("publication_split", "target").agg(
+        F.count(F.lit(1)).alias("rows"), rounded(F.avg(F.abs("residual")), 6).alias("scaled_mae"), rounded(F.max("upper"), 6).alias("upper_margin"),
+        rounded(F.max("tail"), 6).alias("tail_margin"), rounded(cond_rate(F.col("residual") <= F.col("upper")), 6).alias("covered"))
 
 
 @query("m19_bootstrap_advantage_ensemble")

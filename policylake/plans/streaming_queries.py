@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from policylake.constants import KPI_COLUMNS
-from policylake.functions.core import rounded
-from policylake.operators import governed
+from policylake.functions.core import cond_rate, rounded
+from policylake.operators import governed, quality
 from policylake.plans import telemetry_queries as tq
 from policylake.plans.kpi_queries import requested_intent
 from policylake.plans.registry import SQL, query
-from policylake.plans.sqltext import LABEL_SQL, OBS, r9, with_
+from policylake.plans.sqltext import LABEL_SQL, OBS, decide_ctes, intents_cte, policies_cte, r9, with_
 from policylake.sources import adapters
 from policylake.streaming import pipelines
 
@@ -94,7 +94,26 @@ def counters(spark, sf):
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "policy", "requests", rounded("total_ms").alias("total_ms"))
 
 
-@query("t8_stream_drift")
+_DRIFT_SQL = " + ".join(
+    f"least(1.0::DOUBLE, abs(avg({c}) - avg({c}) FILTER (event_id % 2 = 0)) / (4 * greatest(stddev_pop({c}) FILTER (event_id % 2 = 0), 1e-6)))" for c in KPI_COLUMNS)
+
+
+@query(
+    "t8_stream_drift",
+    with_(
+        OBS, policies_cte(), intents_cte(), decide_ctes(),
+        f"dr AS (SELECT round(({_DRIFT_SQL}) / {len(KPI_COLUMNS)}, 4) AS drift FROM obs)",
+        f"f AS (SELECT avg((selected_policy = ({LABEL_SQL}))::INT) AS agree, avg(safe::INT) AS safety, any_value(drift) AS drift FROM decided, dr)",
+        body="""SELECT unnest(['agreement', 'drift', 'safety']) AS gate, unnest([agree >= 0.75, drift <= 0.35, safety >= 0.995]) AS passed, drift,
+        agree >= 0.75 AND drift <= 0.35 AND safety >= 0.995 AS promote FROM f""",
+    ),
+)
 def drift(spark, sf):
-    ref = adapters.observations(spark, sf).filter("slice_type = 'eMBB'")
-    return pipelines.drift_per_batch(pipelines.event_stream(spark, sf), ref, KPI_COLUMNS)
+    """Every batch against the even-numbered snapshots: drift, the gates of a promotion, the advice."""
+    def gates(batch, drift):
+        d = governed.decide(governed.resolve_intent(batch, requested_intent()), governed.proposals(F.col("event_id")))
+        facts = d.agg(cond_rate(F.col("selected_policy") == governed.expert_label()).alias("agree"), cond_rate(F.col("chosen.safe")).alias("safety"))
+        return quality.gate_table(facts, {"agreement": F.col("agree") >= 0.75, "drift": drift <= 0.35, "safety": F.col("safety") >= 0.995})
+
+    reference = adapters.observations(spark, sf).filter("event_id % 2 = 0")
+    return pipelines.promotion_per_batch(pipelines.event_stream(spark, sf), reference, KPI_COLUMNS, gates)

@@ -24,7 +24,7 @@ from policylake.sources import adapters, sinks
 def baselines(spark, sf):
     t, train, _, _, _ = _setup(spark, sf)
     _, model, _ = studies.fitted(spark, sf)
-    test = t.filter("publication_split = 'test_seen'")
+    test = t.filter("publication_split <> 'train'")
     learners = {
         "tree": DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=6),
         "forest": RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=8, maxDepth=6, seed=1),
@@ -32,17 +32,17 @@ def baselines(spark, sf):
         "logistic": LogisticRegression(featuresCol="x", labelCol="y", maxIter=8),
     }
     scored = candidates.with_candidates(test.select(*studies.ROW_COLUMNS), model, studies.POLICY_FIELDS)
-    chosen = selection.gated_selection(scored, dq.CFG).select("row_id", "action", "cand", "fallback", "selected_action")
-    parts = [chosen.select(F.lit("gated_selector").alias("model"), "action", "cand", F.col("selected_action").alias("pick"))]
+    chosen = selection.gated_selection(scored, dq.CFG).select("row_id", "publication_split", "action", "cand", "fallback", "selected_action")
+    parts = [chosen.select(F.lit("gated_selector").alias("model"), "publication_split", "action", "cand", F.col("selected_action").alias("pick"))]
     for name, learner in learners.items():
         pipe = Pipeline(stages=[StringIndexer(inputCol="action", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"),
                                 VectorAssembler(inputCols=STATE_COLUMNS, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x"), learner]).fit(train)
         p = supervised.named_prediction(pipe, test).select("row_id", "predicted").join(chosen, "row_id")
         ok = F.exists("cand", lambda c: c["action"] == F.col("predicted"))
-        parts.append(p.select(F.lit(name).alias("model"), "action", "cand", F.when(ok, F.col("predicted")).otherwise(F.col("fallback")).alias("pick")))
+        parts.append(p.select(F.lit(name).alias("model"), "publication_split", "action", "cand", F.when(ok, F.col("predicted")).otherwise(F.col("fallback")).alias("pick")))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     rows = rows.withColumn("c", first_of(F.filter("cand", lambda c: c["action"] == F.col("pick"))))
-    return rows.groupBy("model").agg(
+    return rows.groupBy("model", "publication_split").agg(
         F.count(F.lit(1)).alias("n"), cond_rate(F.col("pick") == F.col("action")).alias("agreement"),
         F.avg(selection.outcome_utility(F.col("c"), dq.CFG, "")).alias("mean_utility"), cond_rate(F.col("c.sla") > 0.45).alias("sla_violation_rate"))
 
@@ -95,9 +95,9 @@ def episode_benchmark(spark, sf):
 @query("d27_seed_study")
 def seed_study(spark, sf):
     t, train, _, _, actions = _setup(spark, sf)
-    x = supervised.assemble(t.filter("publication_split = 'test_seen'"), actions).select("row_id", "sla_cost", "x")
+    x = supervised.assemble(t.filter("publication_split <> 'train'"), actions).select("row_id", "publication_split", "sla_cost", "x")
     parts = []
     for seed in (1, 2, 3):
         m = supervised.forest("sla_cost", seed, trees=4, depth=4).fit(supervised.assemble(train, actions))
-        parts.append(m.transform(x).agg(F.lit(seed).alias("seed"), F.avg(F.abs(F.col("sla_cost") - F.col("p_sla_cost"))).alias("mae"), F.avg("p_sla_cost").alias("mean_prediction")))
-    return aggregates.summary_stats(reduce(lambda a, b: a.unionByName(b), parts), [], ["mae", "mean_prediction"])
+        parts.append(m.transform(x).groupBy("publication_split").agg(F.lit(seed).alias("seed"), F.avg(F.abs(F.col("sla_cost") - F.col("p_sla_cost"))).alias("mae"), F.avg("p_sla_cost").alias("mean_prediction")))
+    return aggregates.summary_stats(reduce(lambda a, b: a.unionByName(b), parts), ["publication_split"], ["mae", "mean_prediction"])

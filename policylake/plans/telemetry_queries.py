@@ -12,6 +12,7 @@ from policylake.operators.order_stats import exact_quantiles
 from policylake.plans.kpi_queries import decided
 from policylake.plans.registry import query
 from policylake.plans.sqltext import (
+    INTENT_SQL,
     LABEL_SQL,
     OBS,
     clip_sql,
@@ -19,9 +20,10 @@ from policylake.plans.sqltext import (
     intents_cte,
     policies_cte,
     r9,
+    transitions_cte,
     with_,
 )
-from policylake.sources import adapters, telemetry
+from policylake.sources import adapters, catalogues, telemetry
 
 # ---- nested payloads -----------------------------------------------------------------------
 
@@ -241,16 +243,18 @@ def labelled(spark, sf):
     "a13_feature_drift",
     with_(
         OBS, "e AS (SELECT obs.*, event_type FROM obs JOIN events USING (event_id))",
+        f"ref AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in KPI_COLUMNS)} FROM e WHERE event_type = 'view')",
         body=" UNION ALL ".join(
-            f"""SELECT '{c}' AS metric, {r9(f"least(1.0::DOUBLE, abs(avg(CASE WHEN event_type = 'click' THEN {c} END) - avg(CASE WHEN event_type = 'view' THEN {c} END)) / (4 * greatest(stddev_pop(CASE WHEN event_type = 'view' THEN {c} END), 1e-6)))", 'drift')} FROM e"""
+            f"""SELECT event_type, '{c}' AS metric, {r9(f"least(1.0::DOUBLE, abs(avg({c}) - any_value(m_{c})) / (4 * greatest(any_value(s_{c}), 1e-6)))", 'drift')} FROM e, ref WHERE event_type <> 'view' GROUP BY 1"""
             for c in KPI_COLUMNS),
     ),
 )
 def drift(spark, sf):
+    """Every other event type against views."""
     ev = adapters.table(spark, sf, "events").select("event_id", "event_type")
     o = adapters.observations(spark, sf).join(ev, "event_id")
-    d = aggregates.feature_drift(o.filter("event_type = 'view'"), o.filter("event_type = 'click'"), KPI_COLUMNS)
-    return d.select("metric", rounded("drift").alias("drift"))
+    d = aggregates.feature_drift(o.filter("event_type = 'view'"), o.filter("event_type <> 'view'"), KPI_COLUMNS, ["event_type"])
+    return d.select("event_type", "metric", rounded("drift").alias("drift"))
 
 
 @query(
@@ -408,3 +412,29 @@ def outcome(spark, sf):
     m = F.col("event_id") % 3
     mode = F.when(m == 0, "recommend").when(m == 1, "shadow").otherwise("simulated")
     return cells.execution_outcome(adapters.observations(spark, sf).withColumn("mode", mode), "balanced").select("event_id", "status", "attempted", "executed", "predicted_latency")
+
+
+# ---- catalogues as tables ------------------------------------------------------------------
+
+@query(
+    "s15_intents",
+    with_(OBS, intents_cte(), body=f"SELECT intent, w_latency, w_loss, w_throughput, w_stability, w_energy, risk_tolerance, energy_budget, (SELECT count(*) FROM obs WHERE {INTENT_SQL} = intent) AS requested FROM intents"),
+)
+def intents(spark, sf):
+    """Intents with their weights and how many snapshots ask for each."""
+    from policylake.plans.kpi_queries import requested_intent
+
+    asked = governed.resolve_intent(adapters.observations(spark, sf), requested_intent()).groupBy("intent").agg(F.count(F.lit(1)).alias("requested"))
+    table = catalogues.intents(spark)
+    return table.drop("constraints").join(asked, "intent", "left").withColumn("requested", F.coalesce("requested", F.lit(0)))
+
+
+@query(
+    "s15_source_catalogue",
+    with_(transitions_cte(), body="SELECT scenario AS source_id, count(*) AS rows, count(DISTINCT episode_id) AS episodes FROM trans GROUP BY 1 HAVING scenario <> 'rome_slow_close'"),
+)
+def source_catalogue(spark, sf):
+    """Enabled sources of the trace with what each holds."""
+    t = adapters.prepared(spark, sf)
+    listed = t.groupBy(F.col("scenario").alias("source_id")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("episode_id").alias("episodes"))
+    return catalogues.enabled(listed.withColumn("enabled", F.when(F.col("source_id") == "rome_slow_close", False)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylake.functions.core import decision_list, lookup
-from policylake.sources.sinks import staged
+from policylake.session import shared_folder
+from policylake.sources.sinks import write_prepared
 from policylake.sources.trace import clean_trace, to_seconds, to_transitions, with_publication_split
 
 SCENARIOS = ["rome_static_close", "rome_static_medium", "rome_static_far", "rome_slow_close"]
@@ -69,7 +72,8 @@ def prepared(spark: SparkSession, folder: str, multi_ue: bool = False) -> DataFr
     files = tuple(sorted(table(spark, folder, "lineitem").inputFiles()))
     key = (spark.sparkContext.applicationId, files, multi_ue)
     if key not in _PREPARED:
-        _PREPARED[key] = staged(transitions(spark, folder, multi_ue), "transitions")
+        path = f"{shared_folder(spark)}/policylake/transitions-{uuid.uuid4().hex}"
+        _PREPARED[key] = write_prepared(transitions(spark, folder, multi_ue), path)
     return _PREPARED[key]
 
 

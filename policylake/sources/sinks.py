@@ -24,6 +24,16 @@ def dataset_manifest(df: DataFrame) -> DataFrame:
     )
 
 
+def write_prepared(df: DataFrame, path: str) -> DataFrame:
+    """The prepared transition table by split and scenario, so that a filter on either reads its folders only.
+
+    Rows of a folder are dealt by episode over a few tasks; an episode stays in one file.
+    """
+    dealt = df.repartition("publication_split", "scenario", F.pmod(F.xxhash64("episode_id"), F.lit(8)))
+    dealt.write.partitionBy("publication_split", "scenario").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
 def write_evidence(tables: dict[str, DataFrame], folder: str) -> None:
     """One Parquet table per kind of evidence."""
     for name, df in tables.items():

@@ -143,6 +143,9 @@ class CellProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
+            pdf = pdf[pdf["event_id"] >= 0]  # a mark only moves the watermark; a filter would keep it from doing so
+            if pdf.empty:
+                continue
             pdf = pdf[list(INPUT)].astype(object).where(pdf[list(INPUT)].notna(), None)
             self.waiting.appendList([tuple(r) for r in pdf.itertuples(index=False)])
             least = int(min(pdf["epoch_s"]) * 1000)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policylake.operators import aggregates, governed, quality
@@ -96,7 +96,7 @@ def cell_stream(stream: DataFrame, dwell: float = 5.0, window: float = 60.0, max
     if "policy" not in stream.columns:
         rows = rows.withColumn("policy", F.lit(None).cast("string"))
     typed = [F.col(c).cast(t).alias(c) for c, t in cell_state.INPUT.items()]
-    return rows.where("event_id >= 0").select("timestamp", "cell_id", *typed).groupBy("cell_id").transformWithStateInPandas(
+    return rows.select("timestamp", "cell_id", *typed).groupBy("cell_id").transformWithStateInPandas(
         cell_state.CellProcessor(cell_state.Guard(dwell, window, max_switches), IDLE_SECONDS), cell_state.OUTPUT, "append", "EventTime"
     )
 
@@ -150,13 +150,20 @@ def policy_counters(stream: DataFrame, width: str = "1 day") -> DataFrame:
     )
 
 
-def drift_per_batch(stream: DataFrame, reference: DataFrame, features: list[str], max_drift: float = 0.35) -> DataFrame:
-    """Drift of every micro-batch against a reference, with a promotion verdict."""
+def promotion_per_batch(stream: DataFrame, reference: DataFrame, features: list[str], gates: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+    """Drift of every micro-batch against a reference of the same population, the promotion gates, the advice.
+
+    `gates` takes the batch and its drift and returns (gate, passed).
+    """
     spark = stream.sparkSession
 
     def handle(df: DataFrame, target: str) -> None:
+        df = df.persist()
         d = aggregates.feature_drift(reference, df, features).agg(F.round(F.avg("drift"), 4).alias("drift"))
-        d.withColumn("within_limit", F.col("drift") <= max_drift).write.mode("overwrite").parquet(target.format("drift"))
+        drift = float(d.first()["drift"] or 0.0)
+        judged = gates(df, F.lit(drift)).withColumn("drift", F.lit(drift))
+        judged.withColumn("promote", F.min("passed").over(Window.partitionBy("drift"))).write.mode("overwrite").parquet(target.format("drift"))
+        df.unpersist()
 
     base = run_batches(stream, "drift", handle)
     return spark.read.parquet(f"{base}/drift")
