@@ -147,7 +147,7 @@ def _residuals(spark, sf):
 @query(
     "m9_uncertainty_target",
     with_(outcome_model_ctes(), body=f"""SELECT fold, slice_type, count(*) AS rows, count(DISTINCT episode_id) AS episodes, {_ERRORS_SQL}, {r9('avg(raw)', 'mean_residual')}, {r9('avg(target)', 'mean_target')},
-    count_if(target >= 1)::BIGINT AS capped FROM res GROUP BY 1, 2"""),
+    count_if(target >= 1)::BIGINT AS capped FROM resid GROUP BY 1, 2"""),
 )
 def uncertainty_target(spark, sf):
     """Fold sizes, out-of-fold errors of three costs, and the scaled residual capped at its 98 % quantile."""

@@ -385,39 +385,39 @@ def drawn_sql(name: str, source: str, where: str, cols: dict[str, str], pairs: s
 
 
 def outcome_model_ctes(multi_ue: bool = False) -> str:
-    """`res` (rows with out-of-fold residuals, `raw`, `target`) and `state` (estimates by slice, action, bin)."""
+    """`resid` (rows with out-of-fold residuals, `raw`, `target`) and `state` (estimates by slice, action, bin)."""
     from policylake.config import ObjectiveSettings
     from policylake.operators.outcome_model import COSTS, LEAST_CAP, LEAST_SPREAD, LOCAL_ROWS, RESIDUAL_CAP
 
     cfg = ObjectiveSettings()
     costs = {c: f"{c}_cost" for c in COSTS}
-    folds = ",\n".join(drawn_sql(f"o{k}", "tb", f"{POLICY_WHERE} AND fold <> {k}", costs, "pp") for k in range(cfg.folds))
-    oof = " UNION ALL ".join(f"SELECT slice_type, action, bin, {k} AS fold, {', '.join(f'{c} AS p_{c}' for c in COSTS)} FROM o{k}" for k in range(cfg.folds))
+    folds = ",\n".join(drawn_sql(f"om_o{k}", "tb", f"{POLICY_WHERE} AND fold <> {k}", costs, "om_pp") for k in range(cfg.folds))
+    oof = " UNION ALL ".join(f"SELECT slice_type, action, bin, {k} AS fold, {', '.join(f'{c} AS p_{c}' for c in COSTS)} FROM om_o{k}" for k in range(cfg.folds))
     raw = " + ".join(f"abs({c}_cost - p_{c}) / greatest(sd_{c}, {LEAST_SPREAD}::DOUBLE)" for c in COSTS)
-    rounds = [drawn_sql("q0", "tb", POLICY_WHERE, {"q": "utility"}, "pp")]
+    rounds = [drawn_sql("om_q0", "tb", POLICY_WHERE, {"q": "utility"}, "om_pp")]
     for i in range(1, cfg.q_iterations):
-        rounds.append(f"""v{i} AS (SELECT slice_type, bin, max(q) AS v FROM q{i - 1} GROUP BY ALL),
-t{i} AS (SELECT tb.slice_type, tb.action, tb.bin, utility + CASE WHEN done THEN 0 ELSE {cfg.gamma}::DOUBLE * v END AS t FROM tb JOIN v{i} ON v{i}.slice_type = tb.slice_type AND v{i}.bin = tb.next_bin WHERE {POLICY_WHERE}),
-{drawn_sql(f"q{i}", f"t{i}", "true", {"q": "t"}, "pp")}""")
-    last = f"q{cfg.q_iterations - 1}"
+        rounds.append(f"""om_v{i} AS (SELECT slice_type, bin, max(q) AS v FROM om_q{i - 1} GROUP BY ALL),
+om_t{i} AS (SELECT tb.slice_type, tb.action, tb.bin, utility + CASE WHEN done THEN 0 ELSE {cfg.gamma}::DOUBLE * v END AS t FROM tb JOIN om_v{i} ON om_v{i}.slice_type = tb.slice_type AND om_v{i}.bin = tb.next_bin WHERE {POLICY_WHERE}),
+{drawn_sql(f"om_q{i}", f"om_t{i}", "true", {"q": "t"}, "om_pp")}""")
+    last = f"om_q{cfg.q_iterations - 1}"
     return f"""{state_cte(multi_ue)},
-pp AS (SELECT DISTINCT slice_type, action FROM tb WHERE {POLICY_WHERE}),
-ep AS (SELECT DISTINCT slice_type, action FROM tb WHERE {EVALUATOR_WHERE}),
-{drawn_sql("pm", "tb", POLICY_WHERE, costs, "pp")},
-{drawn_sql("em", "tb", EVALUATOR_WHERE, costs, "ep")},
+om_pp AS (SELECT DISTINCT slice_type, action FROM tb WHERE {POLICY_WHERE}),
+om_ep AS (SELECT DISTINCT slice_type, action FROM tb WHERE {EVALUATOR_WHERE}),
+{drawn_sql("om_pm", "tb", POLICY_WHERE, costs, "om_pp")},
+{drawn_sql("om_em", "tb", EVALUATOR_WHERE, costs, "om_ep")},
 {folds},
-oof AS ({oof}),
-sds AS (SELECT {", ".join(f"stddev_pop({c}_cost) AS sd_{c}" for c in COSTS)} FROM tb WHERE {POLICY_WHERE}),
-res0 AS MATERIALIZED (SELECT tb.*, {", ".join(f"p_{c}" for c in COSTS)}, ({raw}) / 3.0::DOUBLE AS raw FROM tb JOIN oof USING (slice_type, action, bin, fold), sds WHERE {POLICY_WHERE}),
-cap AS (SELECT greatest(quantile_cont(raw, {RESIDUAL_CAP}), {LEAST_CAP!r}::DOUBLE) AS cap FROM res0),
-res AS (SELECT res0.*, {clip_sql("raw / cap", 0.0, 1.0)} AS target FROM res0, cap),
-{drawn_sql("um", "res", "true", {"unc": "target"}, "pp")},
+om_oof AS ({oof}),
+om_sds AS (SELECT {", ".join(f"stddev_pop({c}_cost) AS sd_{c}" for c in COSTS)} FROM tb WHERE {POLICY_WHERE}),
+resid0 AS MATERIALIZED (SELECT tb.*, {", ".join(f"p_{c}" for c in COSTS)}, ({raw}) / 3.0::DOUBLE AS raw FROM tb JOIN om_oof USING (slice_type, action, bin, fold), om_sds WHERE {POLICY_WHERE}),
+om_cap AS (SELECT greatest(quantile_cont(raw, {RESIDUAL_CAP}), {LEAST_CAP!r}::DOUBLE) AS cap FROM resid0),
+resid AS (SELECT resid0.*, {clip_sql("raw / cap", 0.0, 1.0)} AS target FROM resid0, om_cap),
+{drawn_sql("om_um", "resid", "true", {"unc": "target"}, "om_pp")},
 {", ".join(rounds)},
-state AS MATERIALIZED (SELECT c.slice_type, c.action, c.idx, p.bin, p.sla, p.energy, p.stability, um.unc, {last}.q,
+state AS MATERIALIZED (SELECT c.slice_type, c.action, c.idx, p.bin, p.sla, p.energy, p.stability, om_um.unc, {last}.q,
   (CASE WHEN sum(p.n) OVER (PARTITION BY c.slice_type, p.bin) > 0 THEN p.n ELSE p.cell_n END)::DOUBLE AS w, p.n >= {LOCAL_ROWS} AND e.n >= {LOCAL_ROWS} AS sup,
   e.sla AS e_sla, e.energy AS e_energy, e.stability AS e_stability
-  FROM cells c JOIN pm p ON p.slice_type = c.slice_type AND p.action = c.action JOIN em e ON e.slice_type = c.slice_type AND e.action = c.action AND e.bin = p.bin
-  JOIN um ON um.slice_type = c.slice_type AND um.action = c.action AND um.bin = p.bin JOIN {last} ON {last}.slice_type = c.slice_type AND {last}.action = c.action AND {last}.bin = p.bin)"""
+  FROM cells c JOIN om_pm p ON p.slice_type = c.slice_type AND p.action = c.action JOIN om_em e ON e.slice_type = c.slice_type AND e.action = c.action AND e.bin = p.bin
+  JOIN om_um ON om_um.slice_type = c.slice_type AND om_um.action = c.action AND om_um.bin = p.bin JOIN {last} ON {last}.slice_type = c.slice_type AND {last}.action = c.action AND {last}.bin = p.bin)"""
 
 
 def candidates_cte(multi_ue: bool = False) -> str:
