@@ -3,13 +3,14 @@
 A page becomes blocks: runs of text between block-level tags, each with the path of its open tags
 (name, class, id, role). A bidirectional LSTM in numpy reads for each block a vector of hashed path
 parts, hashed words and a few measures, and labels it as main text or not with the whole page in
-view. It is trained on the driver from at most `sample` pages (the smallest by hash, 200,000 code
-points of each): the tags and
+view. It is trained on the driver from at most `sample` pages (the smallest by hash), `chars` code points
+and `most_blocks` blocks of each: the tags and
 names that mean navigation or notices teach it, and copies of the pages with such parts put in at
 random, under many names, teach it names these pages lack.
 
-What a browser never shows (comments, scripts, styles, templates, the head) and form controls are
-no blocks. References are decoded, white space inside a block becomes one space, blocks are
+What a browser never shows (comments, scripts, styles, templates, the head), drawings and form controls
+are no blocks and do not part the text around them; formulas are text. An unclosed quote in a tag ends
+with the tag. References are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by one line break. A null or empty page gives an empty text. Repeated rows are
 read row by row. Broken markup closes what is open; a block has no size limit.
 """
@@ -30,9 +31,10 @@ from policylake.llm.bilstm import Adam, BiLSTM
 from policylake.llm.staging import sampled, small_batches
 
 # Element names of HTML.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr svg "
+             "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts semantics annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style template head title noscript svg math iframe object canvas audio video select textarea button option datalist".split())
+UNSEEN = set("script style template head title noscript svg annotation annotation-xml iframe object canvas audio video select textarea button option datalist".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P_INSIDE = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 # Names that mean something other than the article.
@@ -42,7 +44,7 @@ notices alert nav navbar navigation menu menubar breadcrumb breadcrumbs header m
 recommended share sharing social comment comments reply replies discussion disqus form search login signup subscribe newsletter pagination pager tags""".split())
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, set("article content post entry story body text main".split())
 
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg(?![^>]*/>))\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z]+")
 PATHS, WORDS, MEASURES = 512, 64, 5
@@ -82,12 +84,12 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(text.strip())
         at = m.end()
         if m[1]:
-            if m[1].lower() not in INLINE:
+            if m[1].lower() == "title":
                 flush()
             continue
-        if not m[3]:
+        name, attributes = (m[3] or m[5] or "").lower(), m[4] or m[6] or ""
+        if not name:
             continue
-        name = m[3].lower()
         if name == "br":
             held.append(" ")
             continue
@@ -113,9 +115,9 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if open_[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        names = [x.lower() for g in NAMED.findall(m[4]) for x in PARTS.findall(" ".join(g))]
+        names = [x.lower() for g in NAMED.findall(attributes) for x in PARTS.findall(" ".join(g))]
         open_.append((name, tuple(names)))
         hidden += name in UNSEEN
         links += name == "a"
@@ -141,8 +143,7 @@ def _vectors(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         row.extend([i] * len(own))
         part.extend(sorted(own))
         some = text.split(" ")
-        np.add.at(words[i], [crc32(w.encode()) % WORDS for w in (some if len(some) <= 24 else some[:12] + some[-12:])], 1.0)
-        words[i] /= max(1.0, words[i].sum())
+        words[i] = np.bincount([crc32(w.encode()) % WORDS for w in some], minlength=WORDS) / max(1, len(some))
         measures[i] = (min(len(text), 2000) / 500, len(some) < 6, linked / (len(text) + 1), sum(text.count(c) for c in ".,;:") / (len(some) + 1), i / len(page))
     return np.array(row, np.int64), np.array(part, np.int64), words, measures
 
@@ -221,9 +222,9 @@ def _varied(page: list[Block], rng: np.random.Generator) -> list[Block]:
     return out
 
 
-def trained(pages: DataFrame, sample: int = 256, rounds: int = 220, seed: int = 3) -> Labeller:
-    texts = sampled(pages, "html", sample, 200_000)
-    parsed = [b[:400] for b in map(blocks, texts) if b] or [[("text", ("<html", "<body", "<article", "<p"), 0), ("menu", ("<html", "<body", "<nav"), 0)]]
+def trained(pages: DataFrame, sample: int = 256, rounds: int = 220, seed: int = 3, chars: int = 50_000, most_blocks: int = 400) -> Labeller:
+    texts = sampled(pages, "html", sample, chars)
+    parsed = [b[:most_blocks] for b in map(blocks, texts) if b] or [[("text", ("<html", "<body", "<article", "<p"), 0), ("menu", ("<html", "<body", "<nav"), 0)]]
     rng, model, optimiser = np.random.default_rng(seed), Labeller(seed=seed), Adam(0.02)
     for r in range(rounds):
         some = [parsed[i] for i in rng.integers(len(parsed), size=12)]

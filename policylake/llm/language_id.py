@@ -6,10 +6,12 @@ point the automaton lacks is a phrase by itself). Fewer phrases per code point m
 cross entropy; the language with the fewest wins, ties go to the first by name.
 
 Training text is a bounded sample: at most `sample` labelled rows of each language, the smallest
-by hash, with at most `chars` code points of each; the automata hold at most `states` code points of
-each language and are broadcast (languages x 2 x states x alphabet x 4 bytes).
+by hash of the text (copies count once), with at most `chars` code points of each; the automata hold at most `states` code points of
+each language and are broadcast. Every code point of the sample is a symbol: transitions by the
+47 most frequent ones of all languages are a dense table (languages x 2 x states x 48 x 4 bytes), those by all
+others sorted pairs of state and symbol.
 
-Texts are lower-cased and every run of anything but letters is read as one space, so marks,
+Texts are lower-cased and every run of anything but letters (by Unicode category, over the whole range) is read as one space, so marks,
 numbers and capitals do not count. Long texts are parsed in segments of SEGMENT code points whose
 phrases add up, so that one step handles many segments at once; nothing is left out. A null text and one without letters is `und`
 with score 0. Score: 1 - (fewest / second fewest), 0 to 1; with one language learned it is 1.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from policylake.llm.staging import small_batches
 
+Model = tuple[list[str], np.ndarray, list]
 SEGMENT = 1024
 ALPHABET = 48
 LANES = 16_384
@@ -40,13 +43,12 @@ def _codes(texts: list[str]) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Which code points below 2^16 are letters; all above count as letters."""
-    return np.array([chr(c).isalpha() for c in range(0xFFFF)] + [True])
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _letters_only(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points with each run of anything but letters as one space, and the new offsets."""
-    codes = np.minimum(codes, 0xFFFF)
     letter = _letters()[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
@@ -54,10 +56,12 @@ def _letters_only(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(letter, codes, 32)[keep], kept[at]
 
 
-def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Dense transitions (-1: none) of the suffix automaton; symbol 0 is never a transition."""
-    n = len(symbols)
-    to = np.full((2 * n + 2, alphabet), -1, np.int32)
+#: Dense transitions, sorted keys (state and symbol) of the others, and where these lead.
+Automaton = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def automaton(symbols: np.ndarray, alphabet: int) -> Automaton:
+    """Transitions of the suffix automaton, dense (-1: none) below `alphabet`; symbol 0 is never a transition."""
     link, length, last, size = [-1], [0], 0, 1
     rows: list[dict[int, int]] = [{}]
     for c in symbols.tolist():
@@ -101,18 +105,35 @@ def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                 link[q] = link[cur] = size
                 size += 1
         last = cur
+    to = np.full((size, alphabet), -1, np.int32)
+    rare = []
     for state, row in enumerate(rows):
         for c, target in row.items():
-            to[state, c] = target
-    return to[:size]
+            if c < alphabet:
+                to[state, c] = target
+            else:
+                rare.append((state << 32 | c, target))
+    keys, targets = np.array(sorted(rare), np.int64).reshape(-1, 2).T
+    return to, np.ascontiguousarray(keys), targets.astype(np.int32)
 
 
-def learned(labelled: DataFrame, sample: int = 48, chars: int = 4_000, states: int = 30_000) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+def _by_rare(edges: Automaton, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Where symbols beyond the dense table lead, -1: nowhere."""
+    _, keys, targets = edges
+    if not len(keys):
+        return np.full(len(symbol), -1, np.int32)
+    key = state.astype(np.int64) << 32 | symbol
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, targets[at], -1)
+
+
+def learned(labelled: DataFrame, sample: int = 48, chars: int = 4_000, states: int = 30_000) -> Model:
     """Language names, symbol of each code point, and an automaton for each language."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = F.approx_count_distinct(F.xxhash64("text"))
+    sizes = {r["lang"]: max(r["n"], 1) for r in rows.groupBy("lang").agg(texts.alias("n")).collect()}
     if not sizes:
-        return [], np.zeros(1, np.uint8), []
+        return [], np.zeros(1, np.uint32), []
     spark, h = labelled.sparkSession, F.xxhash64("text").alias("h")
     share = spark.createDataFrame([(k, min(1.0, 4 * sample / n)) for k, n in sizes.items()], "lang string, share double")
     kept = rows.select("lang", F.substring("text", 1, chars).alias("text"), h).join(F.broadcast(share), "lang")
@@ -121,15 +142,14 @@ def learned(labelled: DataFrame, sample: int = 48, chars: int = 4_000, states: i
     got = {r["lang"]: [x["text"] for x in r["few"]] for r in best.select("lang", F.slice("all", 1, sample).alias("few")).collect()}
     names = sorted(sizes)
     code = {k: _letters_only(c := _codes([t + " " for t in got.get(k, [])]), np.array([0, len(c)]))[0] for k in names}
-    seen = np.bincount(np.concatenate(list(code.values())), minlength=1 << 16)
-    seen[0xFFFF] = 0
-    symbol = np.zeros(1 << 16, np.uint8)
-    common = [c for c in np.argsort(-seen, kind="stable")[: ALPHABET - 1].tolist() if seen[c]]
+    seen = np.bincount(np.concatenate(list(code.values())), minlength=0x110000)
+    symbol = np.zeros(0x110000, np.uint32)
+    common = np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]
     symbol[common] = np.arange(1, len(common) + 1)
     return names, symbol, [automaton(symbol[code[k]][:states], ALPHABET) for k in names]
 
 
-def phrases(symbols: np.ndarray, at: np.ndarray, step: list[np.ndarray]) -> np.ndarray:
+def phrases(symbols: np.ndarray, at: np.ndarray, step: list[Automaton]) -> np.ndarray:
     """Phrases of every segment (n + 1 offsets `at`) against every automaton: (segments, languages)."""
     out = np.zeros((len(at) - 1, len(step)), np.int64)
     size = np.diff(at)
@@ -137,8 +157,9 @@ def phrases(symbols: np.ndarray, at: np.ndarray, step: list[np.ndarray]) -> np.n
     size, first = size[order], at[:-1][order]
     longest = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
-    for k, to in enumerate(step):
-        flat, root = to.ravel(), to[0].copy()
+    odd = bool(len(symbols)) and int(symbols.max()) >= ALPHABET
+    for k, edges in enumerate(step):
+        flat, root = edges[0].ravel(), edges[0][0].copy()
         root[root < 0] = 0
         state = np.zeros(len(size), np.int32)
         count = np.zeros(len(size), np.int32)
@@ -146,25 +167,33 @@ def phrases(symbols: np.ndarray, at: np.ndarray, step: list[np.ndarray]) -> np.n
             m = alive[t]
             sym = symbols[first[:m] + t]
             now = state[:m]
-            there = flat[now * ALPHABET + sym]
+            rare = np.flatnonzero(sym >= ALPHABET) if odd else ()
+            if len(rare):
+                plain = np.where(sym >= ALPHABET, 0, sym)
+                there, again = flat[now * ALPHABET + plain], root[plain]
+                there[rare] = _by_rare(edges, now[rare], sym[rare])
+                again[rare] = np.maximum(_by_rare(edges, np.zeros(len(rare), np.int64), sym[rare]), 0)
+            else:
+                there, again = flat[now * ALPHABET + sym], root[sym]
             ends = there < 0
             ends |= now == 0  # a new phrase starts here
             count[:m] += ends
-            state[:m] = np.where(there < 0, root[sym], there)
+            state[:m] = np.where(there < 0, again, there)
         out[order, k] = count
     return out
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np.ndarray]], carried: list[Column | str]) -> DataFrame:
-    """`carried`, lang_pred, score, phrase_rate and n_letters of every row; reads only `text`.
+def identify(documents: DataFrame, model: Model, carried: list[Column | str]) -> DataFrame:
+    """`carried`, lang_pred, score, phrase_rate, n_letters and n_rare of every row; reads only `text`.
 
-    phrase_rate is the fewest phrases per code point read.
+    phrase_rate is the fewest phrases per code point read, n_rare the letters beyond the dense table
+    that labelled text has (most of a text in a script of many letters).
     """
     slim = documents.select(*carried, F.col("text").cast("string").alias("_text"))
     return _identified(slim, slim.columns[:-1], "_text", model)
 
 
-def _identified(slim: DataFrame, names: list[str], text: str, model: tuple[list[str], np.ndarray, list[np.ndarray]]) -> DataFrame:
+def _identified(slim: DataFrame, names: list[str], text: str, model: Model) -> DataFrame:
     """`names` of `slim` and the results for its column `text`; a task holds PART code points at a time."""
     small_batches(slim.sparkSession)
     shared = slim.sparkSession.sparkContext.broadcast(model)
@@ -173,7 +202,8 @@ def _identified(slim: DataFrame, names: list[str], text: str, model: tuple[list[
         langs, symbol, step = shared.value
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            pred, score, rate, letters = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            letters, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             row = 0
             while langs and row < len(texts):
                 end, held = row, 0
@@ -199,8 +229,9 @@ def _identified(slim: DataFrame, names: list[str], text: str, model: tuple[list[
                     some = slice(lo, lo + LANES)
                     bounds = np.r_[begin[some], begin[lo + LANES] if lo + LANES < len(begin) else len(codes)]
                     np.add.at(count, owner[some], phrases(symbols, bounds, step))
-                heard = np.r_[0, np.cumsum(codes != 32)]
+                heard, seldom = np.r_[0, np.cumsum(codes != 32)], np.r_[0, np.cumsum(symbols >= ALPHABET)]
                 for i in range(len(part)):
+                    rare[row + i] = seldom[edge[i + 1]] - seldom[edge[i]]
                     letters[row + i] = heard[edge[i + 1]] - heard[edge[i]]
                     if letters[row + i]:
                         few = np.sort(count[i])
@@ -208,10 +239,10 @@ def _identified(slim: DataFrame, names: list[str], text: str, model: tuple[list[
                         score[row + i] = 1 - few[0] / few[1] if len(few) > 1 else 1.0
                         rate[row + i] = few[0] / size[i]
                 row = end
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred), pa.array(score), pa.array(rate), pa.array(letters)], [*names, "lang_pred", "score", "phrase_rate", "n_letters"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred), pa.array(score), pa.array(rate), pa.array(letters), pa.array(rare)], [*names, "lang_pred", "score", "phrase_rate", "n_letters", "n_rare"])
 
     kinds = ", ".join(f"`{n}` {slim.schema[n].dataType.simpleString()}" for n in names)
-    return slim.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double, phrase_rate double, n_letters long")
+    return slim.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double, phrase_rate double, n_letters long, n_rare long")
 
 
 def fold(key: str, parts: int) -> Column:
@@ -219,14 +250,15 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def understood(documents: DataFrame, model: tuple[list[str], np.ndarray, list[np.ndarray]], worst_rate: float = 0.75, least_letters: int = 8) -> DataFrame:
+def understood(documents: DataFrame, model: Model, worst_rate: float = 0.75, least_letters: int = 8) -> DataFrame:
     """The rows, all columns, that have letters and that some learned language explains.
 
     A text of at least `least_letters` letters goes if even the best language needs more than
-    `worst_rate` phrases per code point, as text in an unknown script does.
+    `worst_rate` phrases per code point, as text in an unknown script does; not if most of its letters
+    are rare ones that labelled text has, since phrases are short in a script of many letters.
     """
     names = [f"_c{i}" for i in range(len(documents.columns))]
     slim = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(documents.columns, names, strict=True)))
     done = _identified(slim, names, names[documents.columns.index("text")], model)
-    kept = done.where((F.col("lang_pred") != "und") & ((F.col("n_letters") < least_letters) | (F.col("phrase_rate") <= worst_rate)))
+    kept = done.where((F.col("lang_pred") != "und") & ((F.col("n_letters") < least_letters) | (F.col("phrase_rate") <= worst_rate) | (F.col("n_rare") * 2 > F.col("n_letters"))))
     return kept.select(*(F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)))

@@ -183,17 +183,22 @@ def drawn(documents: DataFrame, mixed: DataFrame, seed: int = 11, key: str = "do
     """The mix as rows of `documents` (all columns), shard by shard in drawn order, repeats as repeated rows.
 
     The text of the one document of a source that ends its last pass is cut after its last taken
-    word (n_chars, where there is such a column, follows).
+    word (n_chars, where there is such a column, follows). Whole rows travel twice: to the plan of
+    their key, and to their shard. `documents` may have columns of any name.
     """
-    text = F.col("text").cast("string")
-    own = documents.select("*", F.xxhash64(F.lit(seed), F.col(key), text).alias("_order"))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_order").orderBy("_order")))
+    text = F.col("doc.text").cast("string")
+    # rows dealt by order are numbered and joined (by order and number) without being dealt again
+    documents.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own = documents.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), F.col(key), F.col("text").cast("string")).alias("order"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("order").orderBy("order")))
     plan = mixed.where(F.col("shard").isNotNull() & (F.col("words") > 0))
-    plan = plan.select(F.col("order").alias("_order"), F.dense_rank().over(Window.partitionBy("order").orderBy("row")).alias("_nth"), F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    got = own.join(plan, ["_order", "_nth"])
+    plan = plan.select("order", F.dense_rank().over(Window.partitionBy("order").orderBy("row")).alias("nth"), "size", "words", "shard", "slot")
+    got = own.join(plan.hint("merge"), ["order", "nth"])
     parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")).otherwise(text)
-    got = got.withColumn("text", cut)
+    short = F.col("words") < F.col("size")
+    cut = F.when(short, F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
+    changed = {"text": cut.cast(documents.schema["text"].dataType)}
     if "n_chars" in documents.columns:
-        got = got.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return got.repartition("_shard").sortWithinPartitions("_shard", "_slot").select(*(F.col(f"`{c}`") for c in documents.columns))
+        changed["n_chars"] = F.when(short, F.length(cut)).otherwise(F.col("doc.n_chars")).cast(documents.schema["n_chars"].dataType)
+    dealt = got.repartition("shard").sortWithinPartitions("shard", "slot")
+    return dealt.select(*(changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in documents.columns))

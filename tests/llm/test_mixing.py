@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from policylake.llm import mixing
 
@@ -95,3 +96,15 @@ def test_nothing_to_mix(spark, empty):
     void = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.taken(mixing.mix(void)).collect()) == [(1, 0, 0), (2, 0, 0)]
     assert mixing.drawn(void, mixing.mix(void)).collect() == []
+
+
+def test_drawn_rows_keep_columns_of_any_name(spark, documents):
+    """Names used inside come back as they were; rows travel twice."""
+    names = ["_order", "_nth", "_size", "_words", "_shard", "_slot", "order", "nth", "words", "shard", "slot", "doc"]
+    odd = documents.drop("size").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    out = mixing.drawn(odd, mixing.mix(odd))
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    plain = mixing.drawn(documents, mixing.mix(documents))
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect())

@@ -62,6 +62,40 @@ def test_phrases_equal_a_plain_parse():
         assert language_id.phrases(one, np.array([0, len(one)]), [step]).tolist() == [[count]]
 
 
+def test_phrases_with_more_symbols_than_the_dense_table(monkeypatch):
+    """The same parse with a dense table of 3 symbols and the rest as sorted pairs."""
+    rng = np.random.default_rng(4)
+    known, asked = rng.integers(0, 9, 300), [rng.integers(0, 11, 80).astype(np.uint32) for _ in range(12)]
+    flat, at = np.concatenate(asked), np.arange(0, 80 * 13, 80)
+    whole = language_id.automaton(known, language_id.ALPHABET)
+    want = language_id.phrases(flat, at, [whole]).tolist()
+    monkeypatch.setattr(language_id, "ALPHABET", 3)
+    assert language_id.phrases(flat, at, [language_id.automaton(known, 3)]).tolist() == want
+
+
+def test_languages_of_many_scripts_copies_and_signs(spark):
+    """Two languages share each of two scripts; one text comes 3,000 times; signs are no letters."""
+    rng = random.Random(9)
+    script = {"ru": range(0x430, 0x440), "uk": range(0x43C, 0x450), "zh": range(0x4E00, 0x4E00 + 900), "ja": range(0x4E00 + 600, 0x4E00 + 1500), "old": range(0x20000, 0x20000 + 300)}
+
+    def of(k):
+        return " ".join("".join(chr(rng.choice(script[k])) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(20, 60)))
+
+    rows = [(i, of(k), k) for i, k in enumerate(list(script) * 40)] + [(1000 + i, "the same text again", "en") for i in range(3000)]
+    rows += [(5000 + i, worded(rng, LANGS["zz"], 40), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    held = language_id.fold("doc_id", 3) == 1
+    model = language_id.learned(df.where(~held))
+    got = language_id.identify(df, model, ["doc_id", "lang"]).where(held).collect()
+    for k in [*script, "en"]:
+        mine = [r["lang_pred"] == k for r in got if r["lang"] == k]
+        assert mine and sum(mine) >= 0.95 * len(mine), k
+    assert language_id.understood(df.where("doc_id < 1000"), model).count() == 200
+    signs = spark.createDataFrame([(1, "\U0001f600\U0001f680 \U0001f1e9\U0001f1ea"), (2, "\u2211 \u00d7 \u0301"), (3, "\U00020000\U00020001")], "doc_id long, text string")
+    seen = {r["doc_id"]: r for r in language_id.identify(signs, model, ["doc_id"]).collect()}
+    assert [(seen[i]["lang_pred"], seen[i]["n_letters"]) for i in (1, 2)] == [("und", 0)] * 2 and seen[3]["n_letters"] == seen[3]["n_rare"] == 2
+
+
 def test_toxicity_on_held_out_texts(spark, empty):
     rng = random.Random(5)
     rows, labels = [], []
@@ -141,11 +175,19 @@ def test_main_text(spark, empty):
     assert html_text.extract(pages.limit(0), html_text.Labeller()).collect() == []
 
 
-@pytest.mark.parametrize(("page", "want"), [("a<br>b", ["a b"]), ("<p>a<p>b</div>c", ["a", "b", "c"]), ("x &lt;b&gt; &#233;", ["x <b> é"]), ("<p>  </p>", []), ("<ul><li>a<li>b</ul>", ["a", "b"]), ("a <b>b</b>c", ["a bc"])])
+@pytest.mark.parametrize(("page", "want"), [("a<br>b", ["a b"]), ("<p>a<p>b</div>c", ["a", "b", "c"]), ("x &lt;b&gt; &#233;", ["x <b> é"]), ("<p>  </p>", []), ("<ul><li>a<li>b</ul>", ["a", "b"]), ("a <b>b</b>c", ["a bc"]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p>", ["Let x=2 be given."]), ("<p>a <svg><path d='x'/></svg> b</p>", ["a b"]), ("<p>x<svg/>y</p><svg><title>q</title></svg>z", ["xy", "z"]),
+    ('<p class="x>quote</p><p>next</p>', ["quote", "next"]), ("<p>a<script>1<2</script>b</p>", ["ab"]), ('<title>t</title><p title="a>b">c</p>', ["c"])])
 def test_blocks(page, want):
     assert [t for t, _, _ in html_text.blocks(page)] == want
 
 
+def test_every_word_of_a_long_block_counts():
+    many = " ".join(f"w{i}" for i in range(200))
+    _, _, words, _ = html_text._vectors([(many, ("<p",), 0), (many.replace("w100 ", "other "), ("<p",), 0)])
+    assert words[0].sum() == pytest.approx(1.0) and (words[0] != words[1]).any()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
