@@ -116,4 +116,4 @@ def drift(spark, sf):
         return quality.gate_table(facts, {"agreement": F.col("agree") >= 0.75, "drift": drift <= 0.35, "safety": F.col("safety") >= 0.995})
 
     reference = adapters.observations(spark, sf).filter("event_id % 2 = 0")
-    return pipelines.promotion_per_batch(pipelines.event_stream(spark, sf), reference, KPI_COLUMNS, gates)
+    return pipelines.promotion_per_batch(pipelines.event_stream(spark, sf), reference, KPI_COLUMNS, gates).drop("batch")
