@@ -34,11 +34,10 @@ def test_previous_values_across_sparse_buckets(spark, following):
         assert got[t] == (times[i + 1:i + 5] if following else times[max(0, i - 4):i])
 
 
-def test_exact_quantiles_use_linear_interpolation(spark, monkeypatch):
-    values = [random.Random(3).random() for _ in range(3000)]
+def test_exact_quantiles_use_linear_interpolation(spark):
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    monkeypatch.setattr(order_stats, "SMALL_COLUMN", 10)
-    monkeypatch.setattr(order_stats, "SKETCH_ACCURACY", 100)
     s = sorted(values)
     for p, got in zip([0.02, 0.5, 0.98], order_stats.exact_quantiles(df, "v", [0.02, 0.5, 0.98])):
         r = (len(s) - 1) * p
