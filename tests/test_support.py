@@ -83,7 +83,7 @@ def test_nearest_against_all_pairs(spark, monkeypatch, d, grid):
         monkeypatch.setattr(neighbours, "PAIRS_WORTH_A_GRID", -1)
         chosen = neighbours.choose_grid
         seen = []
-        monkeypatch.setattr(neighbours, "choose_grid", lambda *a: seen.append(chosen(*a)) or (seen[-1] if seen[-1][0] else (a[3][:2], 0.25, 15)))
+        monkeypatch.setattr(neighbours, "choose_grid", lambda *a: seen.append(chosen(*a)) or (seen[-1] if seen[-1][0] else (a[3][:2], 0.25, 18)))
     rng = np.random.default_rng(d)
     ref = []
     for i in range(500):
