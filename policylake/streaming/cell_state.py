@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -44,11 +46,18 @@ def canonical(cell: str, event_id: int, policy: str, previous: str) -> str:
 class CellState:
     """What is kept of a cell between rows."""
 
-    actions: list = field(default_factory=list)  # (time, policy) of recorded actions in the churn window
+    # (time, policy, switches up to it) of the recorded actions in the churn window, and the last one
+    actions: deque = field(default_factory=deque)
     baseline: list | None = None  # downlink, loss, latency of the armed row
-    history: list = field(default_factory=list)
+    history: deque = field(default_factory=deque)
     last_hash: str = NO_HASH
 
+    def __post_init__(self) -> None:
+        self.actions, self.history = deque(self.actions), deque(self.history, KEEP_HISTORY)
+
+    def kept(self) -> str:
+        return json.dumps({**self.__dict__, "actions": list(self.actions), "history": list(self.history)})
+
 
 @dataclass(frozen=True)
 class Guard:
@@ -59,11 +68,24 @@ class Guard:
     least_confidence: float = 0.55
 
     def rejects(self, state: CellState, now: float, policy: str) -> tuple[bool, bool]:
-        """(too soon after the last action, too many switches) of a change to `policy`."""
+        """(too soon after the last action, too many switches) of a change to `policy`.
+
+        Actions are in event order, so those behind the window leave at the front, once each.
+        """
         if not state.actions or state.actions[-1][1] == policy:
             return False, False
-        near = [a for a in state.actions if now - a[0] <= self.window]
-        return now - state.actions[-1][0] < self.dwell, sum(a[1] != b[1] for a, b in zip(near, near[1:])) >= self.max_switches
+        self.forget(state, now)
+        return now - state.actions[-1][0] < self.dwell, state.actions[-1][2] - state.actions[0][2] >= self.max_switches
+
+    def forget(self, state: CellState, now: float) -> None:
+        while len(state.actions) > 1 and not now - state.actions[0][0] <= self.window:
+            state.actions.popleft()
+
+    def record(self, state: CellState, now: float, policy: str) -> None:
+        last = state.actions[-1] if state.actions else None
+        switches = 0 if last is None else last[2] + (last[1] != policy)
+        state.actions.append([now, policy, switches])
+        self.forget(state, now)
 
     def worse(self, state: CellState, row) -> bool:
         """Whether the row is below the armed baseline beyond the rollback thresholds."""
@@ -100,7 +122,7 @@ def step(guard: Guard, state: CellState, cell: str, row) -> tuple:
     only an executed action is recorded and arms the baseline; the audit record names that action.
     """
     rollback = guard.worse(state, row)
-    state.history = (state.history + [row.throughput_demand_mbps])[-KEEP_HISTORY:]
+    state.history.append(row.throughput_demand_mbps)
     if row.control is None:
         policy, confidence, executed = row.policy, None, True
         young, churn = guard.rejects(state, row.epoch_s, policy)
@@ -113,12 +135,12 @@ def step(guard: Guard, state: CellState, cell: str, row) -> tuple:
         if rollback:
             policy, executed = "balanced", True
     if executed:
-        state.actions = [a for a in state.actions if row.epoch_s - a[0] <= guard.window] + [[row.epoch_s, policy]]
+        guard.record(state, row.epoch_s, policy)
         if row.control is not None or policy != "balanced":
             state.baseline = [row.downlink_mbps, row.packet_loss_pct, row.latency_ms]
     level = None
     if len(state.history) >= 3:
-        tail = state.history[-24:]
+        tail = list(islice(reversed(state.history), 24))[::-1]
         level = tail[0]
         for v in tail[1:]:
             level = guard.alpha * v + (1 - guard.alpha) * level
@@ -176,7 +198,7 @@ class CellProcessor(StatefulProcessor):
             frame["control"] = frame["control"].astype(object).where(frame["control"].notna(), None)
             out = [step(self.guard, state, key[0], r) for r in frame.itertuples(index=False)]
             seen = float(ready[-1][1])
-            self.kept.update((json.dumps(state.__dict__), seen))
+            self.kept.update((state.kept(), seen))
             self.handle.registerTimer(int((seen + self.idle) * 1000) + 1)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         self.due.clear()
