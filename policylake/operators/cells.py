@@ -56,10 +56,16 @@ def dwell_churn_guard(df: DataFrame, dwell: float = 5.0, window: float = 60.0, m
     rows = Window.partitionBy("cell_id", "__b").orderBy(*ORDER)
     change = F.when(F.lag("policy").over(rows) != F.col("policy"), 1).otherwise(0)
     counted = spread.withColumn("__c", change).withColumn("__sum", F.sum("__c").over(rows.rowsBetween(Window.unboundedPreceding, 0)))
-    # sums only grow, so the least one in the window is that of its first event
-    first = F.expr(f"min(__sum) OVER (PARTITION BY cell_id, __b ORDER BY epoch_s RANGE BETWEEN {float(window)!r}D PRECEDING AND CURRENT ROW)")
-    switches = F.lag("__sum").over(rows) - first
-    h = counted.withColumn("switches", F.greatest(F.lit(0), F.coalesce(switches, F.lit(0)))).where("__own").drop("__end", "__b", "__own", "__c", "__sum")
+    counted = counted.withColumn("__before", F.lag("__sum").over(rows))
+    # Sums only grow, so the least one in a window is that of its first event. Every row also looks from its
+    # window's start: walking back in time, the last event met before it is that first event, so a row costs
+    # the same however many events its window holds.
+    event, start = F.struct(F.lit(0).alias("look"), F.col("epoch_s").alias("at")), F.struct(F.lit(1).alias("look"), (F.col("epoch_s") - window).alias("at"))
+    both = counted.withColumn("__e", F.explode(F.when(F.col("__own"), F.array(event, start)).otherwise(F.array(event))))
+    back = Window.partitionBy("cell_id", "__b").orderBy(F.desc("__e.at"), "__e.look", F.desc("__sum")).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(F.col("__e.look") == 0, F.col("__sum")), ignorenulls=True).over(back)
+    h = both.withColumn("switches", F.greatest(F.lit(0), F.coalesce(F.col("__before") - first, F.lit(0)))).where("__e.look = 1")
+    h = h.drop("__end", "__b", "__own", "__c", "__sum", "__before", "__e")
     h = previous_value(h, ["cell_id"], ORDER, time_bucket("epoch_s", width), F.struct("epoch_s", "policy"), "__last")
     changes = F.col("policy") != F.col("__last.policy")
     return h.withColumns(
