@@ -109,16 +109,13 @@ def ood_score() -> Column:
     return half_up_4(F.least(F.lit(1.0), F.greatest(*p) * 0.7 + total / len(OOD_ENVELOPE) * 0.3))
 
 
-def normalised_entropy(probabilities: Column) -> Column:
-    def entropy(p: Column) -> Column:
-        return let(
-            F.aggregate(p, F.lit(0.0), lambda a, x: a + x),
-            lambda total: F.aggregate(p, F.lit(0.0), lambda a, x: a - (x / total) * F.ln(x / total)),
-        )
-
-    h = let(F.transform(probabilities, lambda x: F.greatest(x, F.lit(1e-12))), entropy)
-    most = F.ln(F.greatest(F.size(probabilities), F.lit(2)).cast("double"))
-    return F.when(F.size(probabilities) == 0, 1.0).otherwise(F.least(F.lit(1.0), h / most))
+def normalised_entropy(probabilities: list[Column]) -> Column:
+    if not probabilities:
+        return F.lit(1.0)
+    p = [F.greatest(x, F.lit(1e-12)) for x in probabilities]
+    total = reduce(lambda a, x: a + x, p, F.lit(0.0))
+    h = reduce(lambda a, x: a - (x / total) * F.ln(x / total), p, F.lit(0.0))
+    return F.least(F.lit(1.0), h / F.ln(F.lit(float(max(len(p), 2)))))
 
 
 def telemetry_penalty() -> Column:
@@ -134,7 +131,7 @@ def twin_uncertainty(horizon: int = HORIZON) -> float:
     return min(0.55, 0.10 + 0.05 * max(0, horizon - 1))
 
 
-def with_uncertainty(df: DataFrame, probabilities: Column, horizon: int = HORIZON) -> DataFrame:
+def with_uncertainty(df: DataFrame, probabilities: list[Column], horizon: int = HORIZON) -> DataFrame:
     """Needs `ood`; adds entropy, telemetry penalty, raw combined value, level, rounded value."""
     out = df.withColumns({"entropy": normalised_entropy(probabilities), "telemetry": telemetry_penalty()})
     combined = F.least(
@@ -266,6 +263,11 @@ def intent_weights() -> dict[str, Column]:
     return {o: F.col(f"w_{o}") for o in OBJECTIVES}
 
 
+def _texts(condition: Column, text: Column) -> Column:
+    """The text as a list, an empty list where the condition does not hold."""
+    return F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
 def safety_reasons(p: Column, kpi: Column) -> Column:
     c = F.col
     rules = [
@@ -285,7 +287,7 @@ def safety_reasons(p: Column, kpi: Column) -> Column:
         ((p["policy"] == "energy_saver") & (c("rsrp_dbm") < -110.0), "power reduction in weak coverage"),
         (F.abs(p["prb_share_delta"]) > 0.20, "PRB share change exceeds the action envelope"),
     ]
-    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in rules]))
+    return F.concat(*[_texts(cond, F.lit(text)) for cond, text in rules])
 
 
 OOD_BLOCK = "aggressive policy blocked far out of distribution"
@@ -293,14 +295,11 @@ OOD_BLOCK = "aggressive policy blocked far out of distribution"
 
 def core_reasons(p: Column, kpi: Column) -> Column:
     blocked = (F.col("ood") > 0.72) & ~p["policy"].isin("balanced", "coverage_recovery")
-    return F.concat(
-        safety_reasons(p, kpi),
-        F.when(blocked, F.array(F.lit(OOD_BLOCK))).otherwise(F.array().cast("array<string>")),
-    )
+    return F.concat(safety_reasons(p, kpi), _texts(blocked, F.lit(OOD_BLOCK)))
 
 
 def intent_reasons(kpi: Column) -> Column:
-    """Texts of the violated hard constraints of the row's intent."""
+    """Texts of the violated hard constraints of the row's intent; no profile has more than are looked at."""
     def metric(c: Column) -> Column:
         return decision_list([(c["metric"] == s, kpi[s]) for s in STATE], F.lit(None).cast("double"))
 
@@ -309,11 +308,11 @@ def intent_reasons(kpi: Column) -> Column:
         wrong = ((c["operator"] == "<=") & (v > c["value"])) | ((c["operator"] == ">=") & (v < c["value"]))
         return F.coalesce(wrong & c["hard"], F.lit(False))
 
-    return F.transform(
-        F.filter("constraints", violated), lambda c: F.concat_ws(" ", F.lit("intent"), c["metric"], c["operator"])
-    )
+    places = [F.get("constraints", F.lit(i)) for i in range(MOST_CONSTRAINTS)]
+    return F.concat(*[_texts(violated(c), F.concat_ws(" ", F.lit("intent"), c["metric"], c["operator"])) for c in places])
 
 
+MOST_CONSTRAINTS = max(len(constraints) for *_, constraints in INTENTS.values())
 ENERGY_REASON = "energy load exceeds the intent budget"
 UNCERTAINTY_REASON = "combined uncertainty is critical"
 
@@ -329,8 +328,7 @@ def critics(p: dict[str, Column], kpi: dict[str, Column], temporal: Column | Non
     critical = F.col("level") == "critical"
     everything = F.concat(
         core, temporal, sla,
-        F.when(over, F.array(F.lit(ENERGY_REASON))).otherwise(none),
-        F.when(critical, F.array(F.lit(UNCERTAINTY_REASON))).otherwise(none),
+        _texts(over, F.lit(ENERGY_REASON)), _texts(critical, F.lit(UNCERTAINTY_REASON)),
     )
     return {
         "reasons": everything,
@@ -343,16 +341,20 @@ def critics(p: dict[str, Column], kpi: dict[str, Column], temporal: Column | Non
 
 def proposals(key: Column) -> Column:
     """Stand-in proposal model: normalised portable uniforms per policy."""
-    raw = F.array(*[uniform("proposal", key, F.lit(n)) for n in POLICIES])
-    return let(
-        raw, lambda xs: let(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(xs, lambda x: x / total))
-    )
+    raw = [uniform("proposal", key, F.lit(n)) for n in POLICIES]
+    total = reduce(lambda a, x: a + x, raw, F.lit(0.0))
+    return F.array(*[x / total for x in raw])
 
 
 def top_k_array(probabilities: Column, k: int) -> Column:
-    """(probability, policy index) of the k most probable policies, best first."""
-    pairs = F.transform(probabilities, lambda p, i: F.struct((-p).alias("np"), i.alias("idx")))
-    return F.slice(F.array_sort(pairs), 1, k)
+    """(probability, policy index) of the k most probable policies, best first; one probability a policy."""
+    pairs = [F.struct((-F.get(probabilities, F.lit(i))).alias("np"), F.lit(i).alias("idx")) for i in range(len(POLICIES))]
+    return F.slice(F.sort_array(F.array(*pairs)), 1, k)
+
+
+def top_probabilities(k: int) -> list[Column]:
+    """The probabilities in column `top` of `top_k_array`."""
+    return [-F.get("top", F.lit(i))["np"] for i in range(min(k, len(POLICIES)))]
 
 
 def decide(df: DataFrame, probabilities: Column, k: int = 4, horizon: int = HORIZON) -> DataFrame:
@@ -360,14 +362,13 @@ def decide(df: DataFrame, probabilities: Column, k: int = 4, horizon: int = HORI
 
     Candidates are the top-k proposals plus `balanced` and the heuristic policy.
     """
-    base = df.withColumns(
-        {"top": top_k_array(probabilities, k), "heuristic": heuristic_candidate(), "ood": ood_score()}
+    base = df.withColumn("__p", probabilities).withColumns(
+        {"top": top_k_array(F.col("__p"), k), "heuristic": heuristic_candidate(), "ood": ood_score()}
     )
-    base = with_uncertainty(base, F.transform("top", lambda t: -t["np"]), horizon)
+    base = with_uncertainty(base, top_probabilities(k), horizon)
 
-    base = base.withColumn("__at", F.transform("top", lambda t: t["idx"]))
     policies = policy_columns()
-    place = [F.array_position("__at", p["idx"]) for p in policies]
+    place = [F.array_position(F.col("top.idx"), p["idx"]) for p in policies]
     base = base.withColumns(
         {f"__on{i}": (place[i] > 0) | p["policy"].isin("balanced") | (p["policy"] == F.col("heuristic")) for i, p in enumerate(policies)}
         | {f"__prob{i}": F.when(place[i] > 0, -F.get("top", (place[i] - 1).cast("int"))["np"]).otherwise(0.01) for i in range(len(policies))}
@@ -394,34 +395,27 @@ def decide(df: DataFrame, probabilities: Column, k: int = 4, horizon: int = HORI
             (n == 0).alias("safe"), F.when(n > 0, F.greatest(F.lit(0.0), raw - cut)).otherwise(raw).alias("score"),
         )
 
-    base = base.withColumn("cand", F.array_compact(F.array(*[F.when(F.col(f"__on{i}"), candidate(i)) for i in range(len(policies))])))
-    base = base.drop("__at", *[c for c in base.columns if re.fullmatch(rf"__(on|prob|why|raw|{'|'.join(STATE)})\d", c)])
-    return _select(base)
+    base = base.withColumns({f"__cand{i}": candidate(i) for i in range(len(policies))})
+    out = _select(base, policies)
+    return out.drop("__p", *[c for c in out.columns if re.fullmatch(rf"__(on|prob|why|raw|cand|{'|'.join(STATE)})\d", c)])
 
 
-def _select(base: DataFrame) -> DataFrame:
-    safe = F.filter("cand", lambda c: c["safe"])
-    ranked = F.transform(
-        "pool",
-        lambda c: F.struct(
-            F.round(c["score"] + 8.0 * c["prob"], 9).alias("rank"), (-c["idx"]).alias("first"), c.alias("c")
-        ),
-    )
-    neutral = F.filter("cand", lambda c: c["policy"] == "balanced")
-    out = base.withColumn("safe_cand", safe)
-    out = out.withColumn("pool", F.when(F.size("safe_cand") > 0, F.col("safe_cand")).otherwise(neutral))
-    out = out.withColumn(
-        "chosen",
-        F.aggregate(
-            ranked, F.element_at(ranked, 1),
-            lambda a, x: F.when(
-                (x["rank"] > a["rank"]) | ((x["rank"] == a["rank"]) & (x["first"] > a["first"])), x
-            ).otherwise(a),
-        )["c"],
-    )
+def _select(base: DataFrame, policies: list[dict[str, Column]]) -> DataFrame:
+    on = [F.col(f"__on{i}") for i in range(len(policies))]
+    cand = [F.col(f"__cand{i}") for i in range(len(policies))]
+
+    def chosen_of(conditions: list[Column], values: list[Column]) -> Column:
+        """The values whose condition holds, in the order of the catalogue."""
+        return F.concat(*[F.slice(F.array(v), F.lit(1), F.when(c, 1).otherwise(0)) for c, v in zip(conditions, values, strict=True)])
+
+    safe = [o & c["safe"] for o, c in zip(on, cand, strict=True)]
+    out = base.withColumns({"cand": chosen_of(on, cand), "safe_cand": chosen_of(safe, cand)})
+    pool = [o & F.when(F.size("safe_cand") > 0, c["safe"]).otherwise(p["policy"] == "balanced") for o, c, p in zip(on, cand, policies, strict=True)]
+    ranked = [F.struct(F.round(c["score"] + 8.0 * c["prob"], 9).alias("rank"), (-c["idx"]).alias("first"), c.alias("c")) for c in cand]
+    out = out.withColumns({"pool": chosen_of(pool, cand), "chosen": F.array_max(chosen_of(pool, ranked))["c"]})
     top_idx = F.col("top")[0]["idx"]
-    refused = F.exists("cand", lambda c: (c["idx"] == top_idx) & ~c["safe"])
-    scores = F.sort_array(F.transform("pool", lambda c: c["score"]), asc=False)
+    refused = reduce(lambda a, x: a | x, [o & (c["idx"] == top_idx) & ~c["safe"] for o, c in zip(on, cand, strict=True)])
+    scores = F.sort_array(F.col("pool.score"), asc=False)
     margin = F.col("chosen.score") - F.when(F.size("pool") > 1, scores[1]).otherwise(0.0)
     raw = 0.48 + 0.34 * F.col("chosen.prob") + F.least(F.lit(0.18), F.greatest(F.lit(0.0), margin / 100.0))
     confidence = half_up_4(clip(raw * (1.0 - F.least(F.lit(0.45), F.col("uncertainty") * 0.45)), 0.0, 0.99))

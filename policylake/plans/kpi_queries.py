@@ -69,7 +69,7 @@ unc AS (SELECT *, least(1.0::DOUBLE, 0.32::DOUBLE * entropy + 0.30::DOUBLE * ood
 def uncertainty(spark, sf):
     o = adapters.observations(spark, sf).withColumn("ood", governed.ood_score())
     top = governed.top_k_array(governed.proposals(F.col("event_id")), 4)
-    o = governed.with_uncertainty(o.withColumn("top", top), F.transform("top", lambda t: -t["np"]))
+    o = governed.with_uncertainty(o.withColumn("top", top), governed.top_probabilities(4))
     return o.select("event_id", *[rounded(c).alias(c) for c in ("entropy", "telemetry", "combined")], "level")
 
 
@@ -142,7 +142,7 @@ _CANDS = ["event_id", "policy"]
 
 def _candidates(spark, sf):
     d = decided(spark, sf)
-    return d.select("*", F.inline(F.transform("cand", lambda c: F.struct(c.alias("c")))))
+    return d.select("*", F.explode("cand").alias("c"))
 
 
 def _decision_body(body: str) -> str:

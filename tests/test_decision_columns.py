@@ -15,3 +15,5 @@ def test_candidates_are_projected_outside_lambdas(spark):
     assert "__latency_ms0" in d._jdf.queryExecution().optimizedPlan().toString()
     front = d._jdf.queryExecution().analyzed().toString().split("\n")[0]
     assert front.count("round(") == 5  # every KPI of a candidate once, not once a pair
+    # a decision is compiled throughout: nothing is ranked, judged or selected by a lambda
+    assert "lambdafunction" not in d.select("chosen")._jdf.queryExecution().optimizedPlan().toString()
