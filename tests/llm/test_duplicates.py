@@ -48,6 +48,49 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(df).collect()} == want
 
 
+def links(rows, k, percent):
+    """Of each row, the different sets that its set is linked with."""
+    sets = {frozenset(grams(r[1], k)) for r in rows}
+    near = {x: sum(1 for y in sets if x != y and x and y and 100 * len(x & y) >= percent * len(x | y)) for x in sets}
+    return {r[0]: near[frozenset(grams(r[1], k))] for r in rows}
+
+
+def near_copies():
+    words = [f"w{i}" for i in range(100)]
+    some = [(i, " ".join([*words[: i % 40], f"x{i}", *words[i % 40 + 1 :], *(f"y{j}" for j in range(i % 7))])) for i in range(90)]
+    chain = [(100 + i, " ".join([f"z{j}" for j in range(3 * i)] + [f"v{j}" for j in range(60)])) for i in range(20)]
+    return some + chain + [(200 + i, t) for i, t in some[:5]] + [(300, ""), (301, None), (302, "alone")]
+
+
+@pytest.mark.parametrize(("block", "size"), [(1024, 2_000_000), (8, 2_000_000), (1024, 700)])
+def test_every_link_is_counted(spark, monkeypatch, block, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "GRAMS", size)
+    rows = near_copies()
+    want = links(rows, 4, 85)
+    assert max(want.values()) > 20 and len(set(want.values())) > 5
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
+def test_links_of_the_corpus_equal_brute_force(documents, rows):
+    want = links(rows, 2, 50)
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(documents, 2, 50).collect()} == want
+
+
+def test_signatures_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, m in ((10, 12), (60, 65), (500, 580), (3000, 3000)):
+        every = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        for apart in (0, 1, n // 10, n):
+            a, b = every[:n], every[apart : apart + m]
+            x, y = jaccard_join._signatures(np.r_[a, b], np.repeat([0, 2], [n, m]), np.array([n, 0, m])).to_pylist()[::2]
+            gap = len(set(a.tolist()) ^ set(b.tolist()))
+            assert jaccard_join._differing(x, y) <= gap and (gap - jaccard_join._differing(x, y)) % 2 == 0
+
+
 def test_one_of_each_keeps_columns_and_first(documents, rows):
     kept = jaccard_join.one_of_each(documents)
     assert kept.columns == documents.columns
