@@ -1,26 +1,29 @@
 """Ordered state of one cell in a stream: guard, rollback baseline, history, audit chain, control step.
 
-Rows of any micro-batch wait in list state until the watermark has passed them; an event-time timer then
-releases them in event order, so the result does not depend on how rows were dealt over batches. Rows
-behind the watermark are late and dropped by the stream itself. A cell that stays silent for `idle`
-seconds of event time loses its state.
+Rows of any micro-batch wait in sorted runs (`waiting`) until the watermark has passed them; an event-time
+timer then releases them in event order, block by block, so the result does not depend on how rows were
+dealt over batches. Rows behind the watermark are late and dropped by the stream itself. A cell that stays
+silent for `idle` seconds of event time loses its state.
 
-State of a cell is bounded by the watermark's delay (waiting rows), the churn window (executed actions)
-and 120 history points; one cell is one task's work, as for any keyed state.
+State of a cell is bounded by the watermark's delay (waiting rows, on disk), the churn window (executed
+actions) and 120 history points; one cell is one task's work, as for any keyed state.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections import deque
+from collections import deque, namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from policylake.streaming.waiting import WaitingRows
+
 KEEP_HISTORY = 120
 NO_HASH = "0" * 64
 CANDIDATE = "struct<idx: int, policy: string, prob: double, score: double, safe: boolean>"
@@ -28,6 +31,7 @@ INPUT = {
     "event_id": "long", "epoch_s": "double", "policy": "string", "downlink_mbps": "double", "packet_loss_pct": "double",
     "latency_ms": "double", "throughput_demand_mbps": "double", "control": "string",
 }
+ROWS = pa.schema([(c, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for c, t in INPUT.items()])
 OUTPUT = (
     "event_id long, cell_id string, policy string, dwell_reject boolean, churn_reject boolean, rollback boolean, "
     "points int, ewma double, executed boolean, confidence double, previous_hash string, record_hash string"
@@ -150,6 +154,23 @@ def step(guard: Guard, state: CellState, cell: str, row) -> tuple:
     return (int(row.event_id), cell, named, young, churn, rollback, len(state.history), level, executed, confidence, previous, state.last_hash)
 
 
+Row = namedtuple("Row", INPUT)
+
+
+def arrived(pdf: pd.DataFrame) -> pa.Table:
+    """Rows of a batch without marks, which only move the watermark; a filter would keep them from doing so."""
+    table = pa.Table.from_pandas(pdf.loc[pdf["event_id"] >= 0, list(INPUT)], ROWS, preserve_index=False)
+    if table["epoch_s"].null_count:
+        raise ValueError("a row without timestamp has no place in event order")
+    return table
+
+
+def released(table: pa.Table) -> list[Row]:
+    """Rows as tuples; numbers that are missing are NaN."""
+    columns = [c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in table.itercolumns()]
+    return [*map(Row._make, zip(*columns, strict=True))]
+
+
 class CellProcessor(StatefulProcessor):
     """Waits for the watermark, then moves the cell on row by row."""
 
@@ -158,22 +179,14 @@ class CellProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in INPUT.items()))
+        self.waiting = WaitingRows(handle)
         self.due = handle.getValueState("due", "at long")
         self.kept = handle.getValueState("kept", "state string, seen double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            pdf = pdf[pdf["event_id"] >= 0]  # a mark only moves the watermark; a filter would keep it from doing so
-            if pdf.empty:
-                continue
-            pdf = pdf[list(INPUT)].astype(object).where(pdf[list(INPUT)].notna(), None)
-            self.waiting.appendList([tuple(r) for r in pdf.itertuples(index=False)])
-            least = int(min(pdf["epoch_s"]) * 1000)
-            first = least if first is None else min(first, least)
+        first = self.waiting.add(table for table in map(arrived, rows) if len(table))
         if first is not None:
-            self._wake(first)
+            self._wake(int(first * 1000))
         return iter(())
 
     def _wake(self, at: int) -> None:
@@ -184,29 +197,26 @@ class CellProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() / 1000.0
-        rows = [r for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted((r for r in rows if r[1] <= passed), key=lambda r: (r[1], r[0]))
-        later = [r for r in rows if r[1] > passed]
         text, seen = self.kept.get() if self.kept.exists() else (None, None)
-        if not rows:
+        if self.waiting.next_time() is None:
             if seen is not None and seen + self.idle <= passed:
                 self.kept.clear()
             return
-        if ready:
-            state = CellState(**json.loads(text)) if text and ready[0][1] - seen <= self.idle else CellState()
-            frame = pd.DataFrame(ready, columns=list(INPUT))
-            frame["control"] = frame["control"].astype(object).where(frame["control"].notna(), None)
-            out = [step(self.guard, state, key[0], r) for r in frame.itertuples(index=False)]
-            seen = float(ready[-1][1])
+        state = None
+        for table in self.waiting.release(passed):
+            times = table["epoch_s"]
+            if state is None:
+                state = CellState(**json.loads(text)) if text and times[0].as_py() - seen <= self.idle else CellState()
+            seen = times[-1].as_py()
+            out = [step(self.guard, state, key[0], r) for r in released(table)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        if state is not None:
             self.kept.update((state.kept(), seen))
             self.handle.registerTimer(int((seen + self.idle) * 1000) + 1)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         self.due.clear()
-        if later:
-            self.waiting.put(later)
-            self._wake(int(min(r[1] for r in later) * 1000))
-        else:
-            self.waiting.clear()
+        later = self.waiting.next_time()
+        if later is not None:
+            self._wake(int(later * 1000))
 
     def close(self) -> None:
         pass

@@ -89,7 +89,7 @@ IDLE_SECONDS = 400 * 86400.0
 def cell_stream(stream: DataFrame, dwell: float = 5.0, window: float = 60.0, max_switches: int = 6, control: Column | None = None) -> DataFrame:
     """Per-cell ordered state over snapshots with `policy` (or `control`, the judged candidates as JSON).
 
-    Needs the RocksDB state store, which holds list state and timers.
+    Needs the RocksDB state store, which holds map state and timers.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withColumn("control", F.lit(None).cast("string") if control is None else control)
