@@ -8,7 +8,8 @@ session's shared checkpoint folder and can be compared with its batch twin. The
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,22 @@ def cell_stream(stream: DataFrame, dwell: float = 5.0, window: float = 60.0, max
     )
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A query started inside deals its keys over four tasks a core at most.
+
+    Every micro-batch opens and commits a state store for each partition, rows or not, so partitions beyond
+    what the cores need only add time. A query keeps the number of its first start.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drained(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], name: str, files_per_trigger: int = 64, delay: str = WATERMARK) -> DataFrame:
     """Drain the event files through `build` in as many micro-batches as they need, then close the stream.
 
@@ -116,7 +133,9 @@ def drained(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataF
     stream = build(observed)
 
     def run() -> None:
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        with state_partitions(spark):
+            q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
 
     run()
     end = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
