@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,17 +61,122 @@ def completeness(kept: DataFrame, expected: int) -> DataFrame:
     )
 
 
+BLOCK_BYTES = 256 << 10
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+#: Files that Spark's text source would unpack by their name.
+UNPACKED = ["bz2", "deflate", "gz", "lz4", "snappy", "zst", "zstd"]
+PIECES = "path string, file string, bytes long, at long, seq long, data binary"
+DIGESTS = "file string, bytes long, sha256 string, md5 string"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a piece of a file, in order, to blocks of bytes, and one row with the bytes of them all."""
+    held, path, at, seq, total = bytearray(), None, 0, 0, 0
+    schema = pa.schema([("path", pa.string()), ("file", pa.string()), ("bytes", pa.int64()), ("at", pa.int64()), ("seq", pa.int64()), ("data", pa.binary())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def blocks(least: int) -> Iterator[pa.RecordBatch]:
+        nonlocal held, seq, total
+        start = 0
+        while len(held) - start >= least:
+            data = bytes(held[start:start + BLOCK_BYTES])
+            yield batch([(path, None, len(data), at, seq, data)])
+            start, seq, total = start + len(data), seq + 1, total + len(data)
+        held = held[start:]
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        yield from blocks(1)
+        yield batch([(path, None, total, -1, 0, None)])
+
+    for lines in batches:
+        names = lines["path"].dictionary_encode()
+        codes, starts = names.indices.to_numpy(), lines["at"].to_numpy()
+        edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1).tolist(), len(codes)]
+        for first, end in pairwise(edges):
+            if first == end:
+                continue
+            piece = names.dictionary[int(codes[first])].as_py(), int(starts[first])
+            if piece != (path, at):
+                if path is not None:
+                    yield from ended()
+                (path, at), seq, total = piece, 0, 0
+            held += b"\n".join(lines["value"].slice(first, end - first).to_pylist()) + b"\n"
+            yield from blocks(BLOCK_BYTES)
+    if path is not None:
+        yield from ended()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of files whose rows come in order: the file's length, the bytes of its pieces, the blocks.
+
+    Lines do not tell a line feed at the end of a file from none, nor a byte order mark at its start; the
+    length does: the mark adds three bytes, and the last line feed is one byte too many where there is none.
+    """
+    path, file, size, left, read, sums = None, None, 0, 0, 0, None
+
+    def begin() -> None:
+        nonlocal sums, left
+        sums, left = (hashlib.sha256(), hashlib.md5(usedforsecurity=False)), size
+        if size - read not in (-1, 0, 2, 3):
+            raise ValueError(f"{path}: read {read} bytes as lines, the file has {size}")
+        if size - read > 0:
+            write(BYTE_ORDER_MARK)
+
+    def write(data: bytes) -> None:
+        nonlocal left
+        data = data[:left]
+        for s in sums:
+            s.update(data)
+        left -= len(data)
+
+    def end() -> pa.RecordBatch:
+        if sums is None:
+            begin()
+        if left:
+            raise ValueError(f"{path}: {left} of {size} bytes were not read")
+        return pa.RecordBatch.from_pylist([{"file": file, "bytes": size, "sha256": sums[0].hexdigest(), "md5": sums[1].hexdigest()}])
+
+    for rows in batches:
+        for i in range(rows.num_rows):
+            at = rows["at"][i].as_py()
+            if at == -2:
+                if path is not None:
+                    yield end()
+                path, file, size = (rows[c][i].as_py() for c in ("path", "file", "bytes"))
+                read, sums = 0, None
+            elif rows["path"][i].as_py() != path:
+                raise ValueError(f"{rows['path'][i].as_py()}: not among the files of the listing")
+            elif at == -1:
+                read += rows["bytes"][i].as_py()
+            else:
+                if sums is None:
+                    begin()
+                write(rows["data"][i].as_buffer())
+    if path is not None:
+        yield end()
+
+
 def file_manifest(spark: SparkSession, glob: str, catalog: DataFrame | None = None) -> DataFrame:
-    """Bytes, SHA-256 and MD5 of every file; compared with a catalogue if one is given."""
-    files = (
-        spark.read.format("binaryFile").load(glob)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file"),
-            F.col("length").alias("bytes"),
-            F.sha2("content", 256).alias("sha256"),
-            F.md5("content").alias("md5"),
-        )
-    )
+    """Bytes, SHA-256 and MD5 of every file; compared with a catalogue if one is given.
+
+    A file is read in pieces by Spark's text source, as lines of raw bytes, and hashed block by block in one
+    task, so no file is held as a whole; a row is a line, so only a line must fit into memory. Files that
+    the text source would unpack are read whole.
+    """
+    packed = F.col("_metadata.file_name").rlike(rf"\.({'|'.join(UNPACKED)})$")
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = spark.read.format("binaryFile").load(glob).where(~packed).select(
+        F.col("_metadata.file_path").alias("path"), name.alias("file"), F.col("length").alias("bytes"),
+        F.lit(-2).cast("long").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("data"))
+    lines = spark.read.option("lineSep", "\n").text(glob).where(~packed).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("value"))
+    pieces = listed.unionByName(lines.mapInArrow(_blocks, PIECES))
+    hashed = pieces.repartition("path").sortWithinPartitions("path", "at", "seq").mapInArrow(_digests, DIGESTS)
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(UNPACKED)}}}").load(glob).select(
+        name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    files = hashed.unionByName(whole)
     if catalog is None:
         return files
     joined = files.join(catalog.withColumnsRenamed({"md5": "expected_md5"}), "file", "left")
